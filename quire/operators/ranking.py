@@ -1,0 +1,69 @@
+"""Numbering rows inside groups of any size."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quire.sources.scratch import checkpointed
+
+# Rows one window task may sort for a single group before the group is ranged
+# over many tasks instead.
+HOT_GROUP_ROWS = 500_000
+# Hot groups are at most rows / HOT_GROUP_ROWS; still, broadcast only so many.
+BROADCAST_GROUPS = 10_000
+
+
+def number_within(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    out: str,
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """Add ``out`` = 1, 2, ... in ``order`` inside each ``key`` group.
+
+    One pre-aggregated count finds groups too large for one task. Without any,
+    this is a plain row_number. Rows of large groups are range-partitioned by
+    (key, order), numbered inside each range, and shifted by the rows of the
+    ranges ahead; the ranges are written down first, because a recomputed
+    range partitioning may cut elsewhere.
+    """
+    key, order = list(key), list(order)
+    hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _window(df, key, order, out)
+    hot = hot.select(*key)
+    if n_hot <= BROADCAST_GROUPS:
+        hot = F.broadcast(hot)
+    few = df.join(hot, key, "left_anti")
+    many = df.join(hot, key, "left_semi")
+    return _window(few, key, order, out).unionByName(_ranged(many, key, order, out))
+
+
+def _window(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return df.withColumn(out, rank.cast("bigint"))
+
+
+def _ranged(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    # The partition count is stated, so that AQE does not merge ranges again.
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    cut = checkpointed(
+        df.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id())
+    )
+    local = _window(cut, [*key, "_range"], order, "_local")
+    ahead = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        cut.groupBy(*key, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*key, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_shift"))
+    )
+    return (
+        local.join(shifts, [*key, "_range"])
+        .withColumn(out, F.col("_local") + F.col("_shift"))
+        .select(*df.columns, out)
+    )
