@@ -408,7 +408,10 @@ def export_tree_(spark, d):
 
 
 def _results(spark, d):
-    fresh = metadata.output_paths(doc_rows(spark, d)).select("rel_key", "status", "output_path")
+    """Results of an incremental run: pending documents anew, the others as cached."""
+    todo = resume.pending(*_planning(spark, d)).select("rel_key")
+    done = doc_rows(spark, d).select("rel_key", "status").join(todo, "rel_key", "left_semi")
+    fresh = metadata.output_paths(done).select("rel_key", "status", "output_path")
     return fresh.unionByName(resume.cached_outcomes(resume.plan_run(*_planning(spark, d))))
 
 
