@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from quire.functions.text import source_page
+from quire.functions.text import MAX_LONG, literal, long_or, source_page
 
 # --- fixed values: shape of image keys and of figure names ------------------
 KEY_PAGE = r"(?i)page[_\-]?(\d+)"
@@ -15,31 +12,40 @@ FIGURE_LINK_PAGE = r"^\./figures/figure_\d+_page(\d+)\.png$"
 # ---------------------------------------------------------------------------
 
 
-def key_page(key: Column) -> Column:
+def key_page(key: str) -> str:
     """Page number named by an image key; 1 when it names none."""
-    found = F.regexp_extract(key, KEY_PAGE, 1)
-    return F.when(found == "", F.lit(1).cast("bigint")).otherwise(source_page(found))
+    found = f"regexp_extract({key}, {literal(KEY_PAGE)}, 1)"
+    return f"if({found} = '', 1L, {source_page(found)})"
 
 
-def key_block(key: Column) -> Column:
+def key_block(key: str) -> str:
     """Trailing block number of an image key; 0 when it has none."""
-    found = F.regexp_extract(key, KEY_BLOCK, 1)
-    return F.when(found == "", F.lit(0).cast("bigint")).otherwise(
-        F.coalesce(found.try_cast("bigint"), F.lit((1 << 63) - 1))
-    )
+    found = f"regexp_extract({key}, {literal(KEY_BLOCK)}, 1)"
+    return f"if({found} = '', 0L, {long_or(found, MAX_LONG)})"
 
 
-def figure_link(figure_no: Column, page_no: Column) -> Column:
-    return F.format_string(FIGURE_LINK, figure_no, page_no)
+def figure_link(figure_no: str, page_no: str) -> str:
+    return f"format_string('{FIGURE_LINK}', {figure_no}, {page_no})"
 
 
-def png_mode(mode: Column, has_transparency: Column) -> Column:
+def png_mode(mode: str, has_transparency: str) -> str:
     """Image mode to encode a PNG with: alpha is kept, everything else is RGB."""
-    alpha = mode.isin("LA", "PA") | ((mode == "P") & F.coalesce(has_transparency, F.lit(False)))
-    return F.when(mode.isin("RGB", "RGBA"), mode).when(alpha, "RGBA").otherwise("RGB")
+    return (
+        f"case when {mode} in ('RGB', 'RGBA') then {mode} "
+        f"when {mode} in ('LA', 'PA') or ({mode} = 'P' and {has_transparency}) then 'RGBA' "
+        "else 'RGB' end"
+    )
+
+
+def failure_text(keys: str) -> str:
+    """Diagnostic for an array of failed image keys."""
+    return (
+        f"concat('failed to save ', cast(size({keys}) as string), ' figure(s): ', "
+        f"array_join(transform({keys}, k -> concat(\"'\", k, \"'\")), ', '))"
+    )
 
 
-def key_token(key: Column) -> Column:
+def key_token(key: str) -> str:
     """What must stand between the innermost parentheses wherever ``(key)`` occurs.
 
     Up to the first ')' after the opening one, the text of an occurrence is
@@ -47,56 +53,39 @@ def key_token(key: Column) -> Column:
     For a key without parentheses the token is the key. So joining keys to
     the tokens of a page on equality finds every occurrence.
     """
-    head = F.substring_index(key, ")", 1)
-    return F.substring_index(F.concat(F.lit("("), head), "(", -1)
+    return f"substring_index(concat('(', substring_index({key}, ')', 1)), '(', -1)"
 
 
-def text_tokens(text: Column) -> Column:
+def text_tokens(text: str) -> str:
     """Distinct innermost parenthesised strings of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\(([^()]*+)\)"), F.lit(1)))
-
-
-def replace_key(text: Column, key: Column, link: Column) -> Column:
-    """Replace every literal '(key)'."""
-    return F.replace(
-        text,
-        F.concat(F.lit("("), key, F.lit(")")),
-        F.concat(F.lit("("), link, F.lit(")")),
-    )
-
-
-def remove_key(text: Column, key: Column) -> Column:
-    """Remove every whole '![alt](key)'."""
-    # A key may itself hold "\E", which would end the quoted part of the pattern.
-    quoted = F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    return F.regexp_replace(
-        text, F.concat(F.lit(r"!\[[^\]]*\]\(\Q"), quoted, F.lit(r"\E\)")), F.lit("")
-    )
+    inner = literal(r"\(([^()]*+)\)")
+    return f"array_distinct(regexp_extract_all({text}, {inner}, 1))"
 
 
-def hit(figure: Column) -> Column:
+def hit(f: str) -> str:
     """A figure in the order its links are handled.
 
     Saved figures come ahead of failed ones, longer keys ahead of shorter, so
     that sorting an array of hits puts them in working order.
     """
-    return F.struct(
-        figure["link"].isNull().alias("failed"),
-        (-F.length(figure["img_key"])).alias("longest"),
-        figure["figure_no"].alias("figure_no"),
-        figure["page_no"].alias("page_no"),
-        figure["block_id"].alias("block_id"),
-        figure["img_key"].alias("img_key"),
-        figure["link"].alias("link"),
+    return (
+        f"named_struct('failed', {f}.link is null, 'longest', -length({f}.img_key), "
+        f"'figure_no', {f}.figure_no, 'page_no', {f}.page_no, 'block_id', {f}.block_id, "
+        f"'img_key', {f}.img_key, 'link', {f}.link)"
     )
 
 
-def relink_text(text: Column, hits: Column) -> Column:
-    """Point the keys of saved figures at their links; drop markup of failed ones."""
-    return F.aggregate(
-        hits,
-        text,
-        lambda acc, h: F.when(h["failed"], remove_key(acc, h["img_key"])).otherwise(
-            replace_key(acc, h["img_key"], h["link"])
-        ),
+def relink_text(text: str, hits: str) -> str:
+    """Point the keys of saved figures at their links; drop markup of failed ones.
+
+    A saved figure's '(key)' is replaced wherever it stands; of a failed one
+    every whole '![alt](key)' goes.
+    """
+    # A key may itself hold "\E", which would end the quoted part of the pattern.
+    quoted = f"replace(h.img_key, {literal(chr(92) + 'E')}, {literal(r'\E\\E\Q')})"
+    markup = f"concat({literal(r'!\[[^\]]*\]\(\Q')}, {quoted}, {literal(r'\E\)')})"
+    return (
+        f"aggregate({hits}, {text}, (acc, h) -> if(h.failed, "
+        f"regexp_replace(acc, {markup}, ''), "
+        "replace(acc, concat('(', h.img_key, ')'), concat('(', h.link, ')'))))"
     )

@@ -9,10 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from quire.functions.text import strip
+from quire.functions.text import literal, strip
 
 # --- fixed values: what counts as a whole number in a page selection --------
 NUMBER = r"\+?\d+(_\d+)*"
@@ -43,66 +40,53 @@ def parse_literal(spec: str | None) -> list[tuple[int, int]] | None:
     return merged
 
 
-def range_literal(ranges: Sequence[tuple[int, int]] | None) -> Column:
+def range_literal(ranges: Sequence[tuple[int, int]] | None) -> str:
+    """Ranges known on the driver as a SQL constant; null for no selection."""
     if ranges is None:
-        return F.lit(None).cast(RANGES)
-    pairs = [
-        F.struct(F.lit(a).cast("bigint").alias("first"), F.lit(b).cast("bigint").alias("last"))
-        for a, b in ranges
-    ]
-    return F.array(*pairs).cast(RANGES)
-
-
-def _number(text: Column) -> Column:
-    return F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")
-
-
-def _bounds(piece: Column) -> Column:
-    """'3-7' or '4' as struct<first,last>; a null bound marks an unreadable piece."""
-    low = strip(F.substring_index(piece, "-", 1))
-    high = strip(F.when(F.contains(piece, F.lit("-")), F.regexp_replace(piece, r"^[^\-]*-", ""))
-                 .otherwise(piece))
-    return F.struct(
-        F.when(low.rlike(rf"^{NUMBER}$"), _number(low)).alias("first"),
-        F.when(high.rlike(rf"^{SIGNED}$"), _number(high)).alias("last"),
-    )
+        return f"cast(null as {RANGES})"
+    pairs = ", ".join(f"named_struct('first', {a}L, 'last', {b}L)" for a, b in ranges)
+    return f"cast(array({pairs}) as {RANGES})"
+
 
+def parsed_pieces(spec: str) -> str:
+    """array<struct<first,last>> of the comma separated pieces; null for no selection.
 
-def parsed_pieces(spec: Column) -> Column:
-    """array<struct<first,last>> of the comma separated pieces; null for no selection."""
-    return F.when(spec != "", F.transform(F.split(spec, ",", -1), lambda p: _bounds(strip(p))))
+    A bound that cannot be read is null.
+    """
 
+    def number(text: str, pattern: str) -> str:
+        valid = f"{text} rlike {literal(f'^{pattern}$')}"
+        return f"if({valid}, try_cast(replace({text}, '_', '') as bigint), null)"
 
-def pieces_invalid(pieces: Column) -> Column:
-    return F.coalesce(
-        F.exists(pieces, lambda p: p["first"].isNull() | p["last"].isNull()), F.lit(False)
+    low = strip("substring_index(p, '-', 1)")
+    high = strip("regexp_replace(p, '^[^-]*-', '')")
+    piece = (
+        f"named_struct('first', {number(low, NUMBER)}, 'last', {number(high, SIGNED)})"
     )
+    pieces = f"transform(split({spec}, ',', -1), p -> {strip('p')})"
+    return f"if({spec} = '', null, transform({pieces}, p -> {piece}))"
 
 
-def merge_pieces(pieces: Column) -> Column:
-    """Sort and merge pieces into disjoint, non-adjacent ranges; 5-3 selects nothing."""
-    kept = F.sort_array(F.filter(pieces, lambda p: p["first"] <= p["last"]))
+def pieces_invalid(pieces: str) -> str:
+    return f"coalesce(exists({pieces}, p -> p.first is null or p.last is null), false)"
 
-    def add(acc: Column, p: Column) -> Column:
-        top = F.try_element_at(acc, F.lit(-1))
-        joins = p["first"] - 1 <= top["last"]
-        grown = F.struct(
-            top["first"].alias("first"), F.greatest(top["last"], p["last"]).alias("last")
-        )
-        return F.when(
-            F.coalesce(joins, F.lit(False)),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)),
-        ).otherwise(F.concat(acc, F.array(p)))
 
-    return F.aggregate(kept, F.array().cast(RANGES), lambda a, p: add(a, p).cast(RANGES))
+def merge_pieces(pieces: str) -> str:
+    """Sort and merge pieces into disjoint, non-adjacent ranges; 5-3 selects nothing."""
+    kept = f"sort_array(filter({pieces}, p -> p.first <= p.last))"
+    top = "element_at(acc, -1)"
+    grown = f"named_struct('first', {top}.first, 'last', greatest({top}.last, p.last))"
+    return f"""
+        aggregate({kept}, cast(array() as {RANGES}), (acc, p) -> cast(
+          if(size(acc) > 0 and p.first - 1 <= try_element_at(acc, -1).last,
+             concat(slice(acc, 1, greatest(size(acc) - 1, 0)), array({grown})),
+             concat(acc, array(p))) as {RANGES}))"""
 
 
-def ranges_size(ranges: Column) -> Column:
+def ranges_size(ranges: str) -> str:
     """How many pages a selection names."""
-    return F.aggregate(
-        ranges, F.lit(0).cast("bigint"), lambda n, r: n + (r["last"] - r["first"] + 1)
-    )
+    return f"aggregate({ranges}, 0L, (n, r) -> n + (r.last - r.first + 1L))"
 
 
-def in_ranges(page_id: Column, ranges: Column) -> Column:
-    return F.exists(ranges, lambda r: (r["first"] <= page_id) & (page_id <= r["last"]))
+def in_ranges(page_id: str, ranges: str) -> str:
+    return f"exists({ranges}, r -> {page_id} between r.first and r.last)"

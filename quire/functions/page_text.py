@@ -7,10 +7,19 @@ stays linear in the length of the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import PAGE_BOUNDARY, PAGE_HEADER, is_blank, source_page, strip
+from quire.functions.text import (
+    MAX_LONG,
+    PAGE_BOUNDARY,
+    PAGE_HEADER,
+    is_blank,
+    literal,
+    long_or,
+    source_page,
+    strip,
+)
 
 # Pages of one document that are put together in one row. Longer documents
 # continue in further parts, so that no group grows with its document.
@@ -18,6 +27,18 @@ PART_PAGES = 2000
 
 FAILED_BODY = "*[OCR Failed]*\n"
 
+PAGE_ARRAY = "array<struct<page_no:bigint,text:string>>"
+
+
+def _cut(df: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Add the page ids (_ids) and the texts around them (_cut, one more)."""
+    return df.withColumns(
+        {
+            "_ids": F.expr(f"regexp_extract_all({text}, {literal(pattern)}, 1)"),
+            "_cut": F.expr(f"split({text}, {literal(pattern)}, -1)"),
+        }
+    )
+
 
 def with_page_array(df: DataFrame, text: str = "markdown", out: str = "pages") -> DataFrame:
     """Add ``out``: array<struct<page_no, text>> in the order of the text.
@@ -25,63 +46,34 @@ def with_page_array(df: DataFrame, text: str = "markdown", out: str = "pages") -
     Blank text has no pages; text without a boundary is one page; text ahead
     of the first boundary belongs to the first page.
     """
-    src = F.col(text)
-    pieces = df.withColumns(
-        {
-            "_ids": F.regexp_extract_all(src, F.lit(PAGE_BOUNDARY), F.lit(1)),
-            "_cut": F.split(src, PAGE_BOUNDARY, -1),
-        }
-    )
-    lead, first = strip(F.col("_cut")[0]), strip(F.try_element_at("_cut", F.lit(2)))
+    lead, first = strip("_cut[0]"), strip("try_element_at(_cut, 2)")
     folded = (
-        F.when(lead == "", first)
-        .when(first == "", lead)
-        .otherwise(F.concat(lead, F.lit("\n\n"), first))
+        f"case when {lead} = '' then {first} when {first} = '' then {lead} "
+        f"else concat({lead}, '\\n\\n', {first}) end"
     )
-    later = F.transform(F.slice("_cut", 3, F.greatest(F.size("_cut") - 2, F.lit(0))), strip)
-    page = "array<struct<page_no:bigint,text:string>>"
-    pages = (
-        F.when(is_blank(src), F.array().cast(page))
-        .when(
-            F.size("_ids") == 0,
-            F.array(F.struct(F.lit(1).cast("bigint").alias("page_no"), lead.alias("text"))),
-        )
-        .otherwise(
-            F.zip_with(
-                "_ids",
-                F.concat(F.array(folded), later),
-                lambda i, t: F.struct(source_page(i).alias("page_no"), t.alias("text")),
-            )
-        )
-    )
-    return pieces.withColumn(out, pages.cast(page)).drop("_ids", "_cut")
+    later = f"transform(slice(_cut, 3, greatest(size(_cut) - 2, 0)), t -> {strip('t')})"
+    pages = f"""
+        case when {is_blank(text)} then cast(array() as {PAGE_ARRAY})
+             when size(_ids) = 0 then array(named_struct('page_no', 1L, 'text', {lead}))
+             else zip_with(_ids, concat(array({folded}), {later}),
+                           (i, t) -> named_struct('page_no', {source_page("i")}, 'text', t))
+        end"""
+    return _cut(df, text, PAGE_BOUNDARY).withColumn(out, F.expr(pages)).drop("_ids", "_cut")
 
 
 def with_section_array(df: DataFrame, text: str = "body", out: str = "pages") -> DataFrame:
     """Add ``out``: the pages found under the '## Page N' headers of a body."""
-    src = F.col(text)
-    pieces = df.withColumns(
-        {
-            "_ids": F.regexp_extract_all(src, F.lit(PAGE_HEADER), F.lit(1)),
-            "_cut": F.split(src, PAGE_HEADER, -1),
-        }
-    )
-    sections = F.zip_with(
-        "_ids",
-        F.slice("_cut", 2, F.greatest(F.size("_cut") - 1, F.lit(0))),
-        lambda i, t: F.struct(
-            F.coalesce(i.try_cast("bigint"), F.lit((1 << 63) - 1)).alias("page_no"),
-            strip(t).alias("text"),
-        ),
-    )
-    return pieces.withColumn(out, sections).drop("_ids", "_cut")
+    sections = f"""
+        zip_with(_ids, slice(_cut, 2, greatest(size(_cut) - 1, 0)), (i, t) ->
+                 named_struct('page_no', {long_or("i", MAX_LONG)}, 'text', {strip("t")}))"""
+    return _cut(df, text, PAGE_HEADER).withColumn(out, F.expr(sections)).drop("_ids", "_cut")
 
 
-def section(page_no: Column, text: Column) -> Column:
+def section(page_no: str, text: str) -> str:
     """One page of a body: its header, a blank line, its text."""
-    return F.concat(F.lit("## Page "), page_no.cast("string"), F.lit("\n\n"), text, F.lit("\n\n"))
+    return f"concat('## Page ', cast({page_no} as string), '\\n\\n', {text}, '\\n\\n')"
 
 
-def part_of(pos: Column, part_pages: int = PART_PAGES) -> Column:
+def part_of(pos: str, part_pages: int = PART_PAGES) -> str:
     """Number of the part of the document that holds position ``pos``."""
-    return F.floor(pos / part_pages).cast("bigint")
+    return f"({pos} div {part_pages})"

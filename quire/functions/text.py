@@ -1,9 +1,10 @@
-"""String expressions shared by every operator (all evaluated in the JVM)."""
+"""Text expressions shared by every operator, as Spark SQL.
 
-from __future__ import annotations
+Functions here and in the sibling modules take and return SQL expressions, so
+that whole array transformations stay one readable expression of built-ins.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Every code point Unicode counts as white space; SQL trim() only knows U+0020.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -15,39 +16,42 @@ PAGE_HEADER = rf"(?md)^## Page (\d+)[{WHITESPACE}]*$"
 IMAGE_LINK = r"!\[[^\]]*\]\(([^)]*)\)"
 # ---------------------------------------------------------------------------
 
-MAX_PAGE_ID = (1 << 63) - 2
+MAX_LONG = (1 << 63) - 1
+
+
+def literal(value: str) -> str:
+    """A Python string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(col: Column) -> Column:
+def long_or(x: str, otherwise: int) -> str:
+    """A number as bigint; numbers beyond its range become ``otherwise``."""
+    return f"coalesce(try_cast({x} as bigint), {otherwise}L)"
+
+
+def strip(x: str) -> str:
     """Trim every kind of white space from both ends."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    return f"btrim({x}, {literal(WHITESPACE)})"
 
 
-def is_blank(col: Column) -> Column:
+def is_blank(x: str) -> str:
     """True for null text and for text of nothing but white space."""
-    return strip(F.coalesce(col, F.lit(""))) == ""
-
+    return f"({strip(f"coalesce({x}, '')")} = '')"
 
-def source_page(page_id: Column) -> Column:
-    """0-based page id (text or number) to 1-based page number.
 
-    Ids beyond the bigint range saturate instead of failing the job.
-    """
-    as_long = F.coalesce(page_id.try_cast("bigint"), F.lit(MAX_PAGE_ID))
-    return F.greatest(F.lit(1).cast("bigint"), as_long + 1)
+def source_page(page_id: str) -> str:
+    """0-based page id to 1-based page number; ids beyond bigint saturate."""
+    return f"greatest(1L, {long_or(page_id, MAX_LONG - 1)} + 1L)"
 
 
-def human_size(size: Column) -> Column:
+def human_size(size: str) -> str:
     """Bytes as '1.5 KB' (one decimal, ties to even, 1024 steps up to TB)."""
-    size = size.cast("double")
 
-    def text(power: int, unit: str) -> Column:
-        return F.format_string(f"%.1f {unit}", F.bround(size / float(1024**power), 1))
+    def text(power: int, unit: str) -> str:
+        return f"format_string('%.1f {unit}', bround({size} / {1024**power}D, 1))"
 
-    return (
-        F.when(size < 1024.0, text(0, "B"))
-        .when(size < float(1024**2), text(1, "KB"))
-        .when(size < float(1024**3), text(2, "MB"))
-        .when(size < float(1024**4), text(3, "GB"))
-        .otherwise(text(4, "TB"))
+    steps = " ".join(
+        f"when {size} < {1024 ** (i + 1)}L then {text(i, unit)}"
+        for i, unit in enumerate(("B", "KB", "MB", "GB"))
     )
+    return f"case {steps} else {text(4, 'TB')} end"

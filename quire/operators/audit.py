@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import FIGURE_LINK_PAGE
+from quire.functions.text import literal
 from quire.operators.figures import extract_image_refs
 from quire.operators.metadata import METADATA_COLUMNS, body_path
 
@@ -15,23 +16,16 @@ REMOTE_LINK = r"^([A-Za-z][A-Za-z0-9+.\-]*:|//|#)"
 
 def dangling_links(pages: DataFrame, figures: DataFrame) -> DataFrame:
     """Local image links no figure of the document answers to."""
-    refs = extract_image_refs(pages).where(~F.col("link").rlike(REMOTE_LINK))
-    known = figures.where(F.col("link").isNotNull()).select("rel_key", "link")
+    refs = extract_image_refs(pages).where(f"not link rlike {literal(REMOTE_LINK)}")
+    known = figures.where("link is not null").select("rel_key", "link")
     return refs.join(known, ["rel_key", "link"], "left_anti").select(*refs.columns)
 
 
 def page_tag_mismatch(pages: DataFrame) -> DataFrame:
     """Figure links whose page tag is not the number of the page they stand on."""
-    tag = F.regexp_extract("link", FIGURE_LINK_PAGE, 1)
-    refs = extract_image_refs(pages).withColumn("tag_page", F.nullif(tag, F.lit("")))
-    refs = refs.withColumn("tag_page", F.col("tag_page").try_cast("bigint"))
-    return refs.where(F.col("tag_page") != F.col("page_no"))
-
-
-def _differs(names: list[str]) -> Column:
-    return F.exists(
-        F.array(*(~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in names)), lambda x: x
-    )
+    tag = f"regexp_extract(link, {literal(FIGURE_LINK_PAGE)}, 1)"
+    refs = extract_image_refs(pages).selectExpr("*", f"try_cast({tag} as bigint) as tag_page")
+    return refs.where("tag_page <> page_no")
 
 
 def expectation_diff(expected: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -40,66 +34,55 @@ def expectation_diff(expected: DataFrame, metadata: DataFrame) -> DataFrame:
     ``problem`` is missing, unexpected, or different (pages or status); an
     expected page count of null is not compared.
     """
-    left = expected.select(
-        "rel_key",
-        F.col("pages").alias("expected_pages"),
-        F.col("status").alias("expected_status"),
-        F.lit(True).alias("_e"),
+    left = expected.selectExpr(
+        "rel_key", "pages as expected_pages", "status as expected_status", "true as _e"
     )
-    right = metadata.select(
-        F.col("key").alias("rel_key"),
-        F.col("pages").alias("actual_pages"),
-        F.col("status").alias("actual_status"),
-        F.lit(True).alias("_m"),
-    )
-    pages_differ = F.col("expected_pages").isNotNull() & ~F.col("expected_pages").eqNullSafe(
-        F.col("actual_pages")
-    )
-    status_differs = ~F.col("expected_status").eqNullSafe(F.col("actual_status"))
-    problem = (
-        F.when(F.col("_m").isNull(), "missing")
-        .when(F.col("_e").isNull(), "unexpected")
-        .when(pages_differ | status_differs, "different")
+    right = metadata.selectExpr(
+        "key as rel_key", "pages as actual_pages", "status as actual_status", "true as _m"
     )
+    problem = """
+        case when _m is null then 'missing'
+             when _e is null then 'unexpected'
+             when (expected_pages is not null and not expected_pages <=> actual_pages)
+               or not expected_status <=> actual_status then 'different' end"""
     return (
         left.join(right, "rel_key", "full_outer")
-        .withColumn("problem", problem)
-        .where(F.col("problem").isNotNull())
+        .withColumn("problem", F.expr(problem))
+        .where("problem is not null")
         .drop("_e", "_m")
     )
 
 
 def bad_checksums(metadata: DataFrame) -> DataFrame:
     """Records whose checksum is not 'sha256:' and a payload."""
-    return metadata.where(~F.coalesce(F.col("checksum").rlike("(?s)^sha256:."), F.lit(False)))
+    return metadata.where("not coalesce(checksum rlike '(?s)^sha256:.', false)")
 
 
 def index_vs_metadata(index: DataFrame, metadata: DataFrame) -> DataFrame:
     """Keys on which the index and the per-document records disagree."""
-    names = [c for c in METADATA_COLUMNS if c != "key"]
-    left = index.select("key", F.struct(*names).alias("_l"))
-    right = metadata.select("key", F.struct(*names).alias("_r"))
-    problem = (
-        F.when(F.col("_r").isNull(), "no metadata")
-        .when(F.col("_l").isNull(), "not in index")
-        .when(_differs(names), "different")
-    )
+    record = ", ".join(c for c in METADATA_COLUMNS if c != "key")
+    left = index.selectExpr("key", f"struct({record}) as _l")
+    right = metadata.selectExpr("key", f"struct({record}) as _r")
+    problem = """
+        case when _r is null then 'no metadata'
+             when _l is null then 'not in index'
+             when not _l <=> _r then 'different' end as problem"""
     return (
         left.join(right, "key", "full_outer")
-        .select("key", problem.alias("problem"))
-        .where(F.col("problem").isNotNull())
+        .selectExpr("key", problem)
+        .where("problem is not null")
     )
 
 
 def path_collisions(docs: DataFrame) -> DataFrame:
     """Output paths that more than one document key maps to."""
     return (
-        docs.select("rel_key", body_path(F.col("rel_key")).alias("output_path"))
+        docs.selectExpr("rel_key", f"{body_path('rel_key')} as output_path")
         .groupBy("output_path")
         .agg(
             F.count(F.lit(1)).alias("documents"),
             F.min("rel_key").alias("first_key"),
             F.max("rel_key").alias("last_key"),
         )
-        .where(F.col("documents") > 1)
+        .where("documents > 1")
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import (
+    failure_text,
     figure_link,
     hit,
     key_block,
@@ -16,7 +17,7 @@ from quire.functions.figure_keys import (
     text_tokens,
 )
 from quire.functions.rows import rows_of
-from quire.functions.text import IMAGE_LINK
+from quire.functions.text import IMAGE_LINK, literal
 from quire.operators.ranking import HOT_GROUP_ROWS, number_within
 
 FIGURE_ORDER = ("page_no", "block_id", "img_key")
@@ -26,19 +27,19 @@ PART_KEYS = 2000
 
 def explode_images(renders: DataFrame) -> DataFrame:
     """Image lists of renders as rows; the PNG bytes stay behind."""
-    image = F.col("_image")
-    return rows_of(renders, ["rel_key"], "images", "_image", "_no").select(
+    return rows_of(renders, ["rel_key"], "images", "_i", "_no").selectExpr(
         "rel_key",
-        image["key"].alias("img_key"),
-        image["png"].isNotNull().alias("saved"),
-        png_mode(image["mode"], image["has_transparency"]).alias("png_mode"),
+        "_i.key as img_key",
+        "_i.png is not null as saved",
+        f"{png_mode('_i.mode', '_i.has_transparency')} as png_mode",
     )
 
 
 def parse_figure_key(figures: DataFrame) -> DataFrame:
     """Add the page and block numbers a figure's key names."""
-    key = F.col("img_key")
-    return figures.withColumns({"page_no": key_page(key), "block_id": key_block(key)})
+    return figures.selectExpr(
+        "*", f"{key_page('img_key')} as page_no", f"{key_block('img_key')} as block_id"
+    )
 
 
 def number_figures(figures: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
@@ -46,33 +47,14 @@ def number_figures(figures: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFr
 
     A figure that was not saved takes no number (null).
     """
-    lost = figures.where(~F.col("saved")).withColumn("figure_no", F.lit(None).cast("bigint"))
-    kept = number_within(
-        figures.where(F.col("saved")), ["rel_key"], FIGURE_ORDER, "figure_no", hot_rows
-    )
-    return kept.unionByName(lost)
+    ranked = number_within(figures, ["rel_key", "saved"], FIGURE_ORDER, "figure_no", hot_rows)
+    return ranked.withColumn("figure_no", F.expr("if(saved, figure_no, null)"))
 
 
 def figure_links(figures: DataFrame) -> DataFrame:
     """Add ``link``: where a numbered figure lies relative to its body."""
-    link = F.when(
-        F.col("figure_no").isNotNull(), figure_link(F.col("figure_no"), F.col("page_no"))
-    )
-    return figures.withColumn("link", link)
-
-
-def _quoted(key: Column) -> Column:
-    return F.concat(F.lit("'"), key, F.lit("'"))
-
-
-def failure_text(keys: Column) -> Column:
-    """Diagnostic for an array of failed image keys."""
-    return F.concat(
-        F.lit("failed to save "),
-        F.size(keys).cast("string"),
-        F.lit(" figure(s): "),
-        F.array_join(F.transform(keys, _quoted), ", "),
-    )
+    link = figure_link("figure_no", "page_no")
+    return figures.selectExpr("*", f"if(figure_no is null, null, {link}) as link")
 
 
 def figure_failures(
@@ -82,23 +64,16 @@ def figure_failures(
 
     One row per ``part_keys`` failed figures of a document.
     """
-    lost = number_within(
-        figures.where(~F.col("saved")).select("rel_key", *FIGURE_ORDER),
-        ["rel_key"],
-        FIGURE_ORDER,
-        "_no",
-        hot_rows,
-    )
-    part = F.floor((F.col("_no") - 1) / part_keys).cast("bigint")
-    keys = F.sort_array(F.collect_list(F.struct("_no", "img_key"))).alias("_keys")
+    lost = figures.where("not saved").select("rel_key", *FIGURE_ORDER)
+    ranked = number_within(lost, ["rel_key"], FIGURE_ORDER, "_no", hot_rows)
     return (
-        lost.groupBy("rel_key", part.alias("part"))
-        .agg(keys)
-        .select(
+        ranked.groupBy("rel_key", F.expr(f"(_no - 1) div {part_keys}").alias("part"))
+        .agg(F.expr("sort_array(collect_list(struct(_no, img_key))).img_key as _keys"))
+        .selectExpr(
             "rel_key",
             "part",
-            F.size("_keys").cast("bigint").alias("failed"),
-            failure_text(F.col("_keys.img_key")).alias("detail"),
+            "cast(size(_keys) as bigint) as failed",
+            f"{failure_text('_keys')} as detail",
         )
     )
 
@@ -110,37 +85,38 @@ def relink(pages: DataFrame, figures: DataFrame) -> DataFrame:
     the work follows the parentheses in the texts, and what is gathered for a
     page is bounded by that page's own text.
     """
-    tokens = pages.select("rel_key", "pos", F.explode(text_tokens(F.col("text"))).alias("_token"))
-    figure = F.struct("figure_no", "page_no", "block_id", "img_key", "link").alias("_f")
-    keys = figures.select("rel_key", key_token(F.col("img_key")).alias("_token"), figure).select(
-        "rel_key", "_token", hit(F.col("_f")).alias("_hit")
-    )
+    tokens = pages.selectExpr("rel_key", "pos", f"explode({text_tokens('text')}) as _token")
+    keys = figures.selectExpr(
+        "rel_key",
+        f"{key_token('img_key')} as _token",
+        "struct(figure_no, page_no, block_id, img_key, link) as _f",
+    ).selectExpr("rel_key", "_token", f"{hit('_f')} as _hit")
     hits = (
         tokens.join(keys, ["rel_key", "_token"])
         .groupBy("rel_key", "pos")
-        .agg(F.sort_array(F.collect_list("_hit")).alias("_hits"))
-    )
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(
-        relink_text(F.col("text"), F.col("_hits"))
+        .agg(F.expr("sort_array(collect_list(_hit)) as _hits"))
     )
+    text = f"if(_hits is null, text, {relink_text('text', '_hits')})"
     return (
-        pages.join(hits, ["rel_key", "pos"], "left").withColumn("text", text).drop("_hits")
-    ).select(*pages.columns)
+        pages.join(hits, ["rel_key", "pos"], "left")
+        .withColumn("text", F.expr(text))
+        .select(*pages.columns)
+    )
 
 
 def rewrite_links(pages: DataFrame, figures: DataFrame) -> DataFrame:
     """Point every literal '(key)' of a saved figure at its link."""
-    return relink(pages, figures.where(F.col("link").isNotNull()))
+    return relink(pages, figures.where("link is not null"))
 
 
 def strip_links(pages: DataFrame, figures: DataFrame) -> DataFrame:
     """Remove the image markup of figures that were not saved."""
-    return relink(pages, figures.where(F.col("link").isNull()))
+    return relink(pages, figures.where("link is null"))
 
 
 def extract_image_refs(pages: DataFrame) -> DataFrame:
     """Image links in page texts, one row each, in the order of the text."""
-    links = F.regexp_extract_all("text", F.lit(IMAGE_LINK), F.lit(1))
-    return pages.select(
-        "rel_key", "pos", "page_no", F.posexplode(links).alias("ref_no", "link")
-    ).withColumn("ref_no", F.col("ref_no").cast("bigint"))
+    links = f"regexp_extract_all(text, {literal(IMAGE_LINK)}, 1)"
+    return pages.selectExpr(
+        "rel_key", "pos", "page_no", f"posexplode({links}) as (ref_no, link)"
+    ).withColumn("ref_no", F.expr("cast(ref_no as bigint)"))

@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.text import human_size
 
 
 def inventory(files: DataFrame) -> DataFrame:
     """One row per file: key, name, size text, page count or '-'."""
-    return files.select(
+    return files.selectExpr(
         "rel_key",
-        F.regexp_extract("rel_key", r"[^/]*$", 0).alias("name"),
-        human_size(F.col("size_bytes")).alias("size"),
-        F.coalesce(F.col("page_count").cast("string"), F.lit("-")).alias("pages"),
+        "regexp_extract(rel_key, '[^/]*$', 0) as name",
+        f"{human_size('size_bytes')} as size",
+        "coalesce(cast(page_count as string), '-') as pages",
     )
 
 
 def inventory_totals(files: DataFrame) -> DataFrame:
     """Number of files and their total size, as number and as text."""
-    totals = files.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("total_bytes"),
+    totals = files.selectExpr(
+        "count(*) as files", "cast(coalesce(sum(size_bytes), 0) as bigint) as total_bytes"
     )
-    return totals.withColumn("total_size", human_size(F.col("total_bytes")))
+    return totals.selectExpr("*", f"{human_size('total_bytes')} as total_size")

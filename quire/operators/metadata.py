@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import literal
+
 # --- fixed values ------------------------------------------------------------
 CHECKSUM_PREFIX = "sha256:"
 # ---------------------------------------------------------------------------
@@ -26,44 +28,40 @@ METADATA_COLUMNS = (
 )
 
 
-def output_folder(rel_key: Column) -> Column:
+def output_folder(rel_key: str) -> str:
     """'<dir>/<stem>' of a key; only the last extension is cut."""
-    return F.regexp_replace(rel_key, r"(?<=[^/])\.[^./]*$", "")
+    return f"regexp_replace({rel_key}, {literal(r'(?<=[^/])\.[^./]*$')}, '')"
 
 
-def body_path(rel_key: Column, part: Column | None = None) -> Column:
+def body_path(rel_key: str, part: str | None = None) -> str:
     """'<dir>/<stem>/<stem>.md'; later parts of a long document are numbered."""
     folder = output_folder(rel_key)
-    stem = F.regexp_extract(folder, r"[^/]*$", 0)
-    if part is None:
-        return F.concat(folder, F.lit("/"), stem, F.lit(".md"))
-    tail = F.when(part == 0, F.lit(".md")).otherwise(F.format_string(".part-%05d.md", part))
-    return F.concat(folder, F.lit("/"), stem, tail)
+    stem = f"regexp_extract({folder}, '[^/]*$', 0)"
+    tail = "'.md'"
+    if part is not None:
+        tail = f"if({part} = 0, '.md', format_string('.part-%05d.md', {part}))"
+    return f"concat({folder}, '/', {stem}, {tail})"
 
 
 def output_paths(docs: DataFrame) -> DataFrame:
     """Add ``output_path`` relative to the output root."""
-    return docs.withColumn("output_path", body_path(F.col("rel_key")))
+    return docs.withColumn("output_path", F.expr(body_path("rel_key")))
 
 
-def doc_metadata(
-    docs: DataFrame, model: str, backend: str, fingerprint: str | Column
-) -> DataFrame:
+def doc_metadata(docs: DataFrame, model: str, backend: str, fingerprint: str) -> DataFrame:
     """The metadata record of every document, failed ones included."""
-    if not isinstance(fingerprint, Column):
-        fingerprint = F.lit(fingerprint)
-    return docs.select(
-        F.col("rel_key").alias("key"),
+    return docs.selectExpr(
+        "rel_key as key",
         "status",
-        F.coalesce("checksum", F.lit(UNREADABLE_CHECKSUM)).alias("checksum"),
-        F.lit(model).alias("model"),
-        F.lit(backend).alias("backend"),
-        F.col("processing_time").cast("double").alias("processing_time"),
-        F.current_timestamp().alias("timestamp"),
-        body_path(F.col("rel_key")).alias("output_path"),
-        F.col("recovered").cast("bigint").alias("pages"),
-        F.when(F.col("status") != "completed", F.col("error")).alias("error"),
-        fingerprint.alias("fingerprint"),
+        f"coalesce(checksum, {literal(UNREADABLE_CHECKSUM)}) as checksum",
+        f"{literal(model)} as model",
+        f"{literal(backend)} as backend",
+        "cast(processing_time as double) as processing_time",
+        "current_timestamp() as timestamp",
+        f"{body_path('rel_key')} as output_path",
+        "cast(recovered as bigint) as pages",
+        "if(status <> 'completed', error, null) as error",
+        f"{literal(fingerprint)} as fingerprint",
     )
 
 
@@ -74,30 +72,22 @@ def upsert_index(old: DataFrame, new: DataFrame) -> DataFrame:
     records of one key cost no more than one.
     """
     columns = list(METADATA_COLUMNS)
-    both = old.select(*columns, F.lit(0).alias("_gen")).unionByName(
-        new.select(*columns, F.lit(1).alias("_gen"))
-    )
+    both = old.selectExpr(*columns, "0 as _gen").unionByName(new.selectExpr(*columns, "1 as _gen"))
     # The rest of the record breaks ties, so the outcome never depends on order.
-    rest = [c for c in columns if c not in ("key", "timestamp")]
-    latest = F.max(F.struct("_gen", "timestamp", *rest)).alias("_r")
-    return both.groupBy("key").agg(latest).select(
-        "key", *(F.col(f"_r.{c}").alias(c) for c in columns if c != "key")
-    ).select(*columns)
+    rest = ", ".join(c for c in columns if c not in ("key", "timestamp"))
+    latest = F.expr(f"max(struct(_gen, timestamp, {rest})) as _r")
+    return both.groupBy("key").agg(latest).select("key", "_r.*").select(*columns)
 
 
 def run_outcome(results: DataFrame) -> DataFrame:
     """One row: documents by status, total, and the exit code of the run."""
-
-    def n(status: str) -> Column:
-        return F.count_if(F.col("status") == status).alias(status)
-
-    counts = results.agg(
-        n("completed"), n("partial"), n("failed"), F.count(F.lit(1)).alias("total")
+    counts = results.selectExpr(
+        *(f"count_if(status = '{s}') as {s}" for s in ("completed", "partial", "failed")),
+        "count(*) as total",
     )
-    bad = (F.col("failed") + F.col("partial")) > 0
-    return counts.withColumn("exit_code", F.when(bad, 1).otherwise(0).cast("bigint"))
+    return counts.selectExpr("*", "if(failed + partial > 0, 1L, 0L) as exit_code")
 
 
 def written_outputs(results: DataFrame) -> DataFrame:
     """Body paths of all documents that did not fail, cached ones included."""
-    return results.where(F.col("status") != "failed").select("rel_key", "output_path")
+    return results.where("status <> 'failed'").select("rel_key", "output_path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.page_text import (
@@ -14,14 +14,14 @@ from quire.functions.page_text import (
     with_section_array,
 )
 from quire.functions.rows import rows_of
-from quire.functions.text import PAGE_BOUNDARY, is_blank, strip
+from quire.functions.text import PAGE_BOUNDARY, is_blank, literal, strip
 
 
 def explode_pages(docs: DataFrame, *carry: str) -> DataFrame:
     """``pages`` arrays as rows: rel_key, pos, page_no, text."""
     rows = rows_of(docs, ["rel_key", *carry], "pages", "_page", "pos")
-    return rows.select(
-        "rel_key", *carry, F.col("pos").cast("bigint").alias("pos"), "_page.page_no", "_page.text"
+    return rows.selectExpr(
+        "rel_key", *carry, "cast(pos as bigint) as pos", "_page.page_no", "_page.text"
     )
 
 
@@ -30,64 +30,55 @@ def split_pages(renders: DataFrame) -> DataFrame:
     return explode_pages(with_page_array(renders.select("rel_key", "markdown")))
 
 
-def _bounded(renders: DataFrame) -> DataFrame:
-    return renders.select("rel_key", "markdown").where(
-        ~is_blank(F.col("markdown")) & F.col("markdown").rlike(PAGE_BOUNDARY)
-    )
-
-
 def fold_preamble(renders: DataFrame) -> DataFrame:
     """First pages that took up text from ahead of the first boundary."""
-    first = F.split("markdown", PAGE_BOUNDARY, 2)[0]
-    led = _bounded(renders).withColumn("preamble", strip(first)).where(F.col("preamble") != "")
-    page = F.col("pages")[0]
-    return with_page_array(led).select(
-        "rel_key", "preamble", page["page_no"].alias("page_no"), page["text"].alias("text")
+    boundary = literal(PAGE_BOUNDARY)
+    led = (
+        renders.select("rel_key", "markdown")
+        .where(f"not {is_blank('markdown')} and markdown rlike {boundary}")
+        .withColumn("preamble", F.expr(strip(f"split(markdown, {boundary}, 2)[0]")))
+        .where("preamble <> ''")
+    )
+    return with_page_array(led).selectExpr(
+        "rel_key", "preamble", "pages[0].page_no as page_no", "pages[0].text as text"
     )
 
 
 def unpaginated_fallback(renders: DataFrame) -> DataFrame:
     """Documents without any boundary: one page numbered 1 with the whole text."""
-    whole = renders.select("rel_key", "markdown").where(
-        ~is_blank(F.col("markdown")) & ~F.col("markdown").rlike(PAGE_BOUNDARY)
-    )
-    return whole.select(
-        "rel_key", F.lit(1).cast("bigint").alias("page_no"), strip(F.col("markdown")).alias("text")
-    )
+    boundary = literal(PAGE_BOUNDARY)
+    return renders.where(
+        f"not {is_blank('markdown')} and not markdown rlike {boundary}"
+    ).selectExpr("rel_key", "1L as page_no", f"{strip('markdown')} as text")
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
     """Per document: page count, whether any page has text, lowest and highest number."""
     return pages.groupBy("rel_key").agg(
         F.count(F.lit(1)).alias("page_count"),
-        F.max(~is_blank(F.col("text"))).alias("has_content"),
+        F.expr(f"max(not {is_blank('text')})").alias("has_content"),
         F.min("page_no").alias("first_page"),
         F.max("page_no").alias("last_page"),
     )
 
 
-def _parts(pages: DataFrame, *values: Column, part_pages: int) -> DataFrame:
-    """Pages of each part of a document as the sorted array ``_pages``."""
-    rows = pages.select("rel_key", "pos", *values)
-    part = part_of(F.col("pos"), part_pages)
-    return rows.groupBy("rel_key", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", *(c for c in rows.columns[2:])))).alias(
-            "_pages"
-        )
+def _parts(pages: DataFrame, value: str, part_pages: int) -> DataFrame:
+    """Values of the pages of each part of a document, in the order of the text."""
+    rows = pages.selectExpr(
+        "rel_key", f"{part_of('pos', part_pages)} as part", f"struct(pos, {value} as v) as _p"
     )
+    return rows.groupBy("rel_key", "part").agg(F.expr("sort_array(collect_list(_p)).v as _v"))
 
 
 def page_numbers(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """Page numbers in the order of the text, one row per part of a document."""
-    parts = _parts(pages, F.col("page_no"), part_pages=part_pages)
-    return parts.select("rel_key", "part", F.col("_pages.page_no").alias("page_numbers"))
+    return _parts(pages, "page_no", part_pages).selectExpr("rel_key", "part", "_v as page_numbers")
 
 
 def flat_text(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """Texts of the non-empty pages joined by blank lines, one row per part."""
-    filled = pages.where(F.col("text") != "")
-    parts = _parts(filled, F.col("text"), part_pages=part_pages)
-    return parts.select("rel_key", "part", F.array_join("_pages.text", "\n\n").alias("text"))
+    parts = _parts(pages.where("text <> ''"), "text", part_pages)
+    return parts.selectExpr("rel_key", "part", "array_join(_v, '\\n\\n') as text")
 
 
 def assemble_body(
@@ -99,27 +90,25 @@ def assemble_body(
     bodies, joined in order of ``part``, are the whole. With ``docs`` given,
     its documents without pages get the placeholder body.
     """
-    parts = _parts(
-        pages, section(F.col("page_no"), F.col("text")).alias("section"), part_pages=part_pages
-    )
-    bodies = parts.select("rel_key", "part", F.array_join("_pages.section", "").alias("body"))
+    parts = _parts(pages, section("page_no", "text"), part_pages)
+    bodies = parts.selectExpr("rel_key", "part", "array_join(_v, '') as body")
     if docs is None:
         return bodies
     return (
         docs.select("rel_key")
         .join(bodies, "rel_key", "left")
-        .select(
+        .selectExpr(
             "rel_key",
-            F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-            F.coalesce("body", F.lit(FAILED_BODY)).alias("body"),
+            "coalesce(part, 0L) as part",
+            f"coalesce(body, {literal(FAILED_BODY)}) as body",
         )
     )
 
 
 def parse_body(bodies: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """Page rows of assembled bodies; the inverse of ``assemble_body``."""
-    part = F.col("part") if "part" in bodies.columns else F.lit(0)
-    found = with_section_array(bodies.select("rel_key", "body", part.alias("_part")))
-    return explode_pages(found, "_part").select(
-        "rel_key", (F.col("_part") * part_pages + F.col("pos")).alias("pos"), "page_no", "text"
+    part = "part" if "part" in bodies.columns else "0L"
+    found = with_section_array(bodies.selectExpr("rel_key", "body", f"{part} as _part"))
+    return explode_pages(found, "_part").selectExpr(
+        "rel_key", f"_part * {part_pages} + pos as pos", "page_no", "text"
     )

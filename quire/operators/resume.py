@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import literal
 
-def _done(index: DataFrame, fingerprint: str | Column, existing_outputs: DataFrame) -> DataFrame:
+
+def _done(index: DataFrame, fingerprint: str, existing_outputs: DataFrame) -> DataFrame:
     """Completed records of this fingerprint whose output still exists."""
-    same_options = F.col("fingerprint") == (
-        fingerprint if isinstance(fingerprint, Column) else F.lit(fingerprint)
-    )
-    completed = index.where((F.col("status") == "completed") & same_options)
-    return completed.join(existing_outputs.select("output_path"), "output_path", "left_semi")
+    completed = index.where(f"status = 'completed' and fingerprint = {literal(fingerprint)}")
+    records = completed.selectExpr("key as rel_key", "checksum", "output_path")
+    return records.join(existing_outputs.select("output_path"), "output_path", "left_semi")
 
 
 def plan_run(
     files: DataFrame,
     index: DataFrame,
-    fingerprint: str | Column,
+    fingerprint: str,
     existing_outputs: DataFrame,
     reprocess: bool = False,
 ) -> DataFrame:
@@ -29,24 +29,21 @@ def plan_run(
     checksum (unreadable) is always converted, and fails there by itself.
     """
     if reprocess:
-        return files.withColumns(
-            {"action": F.lit("convert"), "cached_path": F.lit(None).cast("string")}
-        )
+        return files.selectExpr("*", "'convert' as action", "cast(null as string) as cached_path")
     done = (
         _done(index, fingerprint, existing_outputs)
         .groupBy("rel_key", "checksum")
-        .agg(F.max("output_path").alias("cached_path"))
+        .agg(F.expr("max(output_path) as cached_path"))
     )
-    action = F.when(F.col("cached_path").isNotNull(), "skip").otherwise("convert")
-    return files.join(done, ["rel_key", "checksum"], "left").select(
-        *files.columns, action.alias("action"), "cached_path"
+    return files.join(done, ["rel_key", "checksum"], "left").selectExpr(
+        *files.columns, "if(cached_path is null, 'convert', 'skip') as action", "cached_path"
     )
 
 
 def pending(
     files: DataFrame,
     index: DataFrame,
-    fingerprint: str | Column,
+    fingerprint: str,
     existing_outputs: DataFrame,
     reprocess: bool = False,
 ) -> DataFrame:
@@ -59,6 +56,6 @@ def pending(
 
 def cached_outcomes(plan: DataFrame) -> DataFrame:
     """Skipped files as completed results with the path of their cached output."""
-    return plan.where(F.col("action") == "skip").select(
-        "rel_key", F.lit("completed").alias("status"), F.col("cached_path").alias("output_path")
+    return plan.where("action = 'skip'").selectExpr(
+        "rel_key", "'completed' as status", "cached_path as output_path"
     )

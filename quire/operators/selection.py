@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.page_specs import (
@@ -14,6 +14,7 @@ from quire.functions.page_specs import (
     range_literal,
 )
 from quire.functions.rows import rows_of
+from quire.functions.text import literal
 
 # Ids unfolded from one range struct at a time.
 RANGE_STEP = 4096
@@ -21,15 +22,16 @@ RANGE_STEP = 4096
 
 def parse_page_specs(docs: DataFrame, spec: str = "spec") -> DataFrame:
     """Add ``ranges`` (null: all pages) and ``spec_error`` for a selection column."""
-    pieces = docs.withColumn("_pieces", parsed_pieces(F.col(spec)))
-    checked = pieces.withColumn("_bad", pieces_invalid(F.col("_pieces")))
     return (
-        checked.withColumn(
-            "ranges", F.when(~F.col("_bad"), merge_pieces(F.col("_pieces")))
-        )
-        .withColumn(
-            "spec_error",
-            F.when(F.col("_bad"), F.concat(F.lit("not a page selection: "), F.col(spec))),
+        docs.withColumn("_pieces", F.expr(parsed_pieces(spec)))
+        .withColumn("_bad", F.expr(pieces_invalid("_pieces")))
+        .withColumns(
+            {
+                "ranges": F.expr(f"if(_bad, null, {merge_pieces('_pieces')})"),
+                "spec_error": F.expr(
+                    f"if(_bad, concat('not a page selection: ', {spec}), null)"
+                ),
+            }
         )
         .drop("_pieces", "_bad")
     )
@@ -45,17 +47,16 @@ def expand_page_specs(docs: DataFrame, spec: str | None = None) -> DataFrame:
     if spec is None:
         ranged = parse_page_specs(docs)
     else:
-        ranged = docs.withColumn("ranges", range_literal(parse_literal(spec)))
-    step = RANGE_STEP
-    ranges = rows_of(ranged, ["rel_key"], "ranges", "_r", "_no")
-    first, last = F.col("_r.first"), F.col("_r.last")
-    starts = ranges.select(
+        ranged = docs.withColumn("ranges", F.expr(range_literal(parse_literal(spec))))
+    steps = rows_of(ranged, ["rel_key"], "ranges", "_r", "_no").selectExpr(
+        "rel_key",
+        "_r.last as _last",
+        f"explode(sequence(_r.first, _r.last, {RANGE_STEP}L)) as _from",
+    )
+    return steps.selectExpr(
         "rel_key",
-        last.alias("_last"),
-        F.explode(F.sequence(first, last, F.lit(step).cast("bigint"))).alias("_from"),
+        f"explode(sequence(_from, least(_from + {RANGE_STEP - 1}L, _last))) as page_id",
     )
-    until = F.least(F.col("_from") + (step - 1), F.col("_last"))
-    return starts.select("rel_key", F.explode(F.sequence("_from", until)).alias("page_id"))
 
 
 def select_pages(pages: DataFrame, spec: str | DataFrame | None) -> DataFrame:
@@ -64,27 +65,28 @@ def select_pages(pages: DataFrame, spec: str | DataFrame | None) -> DataFrame:
     ``spec`` is a selection for every document, or rows (rel_key, page_id).
     """
     if isinstance(spec, DataFrame):
-        wanted = spec.select("rel_key", (F.col("page_id") + 1).alias("page_no"))
+        wanted = spec.selectExpr("rel_key", "page_id + 1 as page_no")
         return pages.join(wanted, ["rel_key", "page_no"], "left_semi").select(*pages.columns)
     ranges = parse_literal(spec)
     if ranges is None:
         return pages
-    return pages.where(in_ranges(F.col("page_no") - 1, range_literal(ranges)))
+    return pages.where(in_ranges("page_no - 1", range_literal(ranges)))
 
 
-def fingerprint_of(model: Column, backend: Column, force_ocr: Column, ranges: Column) -> Column:
+def fingerprint_of(model: str, backend: str, force_ocr: str, ranges: str) -> str:
     """Hash of the options that change the output; equal selections hash alike."""
-    options = F.struct(
-        model.alias("model"),
-        backend.alias("backend"),
-        force_ocr.alias("force_ocr"),
-        ranges.alias("pages"),
+    options = (
+        f"named_struct('model', {model}, 'backend', {backend}, "
+        f"'force_ocr', {force_ocr}, 'pages', {ranges})"
     )
-    return F.sha2(F.to_json(options, {"ignoreNullFields": "false"}), 256)
+    return f"sha2(to_json({options}, map('ignoreNullFields', 'false')), 256)"
 
 
-def run_fingerprint(model: str, backend: str, force_ocr: bool, pages: str | None) -> Column:
-    """Fingerprint of one run as a constant column."""
+def run_fingerprint(model: str, backend: str, force_ocr: bool, pages: str | None) -> str:
+    """Fingerprint of one run, as a constant expression."""
     return fingerprint_of(
-        F.lit(model), F.lit(backend), F.lit(bool(force_ocr)), range_literal(parse_literal(pages))
+        literal(model),
+        literal(backend),
+        "true" if force_ocr else "false",
+        range_literal(parse_literal(pages)),
     )

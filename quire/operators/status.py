@@ -5,48 +5,38 @@ All operators work on one row per document and add columns to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.page_specs import parse_literal, range_literal, ranges_size
-from quire.functions.text import is_blank
+from quire.functions.text import is_blank, literal
 
 EMPTY_RENDER = "Converter returned empty output (no text)"
+SHORTFALL = "Recovered %d page(s) but the document has %d (pages dropped or not split)"
 
 
 def flag_empty_renders(renders: DataFrame) -> DataFrame:
     """Set ``error`` for renders without any text that carry no error yet."""
-    empty = is_blank(F.col("markdown"))
-    return renders.withColumn(
-        "error", F.coalesce(F.col("error"), F.when(empty, F.lit(EMPTY_RENDER)))
-    )
+    empty = f"if({is_blank('markdown')}, {literal(EMPTY_RENDER)}, null)"
+    return renders.withColumn("error", F.expr(f"coalesce(error, {empty})"))
 
 
-def expected_pages(docs: DataFrame, spec: str | Column | None = None) -> DataFrame:
+def expected_pages(
+    docs: DataFrame, spec: str | None = None, ranges: str | None = None
+) -> DataFrame:
     """Add ``expected``: how many pages a full render has; null when unknown.
 
-    With a selection it is the size of the selection and nothing else;
-    ``spec`` is the selection as text or a column of ranges.
+    With a selection it is the size of the selection and nothing else. The
+    selection is ``spec`` for all documents, or their own column ``ranges``.
     """
-    known = F.nullif(F.col("page_count"), F.lit(0))
-    if isinstance(spec, Column):
-        expected = F.when(spec.isNull(), known).otherwise(F.nullif(ranges_size(spec), F.lit(0)))
+    known = "nullif(page_count, 0)"
+    if ranges is not None:
+        chosen = f"if({ranges} is null, {known}, nullif({ranges_size(ranges)}, 0))"
+    elif (parsed := parse_literal(spec)) is not None:
+        chosen = f"nullif({ranges_size(range_literal(parsed))}, 0)"
     else:
-        ranges = parse_literal(spec)
-        expected = (
-            known
-            if ranges is None
-            else F.nullif(ranges_size(range_literal(ranges)), F.lit(0))
-        )
-    return docs.withColumn("expected", expected.cast("bigint"))
-
-
-def shortfall_text(recovered: Column, expected: Column) -> Column:
-    return F.format_string(
-        "Recovered %d page(s) but the document has %d (pages dropped or not split)",
-        recovered,
-        expected,
-    )
+        chosen = known
+    return docs.withColumn("expected", F.expr(f"cast({chosen} as bigint)"))
 
 
 def flag_shortfall(docs: DataFrame) -> DataFrame:
@@ -54,26 +44,22 @@ def flag_shortfall(docs: DataFrame) -> DataFrame:
 
     Documents without any page have failed already and get no such message.
     """
-    recovered, expected = F.col("recovered"), F.col("expected")
-    short = (recovered > 0) & (recovered < expected)
-    return docs.withColumn("page_error", F.when(short, shortfall_text(recovered, expected)))
+    said = f"format_string({literal(SHORTFALL)}, recovered, expected)"
+    short = F.expr(f"if(recovered > 0 and recovered < expected, {said}, null)")
+    return docs.withColumn("page_error", short)
 
 
 def classify_status(docs: DataFrame) -> DataFrame:
     """Add ``status`` from recovered, has_content, degraded and success."""
-    usable = (F.col("recovered") > 0) & F.coalesce(F.col("has_content"), F.lit(False))
-    return docs.withColumn(
-        "status",
-        F.when(~usable, "failed")
-        .when(F.col("degraded"), "partial")
-        .when(F.col("success"), "completed")
-        .otherwise("failed"),
-    )
+    status = """
+        case when not (recovered > 0 and coalesce(has_content, false)) then 'failed'
+             when degraded then 'partial'
+             when success then 'completed'
+             else 'failed' end"""
+    return docs.withColumn("status", F.expr(status))
 
 
 def compose_error(docs: DataFrame) -> DataFrame:
     """Set ``error``: all diagnostics of a document; null for completed ones."""
-    said = F.concat_ws("; ", "error", "page_error", "figure_error")
-    return docs.withColumn(
-        "error", F.when((F.col("status") != "completed") & (said != ""), said)
-    )
+    said = "nullif(concat_ws('; ', error, page_error, figure_error), '')"
+    return docs.withColumn("error", F.expr(f"if(status <> 'completed', {said}, null)"))

@@ -4,14 +4,19 @@ A render row holds the text and all images of its document. Splitting,
 numbering, linking and judging it there needs no shuffle at all, whatever the
 number of documents. Only where a document has very many pages *and* figures
 is its linking left to the join in ``quire.operators.figures.relink``.
+
+Arrays that later expressions use more than once are columns of their own, and
+each is referred to at least twice: the optimizer then keeps it computed once
+per row instead of folding it into a lambda.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import (
+    failure_text,
     figure_link,
     hit,
     key_block,
@@ -24,7 +29,7 @@ from quire.functions.figure_keys import (
 from quire.functions.page_text import with_page_array
 from quire.functions.rows import rows_of
 from quire.functions.text import is_blank
-from quire.operators.figures import failure_text, relink
+from quire.operators.figures import relink
 from quire.operators.pages import explode_pages
 from quire.operators.status import (
     classify_status,
@@ -39,122 +44,93 @@ ROW_LINK_WORK = 4_000_000
 
 
 def _with_figures(docs: DataFrame) -> DataFrame:
-    """``figures`` in source order (saved ones numbered) and ``pngs`` by number."""
-    found = F.transform(
-        # Without pages nothing is written, so its images do not count.
-        F.when(F.size("pages") > 0, F.col("images")),
-        lambda i: F.struct(
-            key_page(i["key"]).alias("page_no"),
-            key_block(i["key"]).alias("block_id"),
-            i["key"].alias("img_key"),
-            i["png"].isNotNull().alias("saved"),
-            png_mode(i["mode"], i["has_transparency"]).alias("png_mode"),
-            i["png"].alias("png"),
-        ),
-    )
+    """``figures`` in source order (saved ones numbered) and ``pngs`` by number.
 
-    def numbered(f: Column, no: Column, link: Column) -> Column:
-        return F.struct(
-            f["page_no"].alias("page_no"),
-            f["block_id"].alias("block_id"),
-            f["img_key"].alias("img_key"),
-            f["saved"].alias("saved"),
-            f["png_mode"].alias("png_mode"),
-            no.cast("bigint").alias("figure_no"),
-            link.cast("string").alias("link"),
+    Of a document without pages nothing is written, so its images do not count.
+    """
+    images = "if(size(pages) > 0, coalesce(images, array()), slice(images, 1, 0))"
+    found = f"""
+        coalesce(sort_array(transform({images}, i -> named_struct(
+          'page_no', {key_page("i.key")}, 'block_id', {key_block("i.key")},
+          'img_key', i.key, 'saved', i.png is not null,
+          'png_mode', {png_mode("i.mode", "i.has_transparency")}, 'png', i.png))), array())"""
+
+    def numbered(no: str, link: str) -> str:
+        return (
+            "named_struct('page_no', f.page_no, 'block_id', f.block_id, 'img_key', f.img_key, "
+            f"'saved', f.saved, 'png_mode', f.png_mode, 'figure_no', cast({no} as bigint), "
+            f"'link', cast({link} as string))"
         )
 
-    empty = F.expr(
-        "cast(array() as array<struct<page_no:bigint,block_id:bigint,img_key:string,"
-        "saved:boolean,png_mode:string,png:binary>>)"
-    )
-    ordered = docs.withColumn("_figs", F.coalesce(F.sort_array(found), empty))
-    split = ordered.withColumns(
-        {
-            "_kept": F.filter("_figs", lambda f: f["saved"]),
-            "_lost": F.filter("_figs", lambda f: ~f["saved"]),
-        }
-    )
-    kept = F.transform(
-        "_kept", lambda f, i: numbered(f, i + 1, figure_link(i + 1, f["page_no"]))
+    kept = f"transform(_kept, (f, i) -> {numbered('i + 1', figure_link('i + 1', 'f.page_no'))})"
+    lost = f"transform(_lost, f -> {numbered('null', 'null')})"
+    return (
+        docs.withColumn("_figs", F.expr(found))
+        .withColumns(
+            {
+                "_kept": F.expr("filter(_figs, f -> f.saved)"),
+                "_lost": F.expr("filter(_figs, f -> not f.saved)"),
+            }
+        )
+        .withColumns(
+            {
+                "figures": F.expr(f"concat({kept}, {lost})"),
+                "pngs": F.expr("_kept.png"),
+                "figure_error": F.expr(
+                    f"if(size(_lost) > 0, {failure_text('_lost.img_key')}, null)"
+                ),
+            }
+        )
+        .drop("_figs", "_kept", "_lost")
     )
-    lost = F.transform("_lost", lambda f: numbered(f, F.lit(None), F.lit(None)))
-    return split.withColumns(
-        {
-            "figures": F.concat(kept, lost),
-            "pngs": F.col("_kept.png"),
-            "figure_error": F.when(F.size("_lost") > 0, failure_text(F.col("_lost.img_key"))),
-        }
-    ).drop("_figs", "_kept", "_lost")
 
 
 def _with_links(docs: DataFrame, row_work: int) -> DataFrame:
     """Set the links in ``pages``; ``linked`` is false where that is left to a join."""
-    keyed = docs.withColumns(
-        {
-            "linked": F.size("pages").cast("bigint") * F.size("figures") <= row_work,
-            "_keys": F.sort_array(
-                F.transform(
-                    "figures",
-                    lambda f: F.struct(
-                        hit(f).alias("hit"), key_token(f["img_key"]).alias("token")
-                    ),
-                )
-            ),
-        }
-    )
-    here = F.col("linked") & (F.size("_keys") > 0)
-    marked = keyed.withColumn(
-        "_marked",
-        F.when(
-            here,
-            F.transform(
-                "pages",
-                lambda p: F.struct(
-                    p["page_no"].alias("page_no"),
-                    p["text"].alias("text"),
-                    F.array_intersect(text_tokens(p["text"]), F.col("_keys.token")).alias("hits"),
+    keys = f"""
+        sort_array(transform(figures, f ->
+          named_struct('hit', {hit("f")}, 'token', {key_token("f.img_key")})))"""
+    marked = f"""
+        if(linked and size(_keys) > 0, transform(pages, p -> named_struct(
+          'page_no', p.page_no, 'text', p.text,
+          'hits', array_intersect({text_tokens("p.text")}, _keys.token))), null)"""
+    own = "transform(filter(_keys, k -> array_contains(p.hits, k.token)), k -> k.hit)"
+    linked = f"""
+        transform(_marked, p -> named_struct('page_no', p.page_no, 'text',
+          if(size(p.hits) = 0, p.text, {relink_text("p.text", own)})))"""
+    return (
+        docs.withColumns(
+            {
+                "linked": F.expr(
+                    f"cast(size(pages) as bigint) * cast(size(figures) as bigint) <= {row_work}L"
                 ),
-            ),
-        ),
-    )
-    linked = F.transform(
-        "_marked",
-        lambda p: F.struct(
-            p["page_no"].alias("page_no"),
-            F.when(F.size(p["hits"]) == 0, p["text"])
-            .otherwise(
-                relink_text(
-                    p["text"],
-                    F.transform(
-                        F.filter("_keys", lambda k: F.array_contains(p["hits"], k["token"])),
-                        lambda k: k["hit"],
-                    ),
-                )
-            )
-            .alias("text"),
-        ),
+                "_keys": F.expr(keys),
+            }
+        )
+        .withColumn("_marked", F.expr(marked))
+        .withColumn("pages", F.expr(f"coalesce({linked}, pages)"))
+        .drop("_keys", "_marked")
     )
-    return marked.withColumn("pages", F.coalesce(linked, F.col("pages"))).drop("_keys", "_marked")
 
 
 def documents(
-    renders: DataFrame,
-    spec: str | Column | None = None,
-    row_work: int = ROW_LINK_WORK,
+    renders: DataFrame, spec: str | None = None, row_work: int = ROW_LINK_WORK
 ) -> DataFrame:
-    """One row per render: pages, figures, diagnostics and status. No shuffle."""
+    """One row per render: pages, figures, diagnostics and status. No shuffle.
+
+    ``spec`` is the page selection the renders were made with.
+    """
     carried = [c for c in ("checksum", "processing_time") if c in renders.columns]
     split = with_page_array(flag_empty_renders(renders))
     counted = _with_figures(split).withColumns(
         {
-            "recovered": F.size("pages").cast("bigint"),
-            "has_content": F.exists("pages", lambda p: ~is_blank(p["text"])),
-            "success": F.col("error").isNull(),
+            "recovered": F.expr("cast(size(pages) as bigint)"),
+            "has_content": F.expr(f"exists(pages, p -> not {is_blank('p.text')})"),
+            "success": F.expr("error is null"),
         }
     )
     checked = flag_shortfall(expected_pages(counted, spec))
-    degraded = F.col("page_error").isNotNull() | F.col("figure_error").isNotNull()
+    degraded = F.expr("page_error is not null or figure_error is not null")
     judged = compose_error(classify_status(checked.withColumn("degraded", degraded)))
     return _with_links(judged, row_work).select(
         "rel_key",
@@ -181,9 +157,9 @@ def document_figures(docs: DataFrame) -> DataFrame:
 def document_pages(docs: DataFrame) -> DataFrame:
     """The page table of ``documents``, links set.
 
-    Documents not linked in their row are linked by the join. Reading ``docs``
-    from a table, the second branch is pruned by the ``linked`` statistics.
+    ``docs`` should be read from a table: documents not linked in their row
+    take a second look at it, which the statistics of ``linked`` prune.
     """
-    large = docs.where(~F.col("linked"))
+    large = docs.where("not linked")
     joined = relink(explode_pages(large), document_figures(large))
     return explode_pages(docs.where("linked")).unionByName(joined)

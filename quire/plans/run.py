@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.operators.convert import RunOptions, convert
 from quire.operators.metadata import doc_metadata, run_outcome, written_outputs
@@ -57,25 +56,18 @@ def run(
     stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
 
-    fingerprint = (
-        spark.range(1)
-        .select(
-            run_fingerprint(options.model, options.backend, options.force_ocr, options.pages)
-        )
-        .first()[0]
-    )
+    chosen = (options.model, options.backend, options.force_ocr, options.pages)
+    fingerprint = spark.range(1).selectExpr(run_fingerprint(*chosen)).first()[0]
     found = discover_files(spark, input_path, root).select("rel_key", "path", "size_bytes")
     files = with_file_checksum(size_gate(found, options.max_file_mb))
     index = read_index(spark, root)
-    candidates = index.where(
-        (F.col("status") == "completed") & (F.col("fingerprint") == fingerprint)
-    )
-    existing = with_existence(candidates.select("output_path"), root)
+    mine = index.where(f"status = 'completed' and fingerprint = '{fingerprint}'")
+    existing = with_existence(mine.select("output_path"), root)
     planned = plan_run(files, index, fingerprint, existing, reprocess)
     planned.write.mode("overwrite").parquet(f"{run_dir}/plan")
     plan = spark.read.parquet(f"{run_dir}/plan")
 
-    todo = plan.where(F.col("action") == "convert")
+    todo = plan.where("action = 'convert'")
     renders = convert(todo, converter_factory, options)
     documents(renders, options.pages).write.mode("overwrite").parquet(f"{run_dir}/documents")
     docs = spark.read.parquet(f"{run_dir}/documents")
@@ -85,6 +77,6 @@ def run(
     if export:
         export_tree(docs, metadata, root)
 
-    fresh = metadata.select(F.col("key").alias("rel_key"), "status", "output_path")
+    fresh = metadata.selectExpr("key as rel_key", "status", "output_path")
     results = fresh.unionByName(cached_outcomes(plan))
     return RunReport(run_outcome(results), written_outputs(results), metadata, root, run_dir)

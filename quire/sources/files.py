@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.functions.text import literal
 
 # --- fixed values ------------------------------------------------------------
 SUPPORTED = (".pdf",)
+EXTENSION = r"[^/](\.[^./]+)$"
 MAX_FILE_MB = 500.0
 # ---------------------------------------------------------------------------
 
@@ -31,39 +33,40 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path) and fs.getFileStatus(jvm_path).isFile()
 
 
-def _extension(path: Column) -> Column:
-    """Lower-case extension; a leading dot alone ('.pdf') makes none."""
-    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
-
-
 def filter_supported(files: DataFrame, exts: Iterable[str] = SUPPORTED) -> DataFrame:
-    """Files whose extension is supported, in any letter case."""
-    return files.where(_extension(F.col("path")).isin(*(e.lower() for e in exts)))
+    """Files whose extension is supported, in any letter case.
+
+    A leading dot alone ('.pdf') makes no extension.
+    """
+    known = ", ".join(literal(e.lower()) for e in exts)
+    found = f"lower(regexp_extract(path, {literal(EXTENSION)}, 1))"
+    return files.where(f"{found} in ({known})")
 
 
 def exclude_output_subtree(files: DataFrame, output_root: str) -> DataFrame:
     """Files outside the output root, so that a run never reads its own output."""
-    return files.where(~F.startswith(F.col("path"), F.lit(output_root.rstrip("/") + "/")))
+    return files.where(f"not startswith(path, {literal(output_root.rstrip('/') + '/')})")
 
 
 def with_relative_key(files: DataFrame, root: str) -> DataFrame:
     """Add ``rel_key``: the path below the scan root, the identity of a document."""
-    prefix = root.rstrip("/") + "/"
-    return files.withColumn("rel_key", F.substring("path", len(prefix) + 1, 1 << 30))
+    below = len(root.rstrip("/")) + 2
+    return files.selectExpr("*", f"substring(path, {below}) as rel_key")
 
 
 def with_checksum(files: DataFrame) -> DataFrame:
     """Add ``checksum`` of the bytes; null where ``content`` is null (unreadable)."""
-    return files.withColumn("checksum", F.concat(F.lit("sha256:"), F.sha2("content", 256)))
+    return files.selectExpr("*", "concat('sha256:', sha2(content, 256)) as checksum")
 
 
 def size_gate(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     """Add ``size_error``: a message for files over the limit, else null."""
-    mb = F.col("size_bytes") / F.lit(1048576.0)
-    message = F.format_string(
-        f"File size (%.2f MB) exceeds maximum allowed size ({max_mb} MB)", F.bround(mb, 2)
+    mb = "size_bytes / 1048576D"
+    said = literal(f"File size (%.2f MB) exceeds maximum allowed size ({float(max_mb)} MB)")
+    return files.selectExpr(
+        "*",
+        f"if({mb} > {float(max_mb)}D, format_string({said}, bround({mb}, 2)), null) as size_error",
     )
-    return files.withColumn("size_error", F.when(mb > max_mb, message))
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -75,7 +78,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
-        .select("path", F.col("length").alias("size_bytes"), "modificationTime", "content")
+        .selectExpr("path", "length as size_bytes", "modificationTime", "content")
     )
 
 

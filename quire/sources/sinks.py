@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.page_text import FAILED_BODY, PART_PAGES, section
-from quire.operators.metadata import body_path, output_folder
+from quire.functions.text import literal
+from quire.operators.metadata import body_path, output_folder, upsert_index
 from quire.operators.pages import assemble_body
 from quire.plans.documents import document_figures, document_pages
 from quire.sources.index import read_index, write_index
@@ -25,8 +25,6 @@ def write_run(docs: DataFrame, metadata: DataFrame, root: str, run_dir: str) ->
 
     Failed documents are written like any other. Returns the snapshot's path.
     """
-    from quire.operators.metadata import upsert_index
-
     spark = docs.sparkSession
     write_tables(docs, metadata, run_dir)
     fresh = spark.read.parquet(f"{run_dir}/metadata")
@@ -35,19 +33,16 @@ def write_run(docs: DataFrame, metadata: DataFrame, root: str, run_dir: str) ->
 
 def document_bodies(docs: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """Bodies of ``documents`` by part, put together inside each row."""
-    linked = docs.where("linked")
-    last = F.greatest(F.ceil(F.size("pages") / part_pages) - 1, F.lit(0))
-    parts = linked.select(
-        "rel_key", "pages", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part")
+    last = f"greatest(ceil(size(pages) / {part_pages}) - 1, 0L)"
+    parts = docs.where("linked").selectExpr(
+        "rel_key", "pages", f"explode(sequence(0L, {last})) as part"
     )
-    own = F.slice("pages", (F.col("part") * part_pages + 1).cast("int"), part_pages)
-    body = F.array_join(F.transform(own, lambda p: section(p["page_no"], p["text"])), "")
-    in_row = parts.select(
-        "rel_key",
-        "part",
-        F.when(F.size("pages") == 0, F.lit(FAILED_BODY)).otherwise(body).alias("body"),
+    own = f"slice(pages, cast(part * {part_pages} + 1 as int), {part_pages})"
+    body = f"array_join(transform({own}, p -> {section('p.page_no', 'p.text')}), '')"
+    in_row = parts.selectExpr(
+        "rel_key", "part", f"if(size(pages) = 0, {literal(FAILED_BODY)}, {body}) as body"
     )
-    large = document_pages(docs.where(~F.col("linked")))
+    large = document_pages(docs.where("not linked"))
     return in_row.unionByName(assemble_body(large, part_pages=part_pages))
 
 
@@ -59,23 +54,17 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
     PART_PAGES pages goes on in '<stem>.part-00001.md' and so forth. Returns
     how many files of each kind were written.
     """
-    bodies = document_bodies(docs).select(
-        body_path(F.col("rel_key"), F.col("part")).alias("path"), F.col("body").alias("data")
+    bodies = document_bodies(docs).selectExpr(
+        f"{body_path('rel_key', 'part')} as path", "body as data"
     )
-    saved = F.slice("figures", 1, F.greatest(F.size("pngs"), F.lit(0)))
-    images = docs.select(
-        "rel_key", F.explode(F.arrays_zip(saved.alias("f"), F.col("pngs").alias("png"))).alias("z")
-    ).select(
-        F.concat(
-            output_folder(F.col("rel_key")), F.lit("/"), F.substring("z.f.link", 3, 1 << 30)
-        ).alias("path"),
-        F.col("z.png").alias("data"),
+    images = docs.selectExpr("rel_key", "posexplode(pngs) as (i, data)", "figures").selectExpr(
+        f"concat({output_folder('rel_key')}, '/', substring(figures[i].link, 3)) as path", "data"
     )
-    records = metadata.select(
-        F.concat(output_folder(F.col("key")), F.lit("/metadata.json")).alias("path"),
-        F.to_json(
-            F.struct(*metadata.columns), {"ignoreNullFields": "false", "pretty": "true"}
-        ).alias("data"),
+    columns = ", ".join(metadata.columns)
+    options = "map('ignoreNullFields', 'false', 'pretty', 'true')"
+    records = metadata.selectExpr(
+        f"concat({output_folder('key')}, '/metadata.json') as path",
+        f"to_json(struct({columns}), {options}) as data",
     )
     return {
         "bodies": write_files(bodies, root),

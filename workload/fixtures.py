@@ -9,7 +9,7 @@ goes on in further documents, so no group grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURNS_PER_DOCUMENT = 64
@@ -20,202 +20,153 @@ OVERSIZE = 629145600
 MODES = ("RGB", "RGBA", "LA", "P", "PA", "L")
 
 NOT_CONVERTED = 9
-ROOT = "/in"
+
+SCHEMAS = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+CHECKSUM = "concat('sha256:', sha2(cast(array_join(turns.text, '') as binary), 256))"
+OUTPUT = "regexp_replace(rel_key, '([^/]*)[.]pdf$', '$1/$1.md')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: conv_id, cls, rel_key, turns in order."""
-    conv = table(spark, sf_dir, "conversations")
-    vol = F.floor(F.col("turn") / TURNS_PER_DOCUMENT)
-    grouped = conv.groupBy("conv_id", vol.alias("vol")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
-    )
-    tail = F.when(F.col("vol") > 0, F.concat(F.lit("-"), F.col("vol").cast("string"))).otherwise("")
-    key = F.concat(
-        F.lit("d"),
-        (F.col("conv_id") % 5).cast("string"),
-        F.lit("/doc"),
-        F.floor(F.col("conv_id") / 5).cast("string"),
-        tail,
-        F.lit(".pdf"),
-    )
-    return grouped.select(
-        "conv_id",
-        (F.col("conv_id") % 10).alias("cls"),
-        key.alias("rel_key"),
-        F.size("turns").cast("bigint").alias("n"),
-        "turns",
+    """One row per document: conv_id, cls, rel_key, n, turns in order."""
+    return (
+        table(spark, sf_dir, "conversations")
+        .groupBy("conv_id", F.expr(f"turn div {TURNS_PER_DOCUMENT}").alias("vol"))
+        .agg(F.expr("sort_array(collect_list(struct(turn, role, text))) as turns"))
+        .selectExpr(
+            "conv_id",
+            "conv_id % 10 as cls",
+            "concat('d', conv_id % 5, '/doc', conv_id div 5, "
+            "if(vol > 0, concat('-', vol), ''), '.pdf') as rel_key",
+            "cast(size(turns) as bigint) as n",
+            "turns",
+        )
     )
 
 
-def _image_key(turn: Column, block: int) -> Column:
-    return F.concat(
-        F.lit("_page_"), turn.cast("string"), F.lit(f"_Figure_{block}.jpeg")
-    )
+def _image_key(turn: str, block: int) -> str:
+    return f"concat('_page_', {turn}, '_Figure_{block}.jpeg')"
 
 
-def _body(t: Column) -> Column:
-    figures = F.concat(
-        F.lit("\n\n![]("),
-        _image_key(t["turn"], 10),
-        F.lit(")\n\n![]("),
-        _image_key(t["turn"], 2),
-        F.lit(")"),
-    )
-    return F.concat(t["text"], F.when(t["role"] == "assistant", figures).otherwise(""))
+def _image_link(turn: str, block: int) -> str:
+    return f"'\\n\\n![](', {_image_key(turn, block)}, ')'"
 
 
-def marked(page_id: Column, body: Column) -> Column:
-    return F.concat(
-        F.lit("\n\n{"), page_id.cast("string"), F.lit("}" + RULE + "\n\n"), body
-    )
-
-
-def _present(turns: Column) -> Column:
-    """The turns that made it into the text of their document."""
-    cut = F.col("cls").isin(1, 7)
-    return F.when(cut, F.slice(turns, 1, F.size(turns) - 1)).otherwise(turns)
+def _marked(page_id: str, body: str) -> str:
+    return f"concat('\\n\\n{{', {page_id}, '}}{RULE}\\n\\n', {body})"
 
 
 def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rel_key, markdown, error, page_count, images, checksum of converted documents."""
-    docs = volumes(spark, sf_dir).where(F.col("cls") != NOT_CONVERTED)
-    cls, turns = F.col("cls"), F.col("turns")
-    docs = docs.withColumn("present", _present(turns))
-    sections = F.array_join(
-        F.transform("present", lambda t: marked(t["turn"], F.when(cls == 6, F.lit("   ")).otherwise(_body(t)))),
-        "",
-    )
-    plain = F.array_join(F.transform("present", _body), "\n\n")
-    markdown = (
-        F.when(cls == 2, plain)
-        .when(cls == 3, F.lit(None))
-        .when(cls == 4, F.concat(F.lit(PREAMBLE), sections))
-        .when(cls == 8, "")
-        .otherwise(sections)
-    )
-
-    def image(turn: Column, block: int) -> Column:
-        key = _image_key(turn, block)
-        lost = cls.isin(5, 7) & F.lit(block == 10)
-        modes = F.array(*map(F.lit, MODES))
-        return F.struct(
-            key.alias("key"),
-            modes[(turn % len(MODES)).cast("int")].alias("mode"),
-            (turn % 2 == 1).alias("has_transparency"),
-            F.when(~lost, key.cast("binary")).alias("png"),
+    body = (
+        "concat(t.text, if(t.role = 'assistant', "
+        f"concat({_image_link('t.turn', 10)}, {_image_link('t.turn', 2)}), ''))"
+    )
+    sections = f"transform(present, t -> {_marked('t.turn', f"if(cls = 6, '   ', {body})")})"
+    modes = ", ".join(f"'{m}'" for m in MODES)
+
+    def image(block: int) -> str:
+        key = _image_key("t.turn", block)
+        lost = "cls in (5, 7)" if block == 10 else "false"
+        return (
+            f"named_struct('key', {key}, 'mode', array({modes})[cast(t.turn % {len(MODES)} as int)], "
+            f"'has_transparency', t.turn % 2 = 1, 'png', if({lost}, null, cast({key} as binary)))"
         )
 
-    shown = F.filter("present", lambda t: (t["role"] == "assistant") & ~cls.isin(3, 6, 8))
-    images = F.flatten(
-        F.transform(shown, lambda t: F.array(image(t["turn"], 10), image(t["turn"], 2)))
-    )
-    return docs.select(
-        "conv_id",
-        "rel_key",
-        markdown.alias("markdown"),
-        F.when(cls == 3, "converter failed").alias("error"),
-        F.when(cls == 2, F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("page_count"),
-        images.alias("images"),
-        _checksum(turns).alias("checksum"),
+    return (
+        volumes(spark, sf_dir)
+        .where(f"cls <> {NOT_CONVERTED}")
+        .selectExpr("*", "if(cls in (1, 7), slice(turns, 1, size(turns) - 1), turns) as present")
+        .selectExpr(
+            "conv_id",
+            "rel_key",
+            f"""case when cls = 2 then array_join(transform(present, t -> {body}), '\\n\\n')
+                     when cls = 3 then null
+                     when cls = 4 then concat('{PREAMBLE}', array_join({sections}, ''))
+                     when cls = 8 then ''
+                     else array_join({sections}, '') end as markdown""",
+            "if(cls = 3, 'converter failed', null) as error",
+            "if(cls = 2, 1L, n) as page_count",
+            f"""flatten(transform(
+                  filter(present, t -> t.role = 'assistant' and cls not in (3, 6, 8)),
+                  t -> array({image(10)}, {image(2)}))) as images""",
+            f"{CHECKSUM} as checksum",
+        )
     )
 
 
-def _checksum(turns: Column) -> Column:
-    text = F.array_join(F.transform(turns, lambda t: t["text"]), "")
-    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, rel_key, path, size_bytes, page_count, checksum of every document."""
-    cls = F.col("cls")
-    chars = F.aggregate(
-        "turns", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t["text"])
-    )
-    return volumes(spark, sf_dir).select(
+    return volumes(spark, sf_dir).selectExpr(
         "conv_id",
         "rel_key",
-        F.concat(F.lit(f"{ROOT}/"), F.col("rel_key")).alias("path"),
-        F.when(cls == NOT_CONVERTED, F.lit(OVERSIZE).cast("bigint"))
-        .otherwise(chars * 1000)
-        .alias("size_bytes"),
-        F.when(cls == 2, F.lit(1).cast("bigint")).otherwise(F.col("n")).alias("page_count"),
-        _checksum(F.col("turns")).alias("checksum"),
+        "concat('/in/', rel_key) as path",
+        f"if(cls = {NOT_CONVERTED}, {OVERSIZE}L, "
+        "1000L * aggregate(turns, 0L, (a, t) -> a + length(t.text))) as size_bytes",
+        "if(cls = 2, 1L, n) as page_count",
+        f"{CHECKSUM} as checksum",
     )
 
 
 def prior_index(files_df: DataFrame) -> DataFrame:
     """An index left by an earlier run over the same files."""
-    cid = F.col("conv_id")
-    stale = F.concat(
-        F.lit("sha256:"), F.sha2(F.concat(F.lit("old"), cid.cast("string")).cast("binary"), 256)
-    )
-    return files_df.where(cid % 3 != 2).select(
-        F.col("rel_key"),
-        F.when(cid % 5 == 0, "partial").otherwise("completed").alias("status"),
-        F.when(cid % 3 == 1, stale).otherwise(F.col("checksum")).alias("checksum"),
-        F.when(cid % 7 == 0, "fp-old").otherwise("fp-now").alias("fingerprint"),
-        F.regexp_replace("rel_key", r"([^/]*)\.pdf$", "$1/$1.md").alias("output_path"),
+    stale = "concat('sha256:', sha2(cast(concat('old', conv_id) as binary), 256))"
+    return files_df.where("conv_id % 3 <> 2").selectExpr(
+        "conv_id",
+        "rel_key as key",
+        "if(conv_id % 5 = 0, 'partial', 'completed') as status",
+        f"if(conv_id % 3 = 1, {stale}, checksum) as checksum",
+        "if(conv_id % 7 = 0, 'fp-old', 'fp-now') as fingerprint",
+        f"{OUTPUT} as output_path",
     )
 
 
 def existing_outputs(files_df: DataFrame) -> DataFrame:
-    return files_df.where(F.col("conv_id") % 11 != 0).select(
-        F.regexp_replace("rel_key", r"([^/]*)\.pdf$", "$1/$1.md").alias("output_path")
-    )
+    return files_df.where("conv_id % 11 <> 0").selectExpr(f"{OUTPUT} as output_path")
 
 
 def specs(files_df: DataFrame) -> DataFrame:
     """Page selections of the documents, one of each kind."""
-    cid, n = F.col("conv_id"), F.col("page_count").cast("string")
-    spec = (
-        F.when(cid % 6 == 0, F.concat(F.lit("0-"), n))
-        .when(cid % 6 == 1, "1,0")
-        .when(cid % 6 == 2, F.concat(n, F.lit("-0")))
-        .when(cid % 6 == 3, F.lit(None))
-        .when(cid % 6 == 4, " 0, 2-3 ,2")
-        .otherwise("a")
-    )
-    return files_df.select("conv_id", "rel_key", "page_count", spec.alias("spec"))
+    spec = """
+        case conv_id % 6 when 0 then concat('0-', page_count) when 1 then '1,0'
+             when 2 then concat(page_count, '-0') when 4 then ' 0, 2-3 ,2' when 5 then 'a' end"""
+    return files_df.selectExpr("conv_id", "rel_key", "page_count", f"{spec} as spec")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered volumes of every source: a page per document row, every third with a figure."""
-    docs = table(spark, sf_dir, "documents")
-    vol = F.floor(F.col("doc_id") / IDS_PER_VOLUME)
-    page_id = F.col("doc_id") % IDS_PER_VOLUME
-    key = F.concat(F.lit("_page_"), page_id.cast("string"), F.lit("_Figure_0.jpeg"))
-    figure = page_id % 3 == 0
-    body = F.concat(
-        F.col("text"), F.when(figure, F.concat(F.lit("\n\n![]("), key, F.lit(")"))).otherwise("")
-    )
-    rows = docs.select(
-        F.concat(F.col("source"), F.lit("/v"), vol.cast("string"), F.lit(".pdf")).alias("rel_key"),
-        F.struct(
-            page_id.alias("page_id"),
-            marked(page_id, body).alias("section"),
-            F.when(figure, key).alias("key"),
-        ).alias("p"),
-    )
-    pages = rows.groupBy("rel_key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    shown = F.filter("ps", lambda p: p["key"].isNotNull())
-    images = F.transform(
-        shown,
-        lambda p: F.struct(
-            p["key"].alias("key"),
-            F.lit("RGB").alias("mode"),
-            F.lit(False).alias("has_transparency"),
-            p["key"].cast("binary").alias("png"),
-        ),
-    )
-    return pages.select(
-        "rel_key",
-        F.array_join("ps.section", "").alias("markdown"),
-        F.lit(None).cast("string").alias("error"),
-        F.size("ps").cast("bigint").alias("page_count"),
-        images.alias("images"),
+    link = "if(key is null, '', concat('\\n\\n![](', key, ')'))"
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr(
+            f"concat(source, '/v', doc_id div {IDS_PER_VOLUME}, '.pdf') as rel_key",
+            f"doc_id % {IDS_PER_VOLUME} as page_id",
+            "text",
+        )
+        .selectExpr(
+            "*",
+            "if(page_id % 3 = 0, concat('_page_', page_id, '_Figure_0.jpeg'), null) as key",
+        )
+        .selectExpr(
+            "rel_key",
+            f"struct(page_id, {_marked('page_id', f'concat(text, {link})')} as section, key) as p",
+        )
+        .groupBy("rel_key")
+        .agg(F.expr("sort_array(collect_list(p)) as ps"))
+        .selectExpr(
+            "rel_key",
+            "array_join(ps.section, '') as markdown",
+            "cast(null as string) as error",
+            "cast(size(ps) as bigint) as page_count",
+            """transform(filter(ps, p -> p.key is not null), p -> named_struct(
+                 'key', p.key, 'mode', 'RGB', 'has_transparency', false,
+                 'png', cast(p.key as binary))) as images""",
+        )
     )

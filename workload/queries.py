@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,47 +41,41 @@ def linked_figures(spark: SparkSession, d: str) -> DataFrame:
 
 def doc_rows(spark: SparkSession, d: str) -> DataFrame:
     """Documents without their nested tables, oversized files among them."""
-    converted = documents(fx.renders(spark, d)).drop("pages", "figures", "pngs", "linked")
-    gated = file_ops.size_gate(fx.files(spark, d)).where(F.col("size_error").isNotNull())
-    refused = gated.select(
-        "rel_key",
-        "checksum",
-        "page_count",
-        F.lit(0).cast("bigint").alias("recovered"),
-        F.lit("failed").alias("status"),
-        F.col("size_error").alias("error"),
+    converted = documents(fx.renders(spark, d)).select(
+        "rel_key", "checksum", "page_count", "recovered", "status", "error"
+    )
+    refused = file_ops.size_gate(fx.files(spark, d)).where("size_error is not null")
+    return converted.unionByName(
+        refused.selectExpr(
+            "rel_key", "checksum", "page_count", "0L as recovered", "'failed' as status",
+            "size_error as error",
+        )
     )
-    return converted.unionByName(refused, allowMissingColumns=True)
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    docs = doc_rows(spark, d).withColumn("processing_time", F.lit(0.0))
-    return metadata.doc_metadata(docs, MODEL, BACKEND, FINGERPRINT).withColumn(
-        "timestamp", F.lit("2024-01-02").cast("timestamp")
-    )
+    docs = doc_rows(spark, d).selectExpr("*", "0D as processing_time")
+    made = metadata.doc_metadata(docs, MODEL, BACKEND, FINGERPRINT)
+    return made.withColumn("timestamp", F.expr("timestamp'2024-01-02'"))
 
 
 def old_records(spark: SparkSession, d: str) -> DataFrame:
     """The prior index in full, with records of keys that are gone since."""
     f = fx.files(spark, d)
-    prior = fx.prior_index(f)
-    gone = fx.prior_index(f.where(F.col("conv_id") % 4 == 0)).withColumns(
-        {
-            "rel_key": F.concat(F.lit("gone/"), F.col("rel_key")),
-            "output_path": F.concat(F.lit("gone/"), F.col("output_path")),
-        }
+    prior = fx.prior_index(f).selectExpr(
+        "explode(if(conv_id % 4 = 0, array('', 'gone/'), array(''))) as folder", "*"
     )
-    return prior.unionByName(gone).select(
-        F.col("rel_key").alias("key"),
+    return prior.selectExpr(
+        "concat(folder, key) as key",
         "status",
         "checksum",
-        F.lit(MODEL).alias("model"),
-        F.lit(BACKEND).alias("backend"),
-        F.lit(1.0).alias("processing_time"),
-        F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
-        "output_path",
-        F.lit(1).cast("bigint").alias("pages"),
-        F.lit(None).cast("string").alias("error"),
+        f"'{MODEL}' as model",
+        f"'{BACKEND}' as backend",
+        "1D as processing_time",
+        "timestamp'2024-01-01' as timestamp",
+        "concat(folder, output_path) as output_path",
+        "1L as pages",
+        "cast(null as string) as error",
         "fingerprint",
     )
 
@@ -94,14 +89,11 @@ def discover_files(spark, d):
 
 
 def _varied_paths(spark, d):
-    cid = F.col("conv_id")
-    ext = (
-        F.when(cid % 4 == 0, ".pdf").when(cid % 4 == 1, ".PDF").when(cid % 4 == 2, ".jpg")
-    ).otherwise("")
-    folder = F.when(cid % 3 == 0, "ocr").when(cid % 3 == 1, "ocr-notes").otherwise("sub/ocr")
-    stem = F.regexp_replace("rel_key", r"\.pdf$", "")
-    return fx.files(spark, d).select(
-        F.concat(F.lit("/in/"), folder, F.lit("/"), stem, ext).alias("path"), "size_bytes"
+    ext = "case conv_id % 4 when 0 then '.pdf' when 1 then '.PDF' when 2 then '.jpg' else '' end"
+    folder = "case conv_id % 3 when 0 then 'ocr' when 1 then 'ocr-notes' else 'sub/ocr' end"
+    return fx.files(spark, d).selectExpr(
+        f"concat('/in/', {folder}, '/', regexp_replace(rel_key, '[.]pdf$', ''), {ext}) as path",
+        "size_bytes",
     )
 
 
@@ -118,9 +110,7 @@ def with_relative_key(spark, d):
 
 
 def with_checksum(spark, d):
-    docs = fx.table(spark, d, "documents").select(
-        "doc_id", F.col("text").cast("binary").alias("content")
-    )
+    docs = fx.table(spark, d, "documents").selectExpr("doc_id", "cast(text as binary) as content")
     return file_ops.with_checksum(docs).select("doc_id", "checksum")
 
 
@@ -138,11 +128,8 @@ def read_index_(spark, d):
 
 
 def inventory_(spark, d):
-    cid = F.col("conv_id")
-    known = fx.files(spark, d).withColumn(
-        "page_count", F.when(cid % 3 != 0, F.col("page_count"))
-    )
-    return inventory.inventory(known)
+    known = F.expr("if(conv_id % 3 <> 0, page_count, null)")
+    return inventory.inventory(fx.files(spark, d).withColumn("page_count", known))
 
 
 def inventory_totals(spark, d):
@@ -160,9 +147,8 @@ def select_pages(spark, d):
 
 def run_fingerprint(spark, d):
     parsed = selection.parse_page_specs(fx.specs(fx.files(spark, d)))
-    forced = F.col("conv_id") % 2 == 0
-    fp = selection.fingerprint_of(F.lit(MODEL), F.lit(BACKEND), forced, F.col("ranges"))
-    return parsed.select("rel_key", "spec_error", fp.alias("fingerprint"))
+    fp = selection.fingerprint_of(f"'{MODEL}'", f"'{BACKEND}'", "conv_id % 2 = 0", "ranges")
+    return parsed.selectExpr("rel_key", "spec_error", f"{fp} as fingerprint")
 
 
 def _planning(spark, d):
@@ -201,15 +187,13 @@ def _stub_factory(told):
 
 
 def convert_(spark, d):
-    docs = fx.volumes(spark, d).select(
-        "rel_key",
-        F.array_join(F.transform("turns", lambda t: t["text"]), "\f").cast("binary").alias(
-            "content"
-        ),
+    docs = fx.volumes(spark, d).selectExpr(
+        "rel_key", "cast(array_join(turns.text, '\f') as binary) as content"
     )
     made = convert(docs, _stub_factory, RunOptions())
-    return made.select("rel_key", "markdown", "error", "page_count",
-                       F.size("images").cast("bigint").alias("n_images"))
+    return made.selectExpr(
+        "rel_key", "markdown", "error", "page_count", "cast(size(images) as bigint) as n_images"
+    )
 
 
 def flag_empty_renders(spark, d):
@@ -258,22 +242,20 @@ def split_books(spark, d):
 
 def expected_pages(spark, d):
     parsed = selection.parse_page_specs(fx.specs(fx.files(spark, d)))
-    return status.expected_pages(parsed, F.col("ranges")).select("rel_key", "expected")
+    return status.expected_pages(parsed, ranges="ranges").select("rel_key", "expected")
 
 
 def _judged_inputs(spark, d):
     """One row per document with what the status rules look at."""
     stats = pages.page_stats(doc_pages(spark, d))
-    lost = figures.figure_failures(raw_figures(spark, d)).select(
-        "rel_key", F.col("detail").alias("figure_error")
-    )
+    lost = figures.figure_failures(raw_figures(spark, d))
     docs = status.flag_empty_renders(fx.renders(spark, d)).select("rel_key", "error", "page_count")
     return (
         status.expected_pages(docs)
-        .join(stats.select("rel_key", F.col("page_count").alias("recovered"), "has_content"),
+        .join(stats.selectExpr("rel_key", "page_count as recovered", "has_content"),
               "rel_key", "left")
-        .join(lost, "rel_key", "left")
-        .withColumn("recovered", F.coalesce("recovered", F.lit(0).cast("bigint")))
+        .join(lost.selectExpr("rel_key", "detail as figure_error"), "rel_key", "left")
+        .withColumn("recovered", F.expr("coalesce(recovered, 0L)"))
     )
 
 
@@ -284,11 +266,14 @@ def flag_shortfall(spark, d):
 
 
 def _classified(spark, d):
-    docs = status.flag_shortfall(_judged_inputs(spark, d)).withColumn(
-        "success", F.col("error").isNull()
+    return status.classify_status(
+        status.flag_shortfall(_judged_inputs(spark, d)).withColumns(
+            {
+                "success": F.expr("error is null"),
+                "degraded": F.expr("page_error is not null or figure_error is not null"),
+            }
+        )
     )
-    degraded = F.col("page_error").isNotNull() | F.col("figure_error").isNotNull()
-    return status.classify_status(docs.withColumn("degraded", degraded))
 
 
 def classify_status(spark, d):
@@ -337,18 +322,19 @@ def relink_pages(spark, d):
 
 
 def relink_books(spark, d):
-    return document_pages(documents(fx.books(spark, d)))
+    """As a run does it: documents are written once, their page table read from there."""
+    docs = scratch_dir(spark, "books")
+    documents(fx.books(spark, d)).write.parquet(docs)
+    return document_pages(spark.read.parquet(docs))
 
 
 # --- metadata, sinks, roll-up ------------------------------------------------
 
 
 def process_documents(spark, d):
-    docs = documents(fx.renders(spark, d))
-    saved = F.size(F.filter("figures", lambda f: f["saved"])).cast("bigint")
-    return docs.select(
+    return documents(fx.renders(spark, d)).selectExpr(
         "rel_key", "expected", "recovered", "has_content", "degraded", "status", "error",
-        saved.alias("figures_saved"),
+        "cast(size(pngs) as bigint) as figures_saved",
     )
 
 
@@ -368,43 +354,36 @@ def upsert_index(spark, d):
     return metadata.upsert_index(old_records(spark, d), records(spark, d)).select(*METADATA)
 
 
+def _written(spark, d, folder):
+    """Documents of a run as read back from their table."""
+    docs = documents(fx.renders(spark, d)).selectExpr("*", "0D as processing_time")
+    docs.write.parquet(f"{folder}/documents")
+    return spark.read.parquet(f"{folder}/documents")
+
+
 def write_run_(spark, d):
     """Writes all tables of a run and reads their row counts back."""
     root = scratch_dir(spark, "run")
     run_dir = f"{root}/_runs/0"
-    documents(fx.renders(spark, d)).withColumn("processing_time", F.lit(0.0)).write.parquet(
-        f"{run_dir}/documents"
-    )
-    docs = spark.read.parquet(f"{run_dir}/documents")
+    docs = _written(spark, d, run_dir)
     write_run(docs, metadata.doc_metadata(docs, MODEL, BACKEND, FINGERPRINT), root, run_dir)
-    counts = [
-        spark.read.parquet(f"{run_dir}/{t}").agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(t).alias("name"), "n_rows"
-        )
-        for t in ("documents", "pages", "figures", "metadata")
-    ]
-    index = read_index(spark, root).agg(F.count(F.lit(1)).alias("n_rows"))
-    out = index.select(F.lit("index").alias("name"), "n_rows")
-    for c in counts:
-        out = out.unionByName(c)
-    return out
+    tables = {t: spark.read.parquet(f"{run_dir}/{t}")
+              for t in ("documents", "pages", "figures", "metadata")}
+    tables["index"] = read_index(spark, root)
+    counts = [df.selectExpr(f"'{t}' as name", "count(*) as n_rows") for t, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def export_tree_(spark, d):
-    """Exports the folder tree and lists it: path, size and digest of each body."""
+    """Exports the folder tree and lists it: path, size and digest of bodies and figures."""
     root = scratch_dir(spark, "tree")
-    documents(fx.renders(spark, d)).withColumn("processing_time", F.lit(0.0)).write.parquet(
-        f"{root}/documents"
-    )
-    docs = spark.read.parquet(f"{root}/documents")
+    docs = _written(spark, d, root)
     tree = f"{root}/tree"
     export_tree(docs, metadata.doc_metadata(docs, MODEL, BACKEND, FINGERPRINT), tree)
     top = file_ops.qualified(spark, tree)
     listed = file_ops.with_relative_key(file_ops.scan_files(spark, top), top)
-    bodies = file_ops.filter_supported(listed, {".md", ".png"})
-    return file_ops.with_checksum(bodies).select(
-        F.col("rel_key").alias("path"), "size_bytes", "checksum"
-    )
+    found = file_ops.filter_supported(listed, {".md", ".png"})
+    return file_ops.with_checksum(found).selectExpr("rel_key as path", "size_bytes", "checksum")
 
 
 def _results(spark, d):
@@ -437,30 +416,24 @@ def page_tag_mismatch(spark, d):
 
 
 def expectation_diff(spark, d):
-    cid = F.col("conv_id")
-    expected = fx.files(spark, d).where(cid % 7 != 0).select(
+    expected = fx.files(spark, d).where("conv_id % 7 <> 0").selectExpr(
         "rel_key",
-        F.when(cid % 11 != 0, F.col("page_count")).alias("pages"),
-        F.when(cid % 10 == 3, "failed").otherwise("completed").alias("status"),
+        "if(conv_id % 11 <> 0, page_count, null) as pages",
+        "if(conv_id % 10 = 3, 'failed', 'completed') as status",
     )
-    kept = records(spark, d).where(~F.col("key").like("d4/%"))
-    return audit.expectation_diff(expected, kept)
+    return audit.expectation_diff(expected, records(spark, d).where("key not like 'd4/%'"))
 
 
 def _spoiled(spark, d):
     """Records with damaged checksums and statuses, some missing."""
-    key = F.col("key")
+    checksum = """
+        case when key like 'd0/%' then replace(checksum, 'sha256:', 'md5:')
+             when key like 'd2/%' then 'sha256:' else checksum end"""
+    status_ = "if(key like 'd3/%1.pdf', 'partial', status)"
     return (
         records(spark, d)
-        .where(~key.like("d1/%"))
-        .withColumns(
-            {
-                "checksum": F.when(key.like("d0/%"), F.replace("checksum", F.lit("sha256:"), F.lit("md5:")))
-                .when(key.like("d2/%"), "sha256:")
-                .otherwise(F.col("checksum")),
-                "status": F.when(key.like("d3/%1.pdf"), "partial").otherwise(F.col("status")),
-            }
-        )
+        .where("key not like 'd1/%'")
+        .withColumns({"checksum": F.expr(checksum), "status": F.expr(status_)})
     )
 
 
@@ -469,16 +442,15 @@ def bad_checksums(spark, d):
 
 
 def index_vs_metadata(spark, d):
-    meta = records(spark, d).where(~F.col("key").like("d2/%0.pdf"))
+    meta = records(spark, d).where("key not like 'd2/%0.pdf'")
     return audit.index_vs_metadata(_spoiled(spark, d), meta)
 
 
 def path_collisions(spark, d):
-    f = fx.files(spark, d).select("conv_id", "rel_key")
-    twins = f.where(F.col("conv_id") % 4 == 0).withColumn(
-        "rel_key", F.regexp_replace("rel_key", r"pdf$", "PDF")
+    f = fx.files(spark, d).selectExpr(
+        "explode(if(conv_id % 4 = 0, array('pdf', 'PDF'), array('pdf'))) as ext", "rel_key"
     )
-    return audit.path_collisions(f.unionByName(twins))
+    return audit.path_collisions(f.selectExpr("regexp_replace(rel_key, 'pdf$', ext) as rel_key"))
 
 
 QUERIES: dict[str, Query] = {
