@@ -17,3 +17,14 @@ def rows_of(df: DataFrame, keep: list[str | Column], array: str, item: str, pos:
     return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(
         F.col(pos).isNotNull()
     )
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed before anything else looks at it.
+
+    A filter on a computed column is pushed below the projections that compute
+    it, repeating their work inside the predicate; a filter on the output of a
+    generator is not.
+    """
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    return df.selectExpr(f"inline_outer(array(struct({columns})))")

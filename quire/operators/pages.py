@@ -94,14 +94,11 @@ def assemble_body(
     bodies = parts.selectExpr("rel_key", "part", "array_join(_v, '') as body")
     if docs is None:
         return bodies
-    return (
-        docs.select("rel_key")
-        .join(bodies, "rel_key", "left")
-        .selectExpr(
-            "rel_key",
-            "coalesce(part, 0L) as part",
-            f"coalesce(body, {literal(FAILED_BODY)}) as body",
-        )
+    # Not an outer join of docs and bodies: one document may have most of the parts.
+    filled = pages.select("rel_key").distinct()
+    empty = docs.select("rel_key").join(filled, "rel_key", "left_anti")
+    return bodies.unionByName(
+        empty.selectExpr("rel_key", "0L as part", f"{literal(FAILED_BODY)} as body")
     )
 
 

@@ -27,7 +27,7 @@ from quire.functions.figure_keys import (
     text_tokens,
 )
 from quire.functions.page_text import with_page_array
-from quire.functions.rows import rows_of
+from quire.functions.rows import computed_once, rows_of
 from quire.functions.text import is_blank
 from quire.operators.figures import relink
 from quire.operators.pages import explode_pages
@@ -132,7 +132,7 @@ def documents(
     checked = flag_shortfall(expected_pages(counted, spec))
     degraded = F.expr("page_error is not null or figure_error is not null")
     judged = compose_error(classify_status(checked.withColumn("degraded", degraded)))
-    return _with_links(judged, row_work).select(
+    record = judged.select(
         "rel_key",
         *carried,
         "page_count",
@@ -142,11 +142,11 @@ def documents(
         "degraded",
         "status",
         "error",
-        "linked",
         "pages",
         "figures",
         "pngs",
     )
+    return _with_links(computed_once(record), row_work)
 
 
 def document_figures(docs: DataFrame) -> DataFrame:

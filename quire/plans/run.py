@@ -14,7 +14,14 @@ from quire.operators.metadata import doc_metadata, run_outcome, written_outputs
 from quire.operators.resume import cached_outcomes, plan_run
 from quire.operators.selection import run_fingerprint
 from quire.plans.documents import documents
-from quire.sources.files import discover_files, is_file, path_exists, qualified, size_gate
+from quire.sources.files import (
+    discover_files,
+    is_file,
+    path_exists,
+    qualified,
+    select_inputs,
+    size_gate,
+)
 from quire.sources.index import read_index
 from quire.sources.remote import with_existence, with_file_checksum
 from quire.sources.sinks import export_tree, write_run
@@ -39,9 +46,14 @@ def run(
     options: RunOptions | None = None,
     reprocess: bool = False,
     export: bool = True,
+    listing: DataFrame | None = None,
 ) -> RunReport:
     """Convert what is new or changed below ``input_path`` (a folder or one file).
 
+    Listing a folder keeps one entry per file on the driver. Where there are
+    too many for that, give a table of paths and sizes as ``listing`` (columns
+    path, size_bytes; absolute URIs below ``input_path``).
+
     The plan and the converted documents are written before anything reads
     them again: neither is a file hashed twice nor a document converted twice,
     and a lost executor repeats only its own tasks. The index snapshot comes
@@ -58,7 +70,11 @@ def run(
 
     chosen = (options.model, options.backend, options.force_ocr, options.pages)
     fingerprint = spark.range(1).selectExpr(run_fingerprint(*chosen)).first()[0]
-    found = discover_files(spark, input_path, root).select("rel_key", "path", "size_bytes")
+    if listing is None:
+        found = discover_files(spark, input_path, root)
+    else:
+        found = select_inputs(listing, base, root)
+    found = found.select("rel_key", "path", "size_bytes")
     files = with_file_checksum(size_gate(found, options.max_file_mb))
     index = read_index(spark, root)
     mine = index.where(f"status = 'completed' and fingerprint = '{fingerprint}'")

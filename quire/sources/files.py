@@ -82,6 +82,14 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def select_inputs(
+    listing: DataFrame, root: str, output_root: str, exts: Iterable[str] = SUPPORTED
+) -> DataFrame:
+    """Supported files of a listing outside the output root, with their keys."""
+    files = filter_supported(listing, exts)
+    return with_relative_key(exclude_output_subtree(files, output_root), root)
+
+
 def discover_files(
     spark: SparkSession,
     root: str,
@@ -97,5 +105,4 @@ def discover_files(
     top = qualified(spark, root)
     base = top.rsplit("/", 1)[0] if single else top
     out = qualified(spark, output_root) if output_root else f"{base}/ocr"
-    files = filter_supported(scan_files(spark, top), exts)
-    return with_relative_key(exclude_output_subtree(files, out), base)
+    return select_inputs(scan_files(spark, top), base, out, exts)
