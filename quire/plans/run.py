@@ -38,6 +38,12 @@ class RunReport:
     run_dir: str
 
 
+def fingerprint_options(spark: SparkSession, options: RunOptions) -> str:
+    """The fingerprint recorded with every document of a run."""
+    chosen = (options.model, options.backend, options.force_ocr, options.pages)
+    return spark.range(1).selectExpr(run_fingerprint(*chosen)).first()[0]
+
+
 def run(
     spark: SparkSession,
     input_path: str,
@@ -68,8 +74,7 @@ def run(
     stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
 
-    chosen = (options.model, options.backend, options.force_ocr, options.pages)
-    fingerprint = spark.range(1).selectExpr(run_fingerprint(*chosen)).first()[0]
+    fingerprint = fingerprint_options(spark, options)
     if listing is None:
         found = discover_files(spark, input_path, root)
     else:

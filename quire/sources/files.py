@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.functions.text import literal
+from quire.sources.remote import list_folders
+from quire.sources.scratch import checkpointed
 
 # --- fixed values ------------------------------------------------------------
 SUPPORTED = (".pdf",)
@@ -69,8 +72,33 @@ def size_gate(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+    """Every file below ``root`` (or the one file ``root``): path, size_bytes, modified.
+
+    Unlike a file scan this sees empty files and names starting with '.' or
+    '_', never enters the folder ``skip``, and keeps no listing on the driver:
+    each level of folders is listed by tasks and written down.
+    """
+    if is_file(spark, root):
+        folder, name = root.rsplit("/", 1)
+        found = list_folders(spark.createDataFrame([(folder,)], "path string"))
+        return found.where(f"path = {literal(f'{folder}/{name}')}").drop("is_dir")
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    folders = spark.createDataFrame([(root,)], "path string")
+    levels = []
+    while True:
+        level = checkpointed(list_folders(folders))
+        levels.append(level.where("not is_dir").drop("is_dir"))
+        folders = level.where("is_dir")
+        if skip is not None:
+            folders = folders.where(f"path <> {literal(skip)}")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition(tasks, "path")
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root`` (or the one file ``root``): path, size, time, content.
+    """Non-empty, not hidden files below ``root`` with their content.
 
     The content is read only by plans that select it.
     """
@@ -78,7 +106,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
-        .selectExpr("path", "length as size_bytes", "modificationTime", "content")
+        .selectExpr("path", "length as size_bytes", "modificationTime as modified", "content")
     )
 
 
@@ -105,4 +133,4 @@ def discover_files(
     top = qualified(spark, root)
     base = top.rsplit("/", 1)[0] if single else top
     out = qualified(spark, output_root) if output_root else f"{base}/ocr"
-    return select_inputs(scan_files(spark, top), base, out, exts)
+    return select_inputs(list_files(spark, top, out), base, out, exts)

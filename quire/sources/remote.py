@@ -52,6 +52,33 @@ def with_file_checksum(files: DataFrame) -> DataFrame:
     return files.withColumn("checksum", digest("path"))
 
 
+LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """Entries of every folder (column ``path``), listed inside the tasks."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch["path"]:
+                store, base = locate(uri)
+                infos = store.get_file_info(fs.FileSelector(base or "/", allow_not_found=True))
+                for at in range(0, len(infos), 10_000):
+                    some = infos[at : at + 10_000]
+                    yield pd.DataFrame(
+                        {
+                            "path": [f"{uri}/{i.base_name}" for i in some],
+                            "is_dir": [i.type == fs.FileType.Directory for i in some],
+                            "size_bytes": [i.size or 0 for i in some],
+                            "modified": [i.mtime for i in some],
+                        }
+                    ).astype({"modified": "datetime64[ns, UTC]"})
+
+    return folders.select("path").mapInPandas(listed, LISTING)
+
+
 def with_existence(rows: DataFrame, root: str, path: str = "output_path") -> DataFrame:
     """Rows whose file ``root``/``path`` exists, looked up inside the tasks."""
 
