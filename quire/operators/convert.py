@@ -9,7 +9,6 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.page_specs import parse_literal
 from quire.sources.files import MAX_FILE_MB
@@ -20,6 +19,12 @@ RENDERS = (
     "checksum string, processing_time double"
 )
 
+IMAGE_FIELDS = ("key", "mode", "has_transparency", "png")
+
+# Converted documents a task hands back at a time, by number and by size.
+OUT_ROWS = 256
+OUT_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class RunOptions:
@@ -77,42 +82,54 @@ def convert(
             spark.sparkContext.defaultParallelism,
         )
 
-    def render(converter, doc: dict[str, Any]) -> dict[str, Any]:
-        out = converter(doc)
-        return {
-            "markdown": out.markdown,
-            "images": [
-                {"key": k, "mode": m, "has_transparency": t, "png": p} for k, m, t, p in out.images
-            ],
-            "page_count": out.page_count,
-        }
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         converter = None
+        rows: list[dict[str, Any]] = []
+        size = 0
         for batch in batches:
             for doc in batch.to_dict("records"):
-                known = doc.get("page_count")
-                row = {
-                    "rel_key": doc["rel_key"],
-                    "markdown": None,
-                    "error": doc.get("size_error"),
-                    "page_count": None if pd.isna(known) else known,
-                    "images": [],
-                    "checksum": doc.get("checksum"),
-                }
+                row = _untouched(doc)
                 start = time.perf_counter()
                 if row["error"] is None:
                     try:
                         if converter is None:
                             converter = converter_factory(told)
-                        made = render(converter, doc)
-                        if made["page_count"] is None:
-                            made["page_count"] = row["page_count"]
-                        row.update(made)
+                        size += _fill(row, converter(doc))
                     except Exception as e:
                         row["error"] = str(e) or type(e).__name__
                 row["processing_time"] = time.perf_counter() - start
-                yield pd.DataFrame([row]).astype({"page_count": "Int64"})
-
-    spread = files.repartition(tasks, F.col("rel_key"))
+                rows.append(row)
+                if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
+                    yield _frame(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _frame(rows)
+
+    spread = files.repartition(tasks, "rel_key")
     return spread.mapInPandas(run, RENDERS)
+
+
+def _untouched(doc: dict[str, Any]) -> dict[str, Any]:
+    """The row of a document before its conversion."""
+    known = doc.get("page_count")
+    return {
+        "rel_key": doc["rel_key"],
+        "markdown": None,
+        "error": doc.get("size_error"),
+        "page_count": None if pd.isna(known) else known,
+        "images": [],
+        "checksum": doc.get("checksum"),
+    }
+
+
+def _fill(row: dict[str, Any], made: Render) -> int:
+    """Take over what the converter returned; its size in bytes, roughly."""
+    images = [dict(zip(IMAGE_FIELDS, i, strict=True)) for i in made.images]
+    row["markdown"], row["images"] = made.markdown, images
+    if made.page_count is not None:
+        row["page_count"] = made.page_count
+    return len(made.markdown or "") + sum(len(i["png"] or b"") for i in images)
+
+
+def _frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
+    return pd.DataFrame(rows).astype({"page_count": "Int64"})

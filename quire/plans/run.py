@@ -27,6 +27,16 @@ from quire.sources.remote import with_existence, with_file_checksum
 from quire.sources.sinks import export_tree, write_run
 
 
+# Documents one conversion task takes on; what a lost executor has to do again.
+DOCUMENTS_PER_TASK = 200
+
+
+def _tasks(spark: SparkSession, documents_to_do: int) -> int:
+    """Enough tasks to use every core, and no task too long."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(min(documents_to_do, cores), -(-documents_to_do // DOCUMENTS_PER_TASK), 1)
+
+
 @dataclass(frozen=True)
 class RunReport:
     """What a run did. ``outcome`` is one row; ``outputs`` one row per usable body."""
@@ -89,7 +99,7 @@ def run(
     plan = spark.read.parquet(f"{run_dir}/plan")
 
     todo = plan.where("action = 'convert'")
-    renders = convert(todo, converter_factory, options)
+    renders = convert(todo, converter_factory, options, _tasks(spark, todo.count()))
     documents(renders, options.pages).write.mode("overwrite").parquet(f"{run_dir}/documents")
     docs = spark.read.parquet(f"{run_dir}/documents")
     records = doc_metadata(docs, options.model, options.backend, fingerprint)
