@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from quire.functions.page_specs import parse_literal
 from quire.sources.files import MAX_FILE_MB
+from quire.sources.ship import ship
 
 RENDERS = (
     "rel_key string, markdown string, error string, page_count bigint, "
@@ -76,6 +77,7 @@ def convert(
     """
     told = (options or RunOptions()).for_converter()
     spark = files.sparkSession
+    ship(spark)
     if tasks is None:
         tasks = max(
             int(spark.conf.get("spark.sql.shuffle.partitions")),

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.ship import ship
+
 CHUNK = 1 << 20
 
 
@@ -44,6 +46,7 @@ def with_file_checksum(files: DataFrame) -> DataFrame:
     Unlike the ``content`` of a file scan, no file is held in memory whole,
     and one that cannot be read gives null instead of failing the job.
     """
+    ship(files.sparkSession)
 
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
@@ -57,6 +60,7 @@ LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"
 
 def list_folders(folders: DataFrame) -> DataFrame:
     """Entries of every folder (column ``path``), listed inside the tasks."""
+    ship(folders.sparkSession)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -81,6 +85,7 @@ def list_folders(folders: DataFrame) -> DataFrame:
 
 def with_existence(rows: DataFrame, root: str, path: str = "output_path") -> DataFrame:
     """Rows whose file ``root``/``path`` exists, looked up inside the tasks."""
+    ship(rows.sparkSession)
 
     @F.pandas_udf("boolean")
     def there(paths: pd.Series) -> pd.Series:
@@ -97,6 +102,7 @@ def write_files(files: DataFrame, root: str) -> int:
     Every file appears under its name only when complete, so a repeated task
     replaces it by the same bytes.
     """
+    ship(files.sparkSession)
 
     def store_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = locate(root)

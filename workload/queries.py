@@ -14,6 +14,7 @@ from quire.plans.documents import document_figures, document_pages, documents
 from quire.sources import files as file_ops
 from quire.sources.index import read_index, write_index
 from quire.sources.scratch import scratch_dir
+from quire.sources.ship import ship
 from quire.sources.sinks import export_tree, write_run
 from workload import fixtures as fx
 
@@ -190,6 +191,7 @@ def convert_(spark, d):
     docs = fx.volumes(spark, d).selectExpr(
         "rel_key", "cast(array_join(turns.text, '\f') as binary) as content"
     )
+    ship(spark, "workload")
     made = convert(docs, _stub_factory, RunOptions())
     return made.selectExpr(
         "rel_key", "markdown", "error", "page_count", "cast(size(images) as bigint) as n_images"
