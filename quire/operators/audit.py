@@ -53,6 +53,17 @@ def expectation_diff(expected: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+def figure_diff(expected: DataFrame, figures: DataFrame) -> DataFrame:
+    """Expected figure numbers and pages (rel_key, figure_no, page_no) against actual ones."""
+    left = expected.selectExpr("rel_key", "figure_no", "page_no as expected_page")
+    right = figures.where("figure_no is not null").selectExpr(
+        "rel_key", "figure_no", "page_no as actual_page"
+    )
+    return left.join(right, ["rel_key", "figure_no"], "full_outer").where(
+        "not expected_page <=> actual_page"
+    )
+
+
 def bad_checksums(metadata: DataFrame) -> DataFrame:
     """Records whose checksum is not 'sha256:' and a payload."""
     return metadata.where("not coalesce(checksum rlike '(?s)^sha256:.', false)")

@@ -34,14 +34,14 @@ def write_run(docs: DataFrame, metadata: DataFrame, root: str, run_dir: str) ->
 def document_bodies(docs: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """Bodies of ``documents`` by part, put together inside each row."""
     last = f"greatest(ceil(size(pages) / {part_pages}) - 1, 0L)"
-    parts = docs.where("linked").selectExpr(
-        "rel_key", "pages", f"explode(sequence(0L, {last})) as part"
-    )
-    own = f"slice(pages, cast(part * {part_pages} + 1 as int), {part_pages})"
+    own = f"slice(pages, cast(n * {part_pages} + 1 as int), {part_pages})"
     body = f"array_join(transform({own}, p -> {section('p.page_no', 'p.text')}), '')"
-    in_row = parts.selectExpr(
-        "rel_key", "part", f"if(size(pages) = 0, {literal(FAILED_BODY)}, {body}) as body"
+    bodies = (
+        f"if(size(pages) = 0, array({literal(FAILED_BODY)}), "
+        f"transform(sequence(0L, {last}), n -> {body}))"
     )
+    in_row = docs.where("linked").selectExpr("rel_key", f"posexplode({bodies}) as (part, body)")
+    in_row = in_row.selectExpr("rel_key", "cast(part as bigint) as part", "body")
     large = document_pages(docs.where("not linked"))
     return in_row.unionByName(assemble_body(large, part_pages=part_pages))
 
@@ -57,8 +57,11 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
     bodies = document_bodies(docs).selectExpr(
         f"{body_path('rel_key', 'part')} as path", "body as data"
     )
-    images = docs.selectExpr("rel_key", "posexplode(pngs) as (i, data)", "figures").selectExpr(
-        f"concat({output_folder('rel_key')}, '/', substring(figures[i].link, 3)) as path", "data"
+    # Saved figures stand first and in the order of their PNGs.
+    links = "slice(figures.link, 1, size(pngs))"
+    pairs = f"zip_with({links}, pngs, (l, d) -> named_struct('link', l, 'data', d))"
+    images = docs.selectExpr("rel_key", f"inline({pairs})").selectExpr(
+        f"concat({output_folder('rel_key')}, '/', substring(link, 3)) as path", "data"
     )
     columns = ", ".join(metadata.columns)
     options = "map('ignoreNullFields', 'false', 'pretty', 'true')"

@@ -169,6 +169,10 @@ def test_audits(spark):
     index = spark.createDataFrame([record("a"), record("b"), record("c", checksum="md5:1"), record("z")], INDEX_SCHEMA)
     both = {r.key: r.problem for r in audit.index_vs_metadata(index, meta).collect()}
     assert both == {"b": "different", "d": "not in index", "e": "not in index", "z": "no metadata"}
+    wanted = spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("a", 3, 3)], "rel_key string, figure_no bigint, page_no bigint")
+    actual = spark.createDataFrame([("a", 1, 1), ("a", 2, 4), ("b", 1, 1), ("a", None, 9)], wanted.schema)
+    got = {tuple(r) for r in audit.figure_diff(wanted, actual).collect()}
+    assert got == {("a", 2, 3, 4), ("a", 3, 3, None), ("b", 1, None, 1)}
     keys = spark.createDataFrame([("a/x.pdf",), ("a/x.PDF",), ("b/x.pdf",)], "rel_key string")
     (hit,) = audit.path_collisions(keys).collect()
     assert tuple(hit) == ("a/x/x.md", 2, "a/x.PDF", "a/x.pdf")

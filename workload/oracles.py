@@ -415,6 +415,15 @@ ORACLES: dict[str, str] = {
               from f where conv_id % 7 <> 0) e
         full join (select key as rel_key, pages, status from md where key not like 'd4/%') m
           using (rel_key)) where problem is not null""", *MD),
+    "figure_diff": q(
+        """select rel_key, figure_no::bigint as figure_no, expected_page::bigint as expected_page,
+          actual_page::bigint as actual_page
+        from (select rel_key, 2 * i + j as figure_no, turn + 1 as expected_page
+              from (select *, row_number() over (partition by rel_key order by turn) - 1 as i
+                    from t where role = 'assistant' and cls in (0, 1, 5)), (values (1), (2)) v(j)) e
+        full join (select rel_key, figure_no, page_no as actual_page from g where saved) a
+          using (rel_key, figure_no)
+        where expected_page is distinct from actual_page""", *FG),
     "bad_checksums": q(
         "select key, checksum from spoiled where checksum not like 'sha256:_%'", *MD, SPOILED),
     "index_vs_metadata": q(

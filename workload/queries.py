@@ -426,6 +426,17 @@ def expectation_diff(spark, d):
     return audit.expectation_diff(expected, records(spark, d).where("key not like 'd4/%'"))
 
 
+def figure_diff(spark, d):
+    """Expects every assistant turn of a converted document to give two figures, in order."""
+    shown = fx.volumes(spark, d).where("cls in (0, 1, 5)").selectExpr(
+        "rel_key", "posexplode(filter(turns, t -> t.role = 'assistant')) as (i, t)"
+    )
+    expected = shown.selectExpr(
+        "rel_key", "explode(array(2L * i + 1L, 2L * i + 2L)) as figure_no", "t.turn + 1 as page_no"
+    )
+    return audit.figure_diff(expected, linked_figures(spark, d))
+
+
 def _spoiled(spark, d):
     """Records with damaged checksums and statuses, some missing."""
     checksum = """
@@ -507,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "dangling_links": dangling_links,
     "page_tag_mismatch": page_tag_mismatch,
     "expectation_diff": expectation_diff,
+    "figure_diff": figure_diff,
     "bad_checksums": bad_checksums,
     "index_vs_metadata": index_vs_metadata,
     "path_collisions": path_collisions,
