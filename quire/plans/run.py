@@ -15,6 +15,7 @@ from quire.operators.resume import cached_outcomes, plan_run
 from quire.operators.selection import run_fingerprint
 from quire.plans.documents import documents
 from quire.sources.files import (
+    OUTPUT_FOLDER,
     discover_files,
     is_file,
     path_exists,
@@ -80,7 +81,7 @@ def run(
         raise ValueError(f"Input path does not exist: {input_path}")
     top = qualified(spark, input_path)
     base = top.rsplit("/", 1)[0] if is_file(spark, input_path) else top
-    root = qualified(spark, output_root) if output_root else f"{base}/ocr"
+    root = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
     stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
 

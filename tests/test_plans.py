@@ -8,7 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as driver
-from quire.operators import figures, pages, resume
+from quire.operators import audit, figures, pages, resume
 from quire.operators.convert import convert
 from quire.plans.documents import document_figures, documents
 from tests.test_figures import RENDERS, image, renders
@@ -74,6 +74,47 @@ def test_links_join_on_document_and_token(spark, render_table):
     assert not re.search(r"hashpartitioning\(rel_key#\d+, \d+\).*\n.*text#", plan)
 
 
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+def final_plan(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return physical(df)
+
+
+def test_joins_split_a_key_that_holds_most_rows(spark):
+    """A third and more of all links name one figure of one document."""
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        pages_ = spark.range(30_000, numPartitions=8).selectExpr(
+            "if(id % 3 > 0, 'hot', concat('d', id)) as rel_key", "id as pos", "id + 1 as page_no",
+            "if(id % 3 > 0, '![](logo.png)', concat('![](k', id, ')')) as text",
+        )
+        figs = spark.range(30_000, numPartitions=8).where("id % 3 = 0").selectExpr(
+            "concat('d', id) as rel_key", "concat('k', id) as img_key", "1L as page_no",
+            "0L as block_id", "1L as figure_no", "'./figures/figure_1_page1.png' as link",
+        ).union(spark.sql(
+            "select 'hot', 'logo.png', 1L, 0L, 1L, './figures/figure_1_page1.png'"
+        ))
+        linked = figures.relink(pages_, figs)
+        assert "skew=true" in final_plan(linked)
+        assert linked.where("text = '![](./figures/figure_1_page1.png)'").count() == 30_000
+        assert "skew=true" in final_plan(audit.dangling_links(pages_, figs))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_done_documents_never_reach_the_converter(spark):
     schema = "rel_key string, path string, checksum string"
     files = spark.createDataFrame([("a", "a", "c")], schema)

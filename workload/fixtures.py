@@ -4,7 +4,8 @@ Conversations become rendered documents whose pages are the turns; the last
 digit of the conversation id decides which defect a document has. Documents
 become books whose pages are their rows. No document holds more than
 TURNS_PER_DOCUMENT turns or IDS_PER_VOLUME ids: a longer conversation or source
-goes on in further documents, so no group grows with the data.
+goes on in further documents, so no group grows with the data ((conv_id, turn)
+and doc_id are the keys of their tables).
 """
 
 from __future__ import annotations
