@@ -157,8 +157,9 @@ def document_figures(docs: DataFrame) -> DataFrame:
 def document_pages(docs: DataFrame) -> DataFrame:
     """The page table of ``documents``, links set.
 
-    ``docs`` should be read from a table: documents not linked in their row
-    take a second look at it, which the statistics of ``linked`` prune.
+    Documents not linked in their row take a second look at ``docs``. Read
+    from a table, as a run does, the statistics of ``linked`` prune it; given
+    as a computation, that computation is repeated up to the linking.
     """
     large = docs.where("not linked")
     joined = relink(explode_pages(large), document_figures(large))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.sources.ship import ship
 
 CHUNK = 1 << 20
+OBJECT_STORES = ("s3", "gcs", "abfs")
 
 
 def locate(uri: str):
@@ -106,15 +107,21 @@ def write_files(files: DataFrame, root: str) -> int:
 
     def store_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = locate(root)
+        # Object stores have no folders, and show an object only when it is whole.
+        whole = store.type_name in OBJECT_STORES
+        folder = None
         for batch in batches:
             for path, data in zip(batch["path"], batch["data"], strict=True):
                 target = f"{base}/{path}"
-                folder, name = target.rsplit("/", 1)
-                store.create_dir(folder, recursive=True)
-                draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                above, name = target.rsplit("/", 1)
+                if above != folder and not whole:
+                    store.create_dir(above, recursive=True)
+                    folder = above
+                draft = target if whole else f"{above}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(draft) as stream:
                     stream.write(data)
-                store.move(draft, target)
+                if not whole:
+                    store.move(draft, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
     rows = files.select("path", F.col("data").cast("binary").alias("data"))
