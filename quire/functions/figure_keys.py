@@ -82,8 +82,10 @@ def relink_text(text: str, hits: str) -> str:
     every whole '![alt](key)' goes.
     """
     # A key may itself hold "\E", which would end the quoted part of the pattern.
-    quoted = f"replace(h.img_key, {literal(chr(92) + 'E')}, {literal(r'\E\\E\Q')})"
-    markup = f"concat({literal(r'!\[[^\]]*\]\(\Q')}, {quoted}, {literal(r'\E\)')})"
+    unquote, requote = literal(r"\E"), literal(r"\E\\E\Q")
+    ahead, behind = literal(r"!\[[^\]]*\]\(\Q"), literal(r"\E\)")
+    quoted = f"replace(h.img_key, {unquote}, {requote})"
+    markup = f"concat({ahead}, {quoted}, {behind})"
     return (
         f"aggregate({hits}, {text}, (acc, h) -> if(h.failed, "
         f"regexp_replace(acc, {markup}, ''), "

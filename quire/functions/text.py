@@ -36,7 +36,8 @@ def strip(x: str) -> str:
 
 def is_blank(x: str) -> str:
     """True for null text and for text of nothing but white space."""
-    return f"({strip(f"coalesce({x}, '')")} = '')"
+    stripped = strip(f"coalesce({x}, '')")
+    return f"({stripped} = '')"
 
 
 def source_page(page_id: str) -> str:

@@ -30,7 +30,8 @@ METADATA_COLUMNS = (
 
 def output_folder(rel_key: str) -> str:
     """'<dir>/<stem>' of a key; only the last extension is cut."""
-    return f"regexp_replace({rel_key}, {literal(r'(?<=[^/])\.[^./]*$')}, '')"
+    extension = literal(r"(?<=[^/])\.[^./]*$")
+    return f"regexp_replace({rel_key}, {extension}, '')"
 
 
 def body_path(rel_key: str, part: str | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,7 +82,7 @@ def run(
     top = qualified(spark, input_path)
     base = top.rsplit("/", 1)[0] if is_file(spark, input_path) else top
     root = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
-    stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S")
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
 
     fingerprint = fingerprint_options(spark, options)

@@ -70,7 +70,8 @@ def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(t.text, if(t.role = 'assistant', "
         f"concat({_image_link('t.turn', 10)}, {_image_link('t.turn', 2)}), ''))"
     )
-    sections = f"transform(present, t -> {_marked('t.turn', f"if(cls = 6, '   ', {body})")})"
+    shown = _marked("t.turn", f"if(cls = 6, '   ', {body})")
+    sections = f"transform(present, t -> {shown})"
     modes = ", ".join(f"'{m}'" for m in MODES)
 
     def image(block: int) -> str:
