@@ -2,4 +2,27 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+with cut as (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), keyed as (
+    select doc_id, ls, list_transform(ls, lambda x: translate(trim(x, {GAPS}),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ks from cut
+), lines as (
+    select doc_id, unnest(ls) as line, unnest(ks) as key, unnest(range(len(ls))) as pos
+    from keyed
+), frequent as (
+    select key from (select distinct doc_id, key from lines where key <> '')
+    group by key having count(*) >= 10
+)
+select doc_id, count(*) as n_lines,
+    count(*) filter (where f.key is not null) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by pos)
+        filter (where f.key is null), '')) as kept_sha256
+from lines l left join frequent f on l.key = f.key
+group by doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": LINE_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, fingerprints, token_counts
+from quire.llm import bpe, fingerprints, jaccard, lines, mixing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,27 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    target = mixing.Target(max_repeats=2.0)
+    return mixing.mixed(documents(spark, d), target, block_tokens=1_000_000)
+
+
+def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.verdicts(documents(spark, d))
+
+
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    made = lines.deduplicated(documents(spark, d), min_docs=10, min_chars=1)
+    return made.selectExpr(
+        "cast(row.doc_id as bigint) as doc_id", "n_lines", "n_dropped",
+        "sha2(kept_text, 256) as kept_sha256",
+    )
+
+
+def op8_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, d), k=5, percent=75)
+
+
 def op9_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(documents(spark, d), vocabulary, public_tokenizers.PATTERN)
@@ -34,5 +55,9 @@ def op9_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
+    "op3_mixing": op3_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
 }
