@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, fingerprints, jaccard, lines, mixing, quality, token_counts
+from quire.llm import (
+    bpe,
+    fingerprints,
+    jaccard,
+    lines,
+    mixing,
+    quality,
+    substrings,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +61,11 @@ def op9_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(documents(spark, d), vocabulary, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    made = substrings.without_repeats(documents(spark, d), length=35)
+    return made.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) as kept_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -60,4 +74,5 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
