@@ -16,6 +16,7 @@ from quire.llm import (
     quality,
     substrings,
     token_counts,
+    toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,17 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
+
+
+def op7_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.read.parquet(f"{d}/labels.parquet").where(f"not {HELD_OUT}")
+    model = toxicity.fit(documents(spark, d), labels)
+    return toxicity.scored(documents(spark, d), model).selectExpr(
+        "doc_id", f"{HELD_OUT} as held_out", "score", "if(score >= 0.3, 1, 0) as predicted"
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, d), k=5, percent=75)
 
@@ -72,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
