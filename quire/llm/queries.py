@@ -14,6 +14,7 @@ from quire.llm import (
     lines,
     mixing,
     quality,
+    secret_scan,
     substrings,
     token_counts,
     toxicity,
@@ -53,6 +54,12 @@ def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, d)).selectExpr(
+        "doc_id", "word_no", "sha2(value, 256) as value_sha256", "score", "secret"
+    )
+
+
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
