@@ -1,0 +1,195 @@
+"""Quality rules, mixing, secret scans, toxicity and the pipeline."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quire.llm import mixing, quality, secret_scan, toxicity
+from quire.llm.queries import HELD_OUT
+from tests.llm.conftest import SF_DIR, odd_rows, unordered
+from tests.llm.test_joins import WORDS, jaccard_classes
+from tests.llm.test_texts import LIBRARY, lines_dropped, sha
+
+
+def base_counts(text):
+    text = text or ""
+    w = WORDS.findall(text)
+    seen = defaultdict(list)
+    for i in range(len(w) - 7):
+        seen[tuple(w[i : i + 8])].append(i)
+    again = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    filled = [x for x in text.split("\n") if WORDS.search(x)]
+    counts = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)),
+              len(filled) - len(set(filled)), len(again))
+    return (*counts, len(w) < 20 or 100 * len(again) > 30 * len(w))
+
+
+def test_base_counts(odd, none, docs):
+    got = quality.verdicts(odd).collect()
+    assert unordered(r[:-1] for r in got) == unordered((r[0], *base_counts(r[1])) for r in odd_rows())
+    assert not any(r.kept for r in got if r.base_failed)
+    assert quality.verdicts(none).count() == 0 and quality.kept_documents(none).count() == 0
+    texts = dict(docs.select("doc_id", "text").collect())
+    for r in quality.verdicts(docs).collect():
+        assert tuple(r[1:-1]) == base_counts(texts[r.doc_id])
+
+
+def test_thresholds_follow_their_group(spark):
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    signs = lambda i: " ".join(f"#w{i}x{j}#" for j in range(30))
+    rows = [(i, plain(i), "en", "prose") for i in range(30)]
+    rows += [(100 + i, signs(i), "en", "code") for i in range(30)]
+    rows += [(200, signs(200), "en", "prose"), (201, plain(201), "en", "code"),
+             (202, plain(202), None, None), (203, plain(203), "fr", "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counts = quality.measured(docs, "doc_id")
+    kept = quality.judged(counts, quality.thresholds(counts, min_group_rows=20))
+    assert {r.doc_id for r in kept.where("not kept").collect()} == {200}
+
+
+def test_quality_against_labels(spark):
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/labels.parquet")
+    seen = quality.verdicts(docs).where("not base_failed").join(labels, "doc_id")
+    found = Counter((r.quality, r.kept) for r in seen.collect())
+    assert found[1, True] >= 0.97 * (found[1, True] + found[1, False])
+    assert found[0, False] >= 0.8 * (found[0, True] + found[0, False])
+
+
+def three_sources():
+    rows = [("a", 1000), ("b", 100), ("c", 10)]
+    total = 1110
+    entropy = lambda a: -sum(
+        w * math.log(w) for w in [(n / total) ** a / sum((m / total) ** a for _, m in rows) for _, n in rows]
+    )
+    return rows, entropy
+
+
+def test_bisected_exponent(spark):
+    rows, entropy = three_sources()
+    by = spark.createDataFrame([(s, n, 1, n / 1110) for s, n in rows],
+                               "source string, tokens long, docs long, share double")
+    a = mixing.exponent(by, mixing.Target(entropy=0.8, max_repeats=None))
+    assert entropy(a) == pytest.approx(0.8 * math.log(3), abs=1e-6)
+    a = mixing.exponent(by, mixing.Target(max_repeats=3.0))
+    assert 100 ** (1 - a) == pytest.approx(3.0, abs=1e-5)
+    assert mixing.exponent(by, mixing.Target(entropy=0.0, max_repeats=None)) == 1.0
+    assert mixing.exponent(by, mixing.Target(entropy=1.0, max_repeats=1.0)) == 1.0
+    assert mixing.exponent(by, mixing.Target(entropy=1.0, max_repeats=None)) == pytest.approx(0, abs=1e-6)
+
+
+def test_mixture(spark, monkeypatch, odd, none):
+    monkeypatch.setattr(mixing, "PIECE_DOCS", 7)
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 40))), "big" if i % 10 else "rare") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = mixing.Target(max_repeats=2.0)
+    made = mixing.mixed(docs, target, block_tokens=500).collect()
+    assert unordered(made) == unordered(mixing.mixed(docs.repartition(5), target, block_tokens=500).collect())
+    size = {i: len(t.split()) for i, t, _ in rows}
+    copies = Counter(r.doc_id for r in made)
+    assert set(copies) == set(size) and max(copies.values()) == 2
+    assert all(copies[i] == 1 for i, _, s in rows if s == "big")
+    quota = {r.source: r for r in mixing.weights(
+        docs.selectExpr("source", "cast(size(split(text, ' ')) as bigint) as n_tokens"), target).collect()}
+    assert sum(r.weight for r in quota.values()) == pytest.approx(1)
+    for s in ("big", "rare"):
+        out = sum(r.n_tokens for r in made if r.source == s)
+        assert quota[s].quota - 1e-6 <= out < quota[s].quota + 40
+    blocks = defaultdict(list)
+    for r in made:
+        blocks[r.block].append(r)
+    for b, of in blocks.items():
+        assert sorted(r.position for r in of) == list(range(len(of)))
+        if b < max(blocks):
+            assert abs(sum(r.n_tokens for r in of) - 500) <= 2 * 40
+    half = mixing.mixed(docs, mixing.Target(max_repeats=None, budget=1000), block_tokens=500).collect()
+    assert 1000 <= sum(r.n_tokens for r in half) < 1080
+    assert mixing.mixed(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+    ids = {r.doc_id for r in mixing.mixed_documents(odd).collect()}
+    assert ids == {r[0] for r in odd_rows()}
+
+
+def test_secrets(odd, none, spark):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
+    rows = [(i, f"some words token = \"{key[:-3]}{i:03d}\" and so on") for i in range(40)]
+    rows += [(100 + i, f"host 10.20.{i}.240 and 4119739545281{i:03d} or a.{i}@mail.example.com") for i in range(40)]
+    rows += [(200 + i, f"der password={key[: 15 + i % 9]}. licensed-under-version-2") for i in range(20)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.secret} == {*range(40), *range(200, 220)}
+    assert next(r for r in got if r.doc_id == 3).word_no == 4
+    found = {(r.doc_id, r.value) for r in secret_scan.scan(odd).collect()}
+    assert (17, "0123456789abcdef0123456789abcdef01234567") in found
+    assert secret_scan.scan(none).count() == 0
+    held = secret_scan.told_by_rule(secret_scan.candidates(
+        spark.read.parquet(f"{SF_DIR.replace('0.001', '0.1')}/documents.parquet")))
+    train, test = held.where(f"not {HELD_OUT}"), held.where(f"{HELD_OUT} and label is not null")
+    right = Counter((r.label, r.secret) for r in secret_scan.scored(test, train).collect())
+    assert right[1, True] >= 0.95 * (right[1, True] + right[1, False])
+    assert right[0, False] >= 0.98 * (right[0, True] + right[0, False])
+
+
+def test_subsequence_kernel():
+    of = toxicity.Landmarks([b"idiot", b"worthless"]).of_words(
+        [b"idiot", b"IDIOT", b"i-d.i*o-t", b"idioot", b"id1iot", b"reading", b"", b"ab"])
+    assert of[:3, 0] == pytest.approx(1.0) and of[3, 0] > 0.4 and of[4, 0] > 0.15
+    assert not of[5:].any() and not of[:5, 1].any()
+
+
+def test_toxicity_held_out(spark, odd, none):
+    d = SF_DIR.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(f"not {HELD_OUT}"))
+    test = toxicity.scored(docs, model).where(HELD_OUT).join(labels, "doc_id").collect()
+    ranks = np.argsort(np.argsort([r.score for r in test]))
+    toxic = np.array([r.toxic for r in test], bool)
+    n = toxic.sum()
+    area = (ranks[toxic].sum() - n * (n - 1) / 2) / (n * (~toxic).sum())
+    assert area > 0.85
+    texts = ["you idiot, worthless scum and a stupid loser.", "w o r t h l e s s s t u p i d scum!",
+             "the reader of that page was here", "", None]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.scored(few, model).collect()}
+    assert min(score[0], score[1]) > 0.15 > 0.05 > max(score[2], score[3], score[4])
+    assert toxicity.scored(odd, model).count() == odd.count()
+    assert toxicity.scored(none, model).count() == 0
+    for labelled in (labels.where("toxic = 0"), labels.limit(0), labels.selectExpr("doc_id", "null as toxic")):
+        flat = toxicity.fit(docs, labelled)
+        assert {r.score for r in toxicity.scored(few, flat).collect()}.pop() < 0.01
+
+
+def test_pipeline_stage_by_stage(spark, docs, odd):
+    """Every stage on what the one before it kept, against plain Python."""
+    for given in (docs, odd):
+        at = given
+        steps = []
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, SF_DIR)
+            rows = [tuple(r) for r in at.collect()]
+            steps.append((rows, [tuple(r) for r in out.collect()]))
+            if stage is not corpus_pipeline.STAGES[-1][1]:
+                assert out.columns == given.columns
+            at = spark.createDataFrame(steps[-1][1], out.schema)
+        (r1, k1), (r2, k2), (r3, k3), (r4, k4), (r5, k5) = steps
+        assert set(k1) <= set(r1) and not any(base_counts(r[1])[-1] for r in k1)
+        want = {(i, t) for i, _, _, t in lines_dropped(r2, 10)}
+        assert {(r[0], r[1]) for r in k2} == want and len(k2) == len(r2)
+        heads = [a for a, _, c in jaccard_classes(r3) if a == c or a is None]
+        assert Counter(r[0] for r in k3) == Counter(heads)
+        assert set(k4) == set(r4)
+        ids = [LIBRARY.encode_ordinary(r[1] or "") for r in r5]
+        assert unordered(k5) == unordered(
+            (r[0], len(i), sha(" ".join(map(str, i))), sha(r[1] or ""), True) for r, i in zip(r5, ids, strict=True)
+        )
+
+
+def test_pipeline_runs(spark):
+    made = corpus_pipeline.run(spark, SF_DIR)
+    assert made.count() > 0 and made.where(F.expr("not exact")).count() == 0
