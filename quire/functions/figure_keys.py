@@ -40,7 +40,7 @@ def png_mode(mode: str, has_transparency: str) -> str:
 def failure_text(keys: str) -> str:
     """Diagnostic for an array of failed image keys."""
     return (
-        f"concat('failed to save ', cast(size({keys}) as string), ' figure(s): ', "
+        f"concat('figures without an image (', cast(size({keys}) as string), '): ', "
         f"array_join(transform({keys}, k -> concat(\"'\", k, \"'\")), ', '))"
     )
 

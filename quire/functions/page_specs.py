@@ -84,8 +84,9 @@ def merge_pieces(pieces: str) -> str:
 
 
 def ranges_size(ranges: str) -> str:
-    """How many pages a selection names."""
-    return f"aggregate({ranges}, 0L, (n, r) -> n + (r.last - r.first + 1L))"
+    """How many pages a selection names; null if they are too many for a bigint."""
+    own = "try_add(try_subtract(r.last, r.first), 1L)"
+    return f"aggregate({ranges}, 0L, (n, r) -> try_add(n, {own}))"
 
 
 def in_ranges(page_id: str, ranges: str) -> str:

@@ -21,10 +21,6 @@ from quire.functions.text import (
     strip,
 )
 
-# Pages of one document that are put together in one row. Longer documents
-# continue in further parts, so that no group grows with its document.
-PART_PAGES = 2000
-
 # --- fixed values ------------------------------------------------------------
 FAILED_BODY = "*[OCR Failed]*\n"
 # ---------------------------------------------------------------------------
@@ -74,8 +70,3 @@ def with_section_array(df: DataFrame, text: str = "body", out: str = "pages") ->
 def section(page_no: str, text: str) -> str:
     """One page of a body: its header, a blank line, its text."""
     return f"concat('## Page ', cast({page_no} as string), '\\n\\n', {text}, '\\n\\n')"
-
-
-def part_of(pos: str, part_pages: int = PART_PAGES) -> str:
-    """Number of the part of the document that holds position ``pos``."""
-    return f"({pos} div {part_pages})"

@@ -55,4 +55,4 @@ def human_size(size: str) -> str:
         f"when {size} < {1024 ** (i + 1)}L then {text(i, unit)}"
         for i, unit in enumerate(("B", "KB", "MB", "GB"))
     )
-    return f"case {steps} else {text(4, 'TB')} end"
+    return f"case when {size} is null then null {steps} else {text(4, 'TB')} end"

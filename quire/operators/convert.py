@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from quire.functions.page_specs import parse_literal
 from quire.sources.files import MAX_FILE_MB
 from quire.sources.ship import ship
+from quire.sources.spread import dealt
 
 RENDERS = (
     "rel_key string, markdown string, error string, page_count bigint, "
@@ -41,15 +42,11 @@ class RunOptions:
     def __post_init__(self) -> None:
         parse_literal(self.pages)  # an unreadable selection stops before any file
 
-    def for_converter(self) -> dict[str, Any]:
-        """What the converter is told; page boundaries are always asked for."""
-        told: dict[str, Any] = {"paginate_output": True}
-        ranges = parse_literal(self.pages)
-        if ranges is not None:
-            told["page_range"] = [range(a, b + 1) for a, b in ranges]
-        if self.force_ocr:
-            told["force_ocr"] = True
-        return told
+    @property
+    def page_ranges(self) -> tuple[tuple[int, int], ...] | None:
+        """The selection as sorted ranges of 0-based ids, ends included; None: all pages."""
+        parsed = parse_literal(self.pages)
+        return None if parsed is None else tuple(parsed)
 
 
 @dataclass
@@ -63,19 +60,20 @@ class Render:
 
 def convert(
     files: DataFrame,
-    converter_factory: Callable[[dict[str, Any]], Callable[[dict[str, Any]], Render]],
+    converter_factory: Callable[[RunOptions], Callable[[dict[str, Any]], Render]],
     options: RunOptions | None = None,
     tasks: int | None = None,
 ) -> DataFrame:
     """Apply a converter to every file; one render row per file, failed ones included.
 
-    The factory runs once per task, at its first document to convert, so a run
-    with nothing to do loads no model. A raised exception becomes the ``error``
-    of its row. The converter gets the columns of its file as a dict and reads
-    ``path`` by itself. Files are few and costly: they are spread by key
+    The factory gets ``options`` and runs once per task, at its first document to
+    convert, so a run with nothing to do loads no model; what it raises ends the
+    run. What the converter raises becomes the ``error`` of its row. The
+    converter gets the columns of its file as a dict, reads ``path`` by itself,
+    and marks where pages begin. Files are few and costly: they are dealt evenly
     over ``tasks`` partitions.
     """
-    told = (options or RunOptions()).for_converter()
+    told = options or RunOptions()
     spark = files.sparkSession
     ship(spark)
     if tasks is None:
@@ -93,9 +91,10 @@ def convert(
                 row = _untouched(doc)
                 start = time.perf_counter()
                 if row["error"] is None:
+                    if converter is None:
+                        converter = converter_factory(told)
+                        start = time.perf_counter()
                     try:
-                        if converter is None:
-                            converter = converter_factory(told)
                         size += _fill(row, converter(doc))
                     except Exception as e:
                         row["error"] = str(e) or type(e).__name__
@@ -107,8 +106,7 @@ def convert(
         if rows:
             yield _frame(rows)
 
-    spread = files.repartition(tasks, "rel_key")
-    return spread.mapInPandas(run, RENDERS)
+    return dealt(files, "rel_key", tasks).mapInPandas(run, RENDERS)
 
 
 def _untouched(doc: dict[str, Any]) -> dict[str, Any]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import (
@@ -18,11 +18,8 @@ from quire.functions.figure_keys import (
 )
 from quire.functions.rows import rows_of
 from quire.functions.text import IMAGE_LINK, literal
-from quire.operators.ranking import HOT_GROUP_ROWS, number_within
 
 FIGURE_ORDER = ("page_no", "block_id", "img_key")
-# Failed keys listed in one diagnostic row; longer lists go on in further rows.
-PART_KEYS = 2000
 
 
 def explode_images(renders: DataFrame) -> DataFrame:
@@ -42,13 +39,15 @@ def parse_figure_key(figures: DataFrame) -> DataFrame:
     )
 
 
-def number_figures(figures: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def number_figures(figures: DataFrame) -> DataFrame:
     """Add ``figure_no``: saved figures of a document in source order.
 
-    A figure that was not saved takes no number (null).
+    A figure that was not saved takes no number (null). The figures of a
+    document came out of one cell, so a window holds no more than that.
     """
-    ranked = number_within(figures, ["rel_key", "saved"], FIGURE_ORDER, "figure_no", hot_rows)
-    return ranked.withColumn("figure_no", F.expr("if(saved, figure_no, null)"))
+    order = Window.partitionBy("rel_key", "saved").orderBy(*FIGURE_ORDER)
+    number = F.when(F.col("saved"), F.row_number().over(order).cast("bigint"))
+    return figures.withColumn("figure_no", number)
 
 
 def figure_links(figures: DataFrame) -> DataFrame:
@@ -57,21 +56,14 @@ def figure_links(figures: DataFrame) -> DataFrame:
     return figures.selectExpr("*", f"if(figure_no is null, null, {link}) as link")
 
 
-def figure_failures(
-    figures: DataFrame, part_keys: int = PART_KEYS, hot_rows: int = HOT_GROUP_ROWS
-) -> DataFrame:
-    """Failed figures per document: count and diagnostic in source order.
-
-    One row per ``part_keys`` failed figures of a document.
-    """
-    lost = figures.where("not saved").select("rel_key", *FIGURE_ORDER)
-    ranked = number_within(lost, ["rel_key"], FIGURE_ORDER, "_no", hot_rows)
+def figure_failures(figures: DataFrame) -> DataFrame:
+    """Failed figures per document: count and diagnostic in source order."""
+    lost = figures.where("not saved").select("rel_key", F.struct(*FIGURE_ORDER).alias("_f"))
     return (
-        ranked.groupBy("rel_key", F.expr(f"(_no - 1) div {part_keys}").alias("part"))
-        .agg(F.expr("sort_array(collect_list(struct(_no, img_key))).img_key as _keys"))
+        lost.groupBy("rel_key")
+        .agg(F.expr("sort_array(collect_list(_f)).img_key as _keys"))
         .selectExpr(
             "rel_key",
-            "part",
             "cast(size(_keys) as bigint) as failed",
             f"{failure_text('_keys')} as detail",
         )

@@ -34,14 +34,11 @@ def output_folder(rel_key: str) -> str:
     return f"regexp_replace({rel_key}, {extension}, '')"
 
 
-def body_path(rel_key: str, part: str | None = None) -> str:
-    """'<dir>/<stem>/<stem>.md'; later parts of a long document are numbered."""
+def body_path(rel_key: str) -> str:
+    """'<dir>/<stem>/<stem>.md'."""
     folder = output_folder(rel_key)
     stem = f"regexp_extract({folder}, '[^/]*$', 0)"
-    tail = "'.md'"
-    if part is not None:
-        tail = f"if({part} = 0, '.md', format_string('.part-%05d.md', {part}))"
-    return f"concat({folder}, '/', {stem}, {tail})"
+    return f"concat({folder}, '/', {stem}, '.md')"
 
 
 def output_paths(docs: DataFrame) -> DataFrame:

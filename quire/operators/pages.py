@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.page_text import (
     FAILED_BODY,
-    PART_PAGES,
-    part_of,
     section,
     with_page_array,
     with_section_array,
@@ -62,50 +60,42 @@ def page_stats(pages: DataFrame) -> DataFrame:
     )
 
 
-def _parts(pages: DataFrame, value: str, part_pages: int) -> DataFrame:
-    """Values of the pages of each part of a document, in the order of the text."""
-    rows = pages.selectExpr(
-        "rel_key", f"{part_of('pos', part_pages)} as part", f"struct(pos, {value} as v) as _p"
-    )
-    return rows.groupBy("rel_key", "part").agg(F.expr("sort_array(collect_list(_p)).v as _v"))
+def _gathered(pages: DataFrame, value: str) -> DataFrame:
+    """Values of the pages of a document, in the order of the text.
+
+    A document's pages came out of one cell, so they fit in one again.
+    """
+    rows = pages.selectExpr("rel_key", f"struct(pos, {value} as v) as _p")
+    return rows.groupBy("rel_key").agg(F.expr("sort_array(collect_list(_p)).v as _v"))
 
 
-def page_numbers(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Page numbers in the order of the text, one row per part of a document."""
-    return _parts(pages, "page_no", part_pages).selectExpr("rel_key", "part", "_v as page_numbers")
+def page_numbers(pages: DataFrame) -> DataFrame:
+    """Page numbers of every document in the order of the text."""
+    return _gathered(pages, "page_no").selectExpr("rel_key", "_v as page_numbers")
 
 
-def flat_text(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Texts of the non-empty pages joined by blank lines, one row per part."""
-    parts = _parts(pages.where("text <> ''"), "text", part_pages)
-    return parts.selectExpr("rel_key", "part", "array_join(_v, '\\n\\n') as text")
+def flat_text(pages: DataFrame) -> DataFrame:
+    """Texts of a document's non-empty pages joined by blank lines."""
+    texts = _gathered(pages.where("text <> ''"), "text")
+    return texts.selectExpr("rel_key", "array_join(_v, '\\n\\n') as text")
 
 
-def assemble_body(
-    pages: DataFrame, docs: DataFrame | None = None, part_pages: int = PART_PAGES
-) -> DataFrame:
+def assemble_body(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Markdown body per document: each page under its '## Page N' header.
 
-    A document of more than ``part_pages`` pages yields several rows whose
-    bodies, joined in order of ``part``, are the whole. With ``docs`` given,
-    its documents without pages get the placeholder body.
+    With ``docs`` given, its documents without pages get the placeholder body.
     """
-    parts = _parts(pages, section("page_no", "text"), part_pages)
-    bodies = parts.selectExpr("rel_key", "part", "array_join(_v, '') as body")
+    found = _gathered(pages, section("page_no", "text"))
+    bodies = found.selectExpr("rel_key", "array_join(_v, '') as body")
     if docs is None:
         return bodies
-    # Not an outer join of docs and bodies: one document may have most of the parts.
-    filled = pages.select("rel_key").distinct()
-    empty = docs.select("rel_key").join(filled, "rel_key", "left_anti")
-    return bodies.unionByName(
-        empty.selectExpr("rel_key", "0L as part", f"{literal(FAILED_BODY)} as body")
+    return (
+        docs.select("rel_key")
+        .join(bodies, "rel_key", "left")
+        .selectExpr("rel_key", f"coalesce(body, {literal(FAILED_BODY)}) as body")
     )
 
 
-def parse_body(bodies: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+def parse_body(bodies: DataFrame) -> DataFrame:
     """Page rows of assembled bodies; the inverse of ``assemble_body``."""
-    part = "part" if "part" in bodies.columns else "0L"
-    found = with_section_array(bodies.selectExpr("rel_key", "body", f"{part} as _part"))
-    return explode_pages(found, "_part").selectExpr(
-        "rel_key", f"_part * {part_pages} + pos as pos", "page_no", "text"
-    )
+    return explode_pages(with_section_array(bodies.select("rel_key", "body")))

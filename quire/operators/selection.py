@@ -12,12 +12,15 @@ from quire.functions.page_specs import (
     parsed_pieces,
     pieces_invalid,
     range_literal,
+    ranges_size,
 )
 from quire.functions.rows import rows_of
 from quire.functions.text import literal
 
 # Ids unfolded from one range struct at a time.
 RANGE_STEP = 4096
+# A selection of more pages than this is an error of its row: no document has so many.
+MAX_PAGES = 1 << 31
 
 
 def parse_page_specs(docs: DataFrame, spec: str = "spec") -> DataFrame:
@@ -27,13 +30,21 @@ def parse_page_specs(docs: DataFrame, spec: str = "spec") -> DataFrame:
         .withColumn("_bad", F.expr(pieces_invalid("_pieces")))
         .withColumns(
             {
-                "ranges": F.expr(f"if(_bad, null, {merge_pieces('_pieces')})"),
+                "_ranges": F.expr(f"if(_bad, null, {merge_pieces('_pieces')})"),
+            }
+        )
+        .withColumn("_many", F.expr(f"not coalesce({ranges_size('_ranges')} <= {MAX_PAGES}L, false)"))
+        .withColumns(
+            {
+                "ranges": F.expr("if(_many, null, _ranges)"),
                 "spec_error": F.expr(
-                    f"if(_bad, concat('not a page selection: ', {spec}), null)"
+                    f"""case when _bad then concat('not a page selection: ', {spec})
+                             when _many and _ranges is not null
+                             then concat('too many pages: ', {spec}) end"""
                 ),
             }
         )
-        .drop("_pieces", "_bad")
+        .drop("_pieces", "_bad", "_ranges", "_many")
     )
 
 
@@ -42,7 +53,8 @@ def expand_page_specs(docs: DataFrame, spec: str | None = None) -> DataFrame:
 
     ``spec`` is one selection for every document, checked here; without it
     each document's own ``spec`` column counts. The ranges are disjoint, so no
-    distinct is needed; a long range unfolds in steps, never as one array.
+    distinct is needed; a long range unfolds in steps, never as one array. A
+    selection in error has no rows here; ``parse_page_specs`` tells why.
     """
     if spec is None:
         ranged = parse_page_specs(docs)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quire.functions.page_specs import parse_literal, range_literal, ranges_size
 from quire.functions.text import is_blank, literal
 
-EMPTY_RENDER = "Converter returned empty output (no text)"
-SHORTFALL = "Recovered %d page(s) but the document has %d (pages dropped or not split)"
+EMPTY_RENDER = "the conversion gave no text"
+SHORTFALL = "pages incomplete: %d of %d came back"
 
 
 def flag_empty_renders(renders: DataFrame) -> DataFrame:

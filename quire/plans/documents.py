@@ -2,8 +2,7 @@
 
 A render row holds the text and all images of its document. Splitting,
 numbering, linking and judging it there needs no shuffle at all, whatever the
-number of documents. Only where a document has very many pages *and* figures
-is its linking left to the join in ``quire.operators.figures.relink``.
+number of documents and the length of each.
 
 Arrays that later expressions use more than once are columns of their own, and
 each is referred to at least twice: the optimizer then keeps it computed once
@@ -29,7 +28,6 @@ from quire.functions.figure_keys import (
 from quire.functions.page_text import with_page_array
 from quire.functions.rows import computed_once, rows_of
 from quire.functions.text import is_blank
-from quire.operators.figures import relink
 from quire.operators.pages import explode_pages
 from quire.operators.status import (
     classify_status,
@@ -39,21 +37,19 @@ from quire.operators.status import (
     flag_shortfall,
 )
 
-# Pages times figures of one document up to which its links are set in its row.
-ROW_LINK_WORK = 4_000_000
-
 
 def _with_figures(docs: DataFrame) -> DataFrame:
     """``figures`` in source order (saved ones numbered) and ``pngs`` by number.
 
     Of a document without pages nothing is written, so its images do not count.
+    Images are sorted by their keys and places; the bytes are fetched at the end.
     """
     images = "if(size(pages) > 0, coalesce(images, array()), slice(images, 1, 0))"
     found = f"""
-        coalesce(sort_array(transform({images}, i -> named_struct(
+        coalesce(sort_array(transform({images}, (i, n) -> named_struct(
           'page_no', {key_page("i.key")}, 'block_id', {key_block("i.key")},
           'img_key', i.key, 'saved', i.png is not null,
-          'png_mode', {png_mode("i.mode", "i.has_transparency")}, 'png', i.png))), array())"""
+          'png_mode', {png_mode("i.mode", "i.has_transparency")}, 'at', n))), array())"""
 
     def numbered(no: str, link: str) -> str:
         return (
@@ -75,7 +71,7 @@ def _with_figures(docs: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "figures": F.expr(f"concat({kept}, {lost})"),
-                "pngs": F.expr("_kept.png"),
+                "pngs": F.expr("transform(_kept, f -> images[f.at].png)"),
                 "figure_error": F.expr(
                     f"if(size(_lost) > 0, {failure_text('_lost.img_key')}, null)"
                 ),
@@ -85,13 +81,17 @@ def _with_figures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_links(docs: DataFrame, row_work: int) -> DataFrame:
-    """Set the links in ``pages``; ``linked`` is false where that is left to a join."""
+def _with_links(docs: DataFrame) -> DataFrame:
+    """Set the links in ``pages``.
+
+    A page's parenthesised strings meet the keys' tokens by hash; only pages
+    with a hit look at the keys one by one.
+    """
     keys = f"""
         sort_array(transform(figures, f ->
           named_struct('hit', {hit("f")}, 'token', {key_token("f.img_key")})))"""
     marked = f"""
-        if(linked and size(_keys) > 0, transform(pages, p -> named_struct(
+        if(size(_keys) > 0, transform(pages, p -> named_struct(
           'page_no', p.page_no, 'text', p.text,
           'hits', array_intersect({text_tokens("p.text")}, _keys.token))), null)"""
     own = "transform(filter(_keys, k -> array_contains(p.hits, k.token)), k -> k.hit)"
@@ -99,23 +99,14 @@ def _with_links(docs: DataFrame, row_work: int) -> DataFrame:
         transform(_marked, p -> named_struct('page_no', p.page_no, 'text',
           if(size(p.hits) = 0, p.text, {relink_text("p.text", own)})))"""
     return (
-        docs.withColumns(
-            {
-                "linked": F.expr(
-                    f"cast(size(pages) as bigint) * cast(size(figures) as bigint) <= {row_work}L"
-                ),
-                "_keys": F.expr(keys),
-            }
-        )
+        docs.withColumn("_keys", F.expr(keys))
         .withColumn("_marked", F.expr(marked))
         .withColumn("pages", F.expr(f"coalesce({linked}, pages)"))
         .drop("_keys", "_marked")
     )
 
 
-def documents(
-    renders: DataFrame, spec: str | None = None, row_work: int = ROW_LINK_WORK
-) -> DataFrame:
+def documents(renders: DataFrame, spec: str | None = None) -> DataFrame:
     """One row per render: pages, figures, diagnostics and status. No shuffle.
 
     ``spec`` is the page selection the renders were made with.
@@ -146,7 +137,7 @@ def documents(
         "figures",
         "pngs",
     )
-    return _with_links(computed_once(record), row_work)
+    return _with_links(computed_once(record))
 
 
 def document_figures(docs: DataFrame) -> DataFrame:
@@ -155,12 +146,5 @@ def document_figures(docs: DataFrame) -> DataFrame:
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
-    """The page table of ``documents``, links set.
-
-    Documents not linked in their row take a second look at ``docs``. Read
-    from a table, as a run does, the statistics of ``linked`` prune it; given
-    as a computation, that computation is repeated up to the linking.
-    """
-    large = docs.where("not linked")
-    joined = relink(explode_pages(large), document_figures(large))
-    return explode_pages(docs.where("linked")).unionByName(joined)
+    """The page table of ``documents``, links set."""
+    return explode_pages(docs)

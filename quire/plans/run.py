@@ -16,6 +16,7 @@ from quire.operators.selection import run_fingerprint
 from quire.plans.documents import documents
 from quire.sources.files import (
     OUTPUT_FOLDER,
+    SUPPORTED,
     discover_files,
     is_file,
     path_exists,
@@ -25,7 +26,7 @@ from quire.sources.files import (
 )
 from quire.sources.index import read_index
 from quire.sources.remote import with_existence, with_file_checksum
-from quire.sources.sinks import export_tree, write_run
+from quire.sources.sinks import write_run
 
 
 # Documents one conversion task takes on; what a lost executor has to do again.
@@ -67,20 +68,25 @@ def run(
 ) -> RunReport:
     """Convert what is new or changed below ``input_path`` (a folder or one file).
 
-    Listing a folder keeps one entry per file on the driver. Where there are
-    too many for that, give a table of paths and sizes as ``listing`` (columns
-    path, size_bytes; absolute URIs below ``input_path``).
+    Folders are listed by tasks. A table of paths and sizes may take the place of
+    that: ``listing`` with columns path and size_bytes (absolute URIs below
+    ``input_path``), and page_count where it is known.
 
     The plan and the converted documents are written before anything reads
     them again: neither is a file hashed twice nor a document converted twice,
-    and a lost executor repeats only its own tasks. The index snapshot comes
-    last, so an interrupted run is simply done again.
+    and a lost executor repeats only its own tasks. Tables come first, then
+    figures, bodies and records, and the index snapshot last: whatever an
+    interrupted run has left out is converted again. Without ``export`` a
+    completed record in the index is all that a document needs to be skipped.
     """
     options = options or RunOptions()
     if not path_exists(spark, input_path):
         raise ValueError(f"Input path does not exist: {input_path}")
     top = qualified(spark, input_path)
-    base = top.rsplit("/", 1)[0] if is_file(spark, input_path) else top
+    single = is_file(spark, input_path)
+    if single and listing is None and not top.lower().endswith(SUPPORTED):
+        raise ValueError(f"Not a supported file: {input_path}")
+    base = top.rsplit("/", 1)[0] if single else top
     root = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
     stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
@@ -90,11 +96,14 @@ def run(
         found = discover_files(spark, input_path, root)
     else:
         found = select_inputs(listing, base, root)
-    found = found.select("rel_key", "path", "size_bytes")
+    counted = "page_count" if "page_count" in found.columns else "cast(null as bigint) as page_count"
+    found = found.selectExpr("rel_key", "path", "size_bytes", counted)
     files = with_file_checksum(size_gate(found, options.max_file_mb))
     index = read_index(spark, root)
     mine = index.where(f"status = 'completed' and fingerprint = '{fingerprint}'")
-    existing = with_existence(mine.select("output_path"), root)
+    existing = mine.select("output_path")
+    if export:  # without files a record in the index stands for the tables of its run
+        existing = with_existence(existing, root)
     planned = plan_run(files, index, fingerprint, existing, reprocess)
     planned.write.mode("overwrite").parquet(f"{run_dir}/plan")
     plan = spark.read.parquet(f"{run_dir}/plan")
@@ -104,10 +113,8 @@ def run(
     documents(renders, options.pages).write.mode("overwrite").parquet(f"{run_dir}/documents")
     docs = spark.read.parquet(f"{run_dir}/documents")
     records = doc_metadata(docs, options.model, options.backend, fingerprint)
-    write_run(docs, records, root, run_dir)
+    write_run(docs, records, root, run_dir, export)
     metadata = spark.read.parquet(f"{run_dir}/metadata")
-    if export:
-        export_tree(docs, metadata, root)
 
     fresh = metadata.selectExpr("key as rel_key", "status", "output_path")
     results = fresh.unionByName(cached_outcomes(plan))

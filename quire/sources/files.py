@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ OUTPUT_FOLDER = "ocr"
 # ---------------------------------------------------------------------------
 
 
+FILE = "path string, size_bytes bigint, modified timestamp"
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as the absolute URI under which Spark lists its files."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,7 +70,7 @@ def with_checksum(files: DataFrame) -> DataFrame:
 def size_gate(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     """Add ``size_error``: a message for files over the limit, else null."""
     mb = "size_bytes / 1048576D"
-    said = literal(f"File size (%.2f MB) exceeds maximum allowed size ({float(max_mb)} MB)")
+    said = literal(f"too large: %.2f MB, limit {float(max_mb)} MB")
     return files.selectExpr(
         "*",
         f"if({mb} > {float(max_mb)}D, format_string({said}, bround({mb}, 2)), null) as size_error",
@@ -81,9 +85,10 @@ def list_files(spark: SparkSession, root: str, skip: str | None = None) -> DataF
     each level of folders is listed by tasks and written down.
     """
     if is_file(spark, root):
-        folder, name = root.rsplit("/", 1)
-        found = list_folders(spark.createDataFrame([(folder,)], "path string"))
-        return found.where(f"path = {literal(f'{folder}/{name}')}").drop("is_dir")
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        status = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jvm_path)
+        seen = datetime.fromtimestamp(status.getModificationTime() / 1000, timezone.utc)
+        return spark.createDataFrame([(root, status.getLen(), seen)], FILE)
     tasks = max(spark.sparkContext.defaultParallelism, 1)
     folders = spark.createDataFrame([(root,)], "path string")
     levels = []

@@ -12,31 +12,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.sources.ship import ship
+from quire.sources.spread import dealt
 
 CHUNK = 1 << 20
 OBJECT_STORES = ("s3", "gcs", "abfs")
+#: Names that Hadoop has for stores, and those that the file systems here go by.
+SCHEMES = {
+    "hdfs": "hdfs", "viewfs": "viewfs", "gs": "gs", "gcs": "gcs", "abfs": "abfs", "abfss": "abfss",
+    "s3": "s3", "s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss",
+}
 
 
 def locate(uri: str):
-    """File system and path of a URI as Spark prints it (unescaped)."""
+    """File system and path of a URI as Spark prints it (unescaped).
+
+    A store that isn't known raises; it is no fault of a single file.
+    """
     from pyarrow import fs
 
     found = re.match(r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/]*))?(/.*)$", uri, re.DOTALL)
     if found is None or found[1] == "file":
         return fs.LocalFileSystem(), uri if found is None else found[3]
-    store, base = fs.FileSystem.from_uri(f"{found[1]}://{found[2] or ''}/")
+    if found[1].lower() not in SCHEMES:
+        raise ValueError(f"no file system for {found[1]}: {uri}")
+    store, base = fs.FileSystem.from_uri(f"{SCHEMES[found[1].lower()]}://{found[2] or ''}/")
     return store, base.rstrip("/") + found[3]
 
 
 def file_checksum(uri: str) -> str | None:
     """Digest of a file read in chunks; None if it cannot be read."""
     digest = hashlib.sha256()
+    store, path = locate(uri)
     try:
-        store, path = locate(uri)
         with store.open_input_stream(path) as stream:
             while chunk := stream.read(CHUNK):
                 digest.update(chunk)
-    except Exception:
+    except OSError:
         return None
     return "sha256:" + digest.hexdigest()
 
@@ -45,15 +56,20 @@ def with_file_checksum(files: DataFrame) -> DataFrame:
     """Add ``checksum`` by streaming each file inside the tasks.
 
     Unlike the ``content`` of a file scan, no file is held in memory whole,
-    and one that cannot be read gives null instead of failing the job.
+    and one that cannot be read gives null instead of failing the job. Files
+    are dealt out by path first: a listing has a folder's entries in one task.
     """
-    ship(files.sparkSession)
+    spark = files.sparkSession
+    ship(spark)
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
 
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
         return paths.map(file_checksum)
 
-    return files.withColumn("checksum", digest("path"))
+    return dealt(files, "path", tasks).withColumn("checksum", digest("path"))
 
 
 LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quire.functions.page_text import FAILED_BODY, PART_PAGES, section
+from quire.functions.page_text import FAILED_BODY, section
 from quire.functions.text import literal
 from quire.operators.metadata import body_path, output_folder, upsert_index
-from quire.operators.pages import assemble_body
 from quire.plans.documents import document_figures, document_pages
 from quire.sources.index import read_index, write_index
 from quire.sources.remote import write_files
@@ -20,42 +19,40 @@ def write_tables(docs: DataFrame, metadata: DataFrame, run_dir: str) -> None:
     metadata.write.mode("overwrite").parquet(f"{run_dir}/metadata")
 
 
-def write_run(docs: DataFrame, metadata: DataFrame, root: str, run_dir: str) -> str:
-    """All tables of a run, then the index snapshot that makes the run count.
+def write_run(
+    docs: DataFrame, metadata: DataFrame, root: str, run_dir: str, export: bool = False
+) -> str:
+    """All tables of a run, its files if ``export``, then the index snapshot.
 
-    Failed documents are written like any other. Returns the snapshot's path.
+    The snapshot alone makes the run count: whatever an interrupted run has left
+    out, its documents are not in the index and are converted again. Failed
+    documents are written like any other. Returns the snapshot's path.
     """
     spark = docs.sparkSession
     write_tables(docs, metadata, run_dir)
-    fresh = spark.read.parquet(f"{run_dir}/metadata")
+    fresh = spark.read.schema(metadata.schema).parquet(f"{run_dir}/metadata")
+    if export:
+        export_tree(docs, fresh, root)
     return write_index(spark, upsert_index(read_index(spark, root), fresh), root)
 
 
-def document_bodies(docs: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Bodies of ``documents`` by part, put together inside each row."""
-    last = f"greatest(ceil(size(pages) / {part_pages}) - 1, 0L)"
-    own = f"slice(pages, cast(n * {part_pages} + 1 as int), {part_pages})"
-    body = f"array_join(transform({own}, p -> {section('p.page_no', 'p.text')}), '')"
-    bodies = (
-        f"if(size(pages) = 0, array({literal(FAILED_BODY)}), "
-        f"transform(sequence(0L, {last}), n -> {body}))"
-    )
-    in_row = docs.where("linked").selectExpr("rel_key", f"posexplode({bodies}) as (part, body)")
-    in_row = in_row.selectExpr("rel_key", "cast(part as bigint) as part", "body")
-    large = document_pages(docs.where("not linked"))
-    return in_row.unionByName(assemble_body(large, part_pages=part_pages))
+def document_bodies(docs: DataFrame) -> DataFrame:
+    """The body of each of ``documents``, put together inside its row."""
+    sections = f"transform(pages, p -> {section('p.page_no', 'p.text')})"
+    body = f"if(size(pages) = 0, {literal(FAILED_BODY)}, array_join({sections}, ''))"
+    return docs.selectExpr("rel_key", f"{body} as body")
 
 
 def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, int]:
     """Write '<dir>/<stem>/' with body, figures/*.png and metadata.json per document.
 
     Files are written by the tasks that hold their rows, each under its name
-    only when complete; running again replaces them. A document of more than
-    PART_PAGES pages goes on in '<stem>.part-00001.md' and so forth. Returns
-    how many files of each kind were written.
+    only when complete; running again replaces them. Figures come first, then
+    the bodies that link to them, then the records. Returns how many files of
+    each kind were written.
     """
     bodies = document_bodies(docs).selectExpr(
-        f"{body_path('rel_key', 'part')} as path", "body as data"
+        f"{body_path('rel_key')} as path", "body as data"
     )
     # Saved figures stand first and in the order of their PNGs.
     links = "slice(figures.link, 1, size(pngs))"
@@ -70,7 +67,7 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
         f"to_json(struct({columns}), {options}) as data",
     )
     return {
-        "bodies": write_files(bodies, root),
         "figures": write_files(images, root),
+        "bodies": write_files(bodies, root),
         "metadata": write_files(records, root),
     }

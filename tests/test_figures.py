@@ -5,9 +5,8 @@ import random
 import pytest
 
 from quire.operators import figures
-from quire.operators.ranking import number_within
+from quire.operators.pages import split_pages
 from quire.plans.documents import document_figures, document_pages, documents
-from tests import brute
 from tests.brute import RULE
 
 RENDERS = (
@@ -48,80 +47,77 @@ def test_a_failed_figure_takes_no_number(spark):
     assert got["_page_0_A_2"][0] == 2
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 50, 0])
-def test_number_within_is_the_same_for_hot_groups(spark, hot_rows):
-    rng = random.Random(3)
-    rows = [("hot" if i % 3 else f"k{i % 40}", rng.randrange(9), f"v{i}") for i in range(900)]
-    df = spark.createDataFrame(rows, "k string, a int, b string").repartition(5)
-    got = number_within(df, ["k"], ["a", "b"], "no", hot_rows)
-    want = []
-    for key in {r[0] for r in rows}:
-        mine = sorted(r for r in rows if r[0] == key)
-        want += [(*r, i + 1) for i, r in enumerate(mine)]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+def test_numbering_starts_no_job_and_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    raw = figures.parse_figure_key(figures.explode_images(renders(spark, {"a": ("x", [image("k")] * 3)})))
 
+    def counting(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
 
-def test_failures_are_listed_in_source_order_and_in_parts(spark):
+    numbered = figures.number_figures(raw.mapInPandas(counting, raw.schema))
+    assert seen.value == 0
+    assert sorted(r.figure_no for r in numbered.collect()) == [1, 2, 3] and seen.value == 3
+
+
+def test_failures_are_listed_in_source_order_in_one_row(spark):
     images = [image(f"_page_{p}_F_0", saved=False) for p in (11, 2, 0)]
+    many = [image(f"_page_{p}_F_0", saved=False) for p in range(4100)]
     raw = figures.parse_figure_key(
-        figures.explode_images(renders(spark, {"a": ("x", images), "b": ("x", [image("k")])}))
+        figures.explode_images(
+            renders(spark, {"a": ("x", images), "b": ("x", [image("k")]), "c": ("x", many)})
+        )
     )
-    (row,) = figures.figure_failures(raw).collect()
-    assert tuple(row) == (
-        "a", 0, 3, "failed to save 3 figure(s): '_page_0_F_0', '_page_2_F_0', '_page_11_F_0'"
+    one, two = figures.figure_failures(raw).orderBy("rel_key").collect()
+    assert tuple(one) == (
+        "a", 3, "figures without an image (3): '_page_0_F_0', '_page_2_F_0', '_page_11_F_0'"
     )
-    for hot_rows in (10**6, 1):
-        rows = figures.figure_failures(raw, 2, hot_rows).orderBy("part").collect()
-        assert [(r.part, r.failed) for r in rows] == [(0, 2), (1, 1)]
-        assert rows[1].detail == "failed to save 1 figure(s): '_page_11_F_0'"
+    assert two.failed == 4100 and two.detail.endswith("'_page_4099_F_0'")
 
 
-KEYS = ["a.png", "b.png", "aa.png", "fig(1).png", "fig(2).png", "x)y", "p(q", ".*", "\\E+", "$1", "a b"]
-BITS = ["![](", "![al\nt](", "[see](", "(", ")", " ", "\n", "word", "![x]", *KEYS, *(f"({k})" for k in KEYS)]
+SAVED = ["a.png", "fig(1).png", "p(q", ".*", "$1", "a b"]
+LOST = ["b.png", "fig(2).png", "x)y", "\\E+"]
 
 
-def random_docs(seed, n=60):
-    rng = random.Random(seed)
-    docs = {}
-    for d in range(n):
-        keys = rng.sample(KEYS, rng.randrange(0, len(KEYS)))
-        images = [image(k, saved=rng.random() < 0.6) for k in keys]
-        sections = [
-            f"\n\n{{{p}}}{RULE}\n\n" + "".join(rng.choices(BITS, k=rng.randrange(0, 25)))
-            for p in range(rng.randrange(1, 5))
-        ]
-        docs[f"d{d}"] = ("".join(sections), images)
-    return docs
+def composed(rng, link):
+    """A page's text and the text that it should become, put together from the same pieces."""
+    given, wanted = "", ""
+    for _ in range(rng.randrange(0, 25)):
+        key = rng.choice(SAVED + LOST)
+        alt = rng.choice(["", "al\nt", "x"])
+        kind = rng.randrange(4)
+        if kind == 0:
+            text = becomes = rng.choice(["word ", ")", " ", "![x]", key + " ", "(other)"])
+        elif kind == 1:
+            text = f"[see]({key}) "
+            becomes = f"[see]({link.get(key, key)}) "
+        else:
+            text = f"![{alt}]({key}) "
+            becomes = f"![{alt}]({link[key]}) " if key in link else " "
+        given, wanted = given + text, wanted + becomes
+    return given, wanted
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_links_agree_with_brute_force(spark, seed):
-    docs = random_docs(seed)
+def test_links_are_set_and_dropped(spark, seed):
+    rng = random.Random(seed)
+    # Keys without numbers stand in the order of their spelling, on page 1.
+    link = {k: f"./figures/figure_{i + 1}_page1.png" for i, k in enumerate(sorted(SAVED))}
+    images = [image(k) for k in SAVED] + [image(k, saved=False) for k in LOST]
+    docs, want = {}, []
+    for d in range(40):
+        pages = [composed(rng, link) for _ in range(rng.randrange(1, 5))]
+        docs[f"d{d}"] = ("".join(f"\n\n{{{p}}}{RULE}\n\nx{t}x" for p, (t, _) in enumerate(pages)), images)
+        want += [(f"d{d}", p, p + 1, f"x{t}x") for p, (_, t) in enumerate(pages)]
     r = renders(spark, docs)
-    in_row = documents(r).cache()
-    by_join = documents(r, row_work=-1).cache()
-    assert in_row.where("not linked").count() == 0 and by_join.where("linked").count() == 0
-    figs = linked(spark, docs)
-    want = []
-    by_key = {}
-    for f in figs.collect():
-        by_key.setdefault(f.rel_key, []).append(f)
-    for key, (markdown, _) in docs.items():
-        mine = sorted(by_key.get(key, []), key=lambda f: (f.page_no, f.block_id, f.img_key))
-        links = {f.img_key: f.link for f in mine if f.link}
-        failed = [f.img_key for f in mine if not f.link]
-        for pos, (no, text) in enumerate(brute.pages_of(markdown)):
-            want.append((key, pos, no, brute.relinked(text, links, failed)))
-    assert sorted(map(tuple, document_pages(in_row).collect())) == sorted(want)
-    assert sorted(map(tuple, document_pages(by_join).collect())) == sorted(want)
+    assert sorted(map(tuple, document_pages(documents(r)).collect())) == sorted(want)
+    by_join = figures.relink(split_pages(r), linked(spark, docs))
+    assert sorted(map(tuple, by_join.collect())) == sorted(want)
     columns = ["rel_key", "img_key", "figure_no", "link"]
-    with_pages = in_row.where("recovered > 0").select("rel_key")
-    kept = figs.join(with_pages, "rel_key", "left_semi")
-    assert sorted(map(str, document_figures(in_row).select(columns).collect())) == sorted(
-        map(str, kept.select(columns).collect())
+    assert sorted(map(str, document_figures(documents(r)).select(columns).collect())) == sorted(
+        map(str, linked(spark, docs).select(columns).collect())
     )
-    in_row.unpersist()
-    by_join.unpersist()
 
 
 def test_rewrite_and_strip_apart(spark):

@@ -76,40 +76,33 @@ def test_page_stats(spark):
     assert got == {"a": (3, True, 3, 5), "b": (2, False, 1, 2), "hot": (107, True, 0, 49)}
 
 
-def joined(df, value):
-    out = {}
-    for r in df.orderBy("rel_key", "part").collect():
-        assert r.part == len(out.setdefault(r.rel_key, []))
-        out[r.rel_key].append(r[value])
-    return out
+def values(df, name):
+    got = {r.rel_key: r[name] for r in df.collect()}
+    assert len(got) == df.count()  # a row per document
+    return got
 
 
-def test_parts_put_together_are_the_whole(spark):
-    table = page_table(spark, DOCS)
-    for size in (2000, 10):
-        numbers = joined(pages.page_numbers(table, size), "page_numbers")
-        assert {k: sum(v, []) for k, v in numbers.items()} == {
-            k: [no for no, _ in ps] for k, ps in DOCS.items()
-        }
-        bodies = joined(pages.assemble_body(table, part_pages=size), "body")
-        assert {k: "".join(v) for k, v in bodies.items()} == {
-            k: "".join(f"## Page {no}\n\n{t}\n\n" for no, t in ps) for k, ps in DOCS.items()
-        }
-        assert len(bodies["hot"]) == (1 if size == 2000 else 11)
-        flat = joined(pages.flat_text(table.where("rel_key <> 'b'"), size), "text")
-        assert "\n\n".join(flat["hot"]) == "\n\n".join(t for _, t in DOCS["hot"])
-        assert flat["a"] == ["Third\n\nFifth"]
+def test_pages_put_together(spark):
+    docs = DOCS | {"long": [(n, f"p{n}") for n in range(5000)]}
+    table = page_table(spark, docs)
+    assert values(pages.page_numbers(table), "page_numbers") == {
+        k: [no for no, _ in ps] for k, ps in docs.items()
+    }
+    bodies = values(pages.assemble_body(table), "body")
+    assert bodies == {k: "".join(f"## Page {no}\n\n{t}\n\n" for no, t in ps) for k, ps in docs.items()}
+    flat = values(pages.flat_text(table.where("rel_key <> 'b'")), "text")
+    assert flat["long"] == "\n\n".join(t for _, t in docs["long"])
+    assert flat["a"] == "Third\n\nFifth"
 
 
 def test_bodies_of_documents_without_pages(spark):
     docs = spark.createDataFrame([("a",), ("none",)], "rel_key string")
     table = page_table(spark, {"a": DOCS["a"]})
-    bodies = joined(pages.assemble_body(table, docs), "body")
-    assert bodies["none"] == [FAILED_BODY] and bodies["a"][0].startswith("## Page 3\n\nThird")
+    bodies = values(pages.assemble_body(table, docs), "body")
+    assert bodies["none"] == FAILED_BODY and bodies["a"].startswith("## Page 3\n\nThird")
 
 
 def test_parse_body_inverts_assemble_body(spark):
     table = page_table(spark, {k: [(n, t.strip()) for n, t in ps] for k, ps in DOCS.items()})
-    for size in (2000, 10):
-        back = pages.parse_body(pages.assemble_body(table, part_pages=size), size)
-        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))
+    back = pages.parse_body(pages.assemble_body(table))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, table.collect()))

@@ -41,7 +41,7 @@ def test_narrow_operators_do_not_shuffle(render_table):
 def test_text_is_split_once_per_row(render_table):
     for df in (
         pages.split_pages(render_table).where("page_no > 1"),
-        documents(render_table).where("status = 'failed' and linked"),
+        documents(render_table).where("status = 'failed'"),
     ):
         plan = physical(df)
         assert len(re.findall(r"regexp_extract_all\(markdown", plan)) == 1
@@ -55,11 +55,6 @@ def test_only_needed_columns_are_read(render_table):
     assert "page_count:bigint" in plan and "processing_time" not in plan
 
 
-def test_pages_group_by_part(render_table):
-    body = physical(pages.assemble_body(pages.split_pages(render_table)))
-    assert re.search(r"hashpartitioning\(rel_key#\d+, part#\d+", body)
-
-
 def test_links_join_on_document_and_token(spark, render_table):
     table = pages.split_pages(render_table)
     figs = figures.figure_links(

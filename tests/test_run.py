@@ -10,6 +10,7 @@ import pytest
 from quire import Render, RunOptions, convert, run
 from quire.functions.page_text import FAILED_BODY
 from quire.plans.run import fingerprint_options
+from quire.sources import sinks
 from quire.sources.index import read_index
 from tests.brute import RULE
 
@@ -25,10 +26,10 @@ def factory(told):
         content = Path(path).read_text()
         if content == "boom":
             raise RuntimeError("conversion blew up")
-        wanted = told.get("page_range")
+        wanted = told.page_ranges
         text, images = "", []
         for i, body in enumerate(content.split("\f")):
-            if wanted is not None and not any(i in r for r in wanted):
+            if wanted is not None and not any(a <= i <= b for a, b in wanted):
                 continue
             lines = []
             for line in body.split("\n"):
@@ -127,7 +128,7 @@ def test_oversized_and_vanished_inputs_fail_alone(spark, inputs):
     report = run(spark, str(inputs), factory, str(inputs / "out"), listing=listing)
     assert outcome(report) == (1, 0, 2, 3, 1)
     got = {r.key: r for r in report.metadata.collect()}
-    assert "exceeds maximum allowed size" in got["big.pdf"].error
+    assert "too large" in got["big.pdf"].error
     assert got["gone.pdf"].checksum == "sha256:" + "0" * 64
 
 
@@ -145,11 +146,86 @@ def test_nothing_to_convert_loads_no_model(spark):
     files = spark.createDataFrame([("a", None, "too big")], "rel_key string, path string, size_error string")
     (row,) = convert(files, never).collect()
     assert row.error == "too big"
-    (row,) = convert(files.selectExpr("rel_key", "path"), never).collect()
-    assert row.error == "loaded"
+    with pytest.raises(Exception, match="loaded"):  # a model that can't load is no document's fault
+        convert(files.selectExpr("rel_key", "path"), never).collect()
 
 
 def test_each_document_is_converted_once(spark, inputs):
     (inputs / "marks.pdf").write_text("x")
     run(spark, str(inputs), factory)
     assert (inputs / "calls.log").read_text() == "x"
+
+
+def test_a_model_is_loaded_once_per_task(spark, tmp_path):
+    def counting(told):
+        with open(tmp_path / "loads.log", "a") as log:
+            log.write("x")
+
+        def fails(doc):
+            raise RuntimeError("no")
+
+        return fails
+
+    files = spark.createDataFrame([(f"k{i}", "p") for i in range(12)], "rel_key string, path string")
+    rows = convert(files, counting, tasks=3).collect()
+    assert {r.error for r in rows} == {"no"} and all(r.processing_time >= 0 for r in rows)
+    assert (tmp_path / "loads.log").read_text() == "xxx"
+
+
+def test_a_listing_s_page_count_finds_lost_pages(spark, inputs):
+    def silent(told):
+        made = factory(told)
+
+        def convert_(doc):
+            out = made(doc)
+            out.page_count = None
+            return out
+
+        return convert_
+
+    listing = spark.createDataFrame(
+        [(f"file:{inputs}/a/intro.pdf", 10, 9)], "path string, size_bytes bigint, page_count bigint"
+    )
+    report = run(spark, str(inputs), silent, str(inputs / "out"), listing=listing)
+    assert outcome(report) == (0, 1, 0, 1, 1)
+
+
+@pytest.mark.parametrize("kind", ["figures", "bodies", "records", "index"])
+def test_an_interrupted_run_is_repaired_by_the_next(spark, inputs, monkeypatch, kind):
+    """The run stops just ahead of the step; the next one leaves nothing out."""
+    step = ["figures", "bodies", "records", "index"].index(kind)
+    calls = []
+    write_files, write_index = sinks.write_files, sinks.write_index
+
+    def stop(real, *args):
+        if len(calls) == step:
+            raise RuntimeError("stopped")
+        calls.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "write_files", lambda *a: stop(write_files, *a))
+    monkeypatch.setattr(sinks, "write_index", lambda *a: stop(write_index, *a))
+    with pytest.raises(RuntimeError):
+        run(spark, str(inputs), factory)
+    monkeypatch.undo()
+    assert outcome(run(spark, str(inputs), factory)) == (3, 1, 4, 8, 1)
+    out = inputs / "ocr"
+    assert (out / "a/intro/figures/figure_1_page2.png").exists()
+    assert (out / "a/intro/intro.md").exists() and (out / "a/intro/metadata.json").exists()
+    assert len(read_index(spark, str(out)).collect()) == 8
+
+
+def test_table_only_runs_skip_what_is_done(spark, inputs):
+    first = run(spark, str(inputs), factory, export=False)
+    assert outcome(first) == (3, 1, 4, 8, 1) and not (inputs / "ocr/a/intro/intro.md").exists()
+    again = run(spark, str(inputs), factory, export=False)
+    assert outcome(again) == (3, 1, 4, 8, 1)
+    assert {r.key for r in again.metadata.collect()}.isdisjoint({"a/intro.pdf", "b/intro.PDF"})
+    # With files wanted they are missing, and so made.
+    run(spark, str(inputs), factory)
+    assert (inputs / "ocr/a/intro/intro.md").exists()
+
+
+def test_a_single_file_of_another_kind_is_an_error(spark, inputs):
+    with pytest.raises(ValueError):
+        run(spark, str(inputs / "note.txt"), factory)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import pytest
+
 from quire.operators.metadata import doc_metadata
 from quire.operators.pages import assemble_body
 from quire.plans.documents import document_pages, documents
-from quire.sources.remote import file_checksum, locate
+from quire.sources.files import list_files
+from quire.sources.remote import SCHEMES, file_checksum, locate, with_file_checksum
 from quire.sources.sinks import document_bodies, export_tree
 from tests.brute import RULE
 from tests.test_figures import image, renders
@@ -14,17 +17,13 @@ def long_document(n):
     return pages, [image(f"_page_{i}_F_0", saved=i % 3 > 0) for i in range(n)]
 
 
-def test_bodies_by_part_are_the_same_in_rows_and_by_groups(spark, tmp_path):
-    docs = {"long.pdf": long_document(25), "short.pdf": ("x", []), "none.pdf": (" ", [])}
-    for work in (10**6, 30):  # at 30 the long document is left to the join
-        path = str(tmp_path / f"docs{work}")
-        documents(renders(spark, docs), row_work=work).write.parquet(path)
-        table = spark.read.parquet(path)
-        assert table.where("not linked").count() == (0 if work > 30 else 1)
-        got = document_bodies(table, part_pages=10)
-        want = assemble_body(document_pages(table), table, part_pages=10)
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-        assert got.count() == 5
+def test_bodies_in_rows_are_those_of_the_page_table(spark):
+    docs = {"long.pdf": long_document(2500), "short.pdf": ("x", []), "none.pdf": (" ", [])}
+    table = documents(renders(spark, docs))
+    got = document_bodies(table)
+    want = assemble_body(document_pages(table), table)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 3
 
 
 def test_export_is_whole_and_repeatable(spark, tmp_path):
@@ -50,3 +49,19 @@ def test_locations(tmp_path):
         assert locate(uri)[1] == str(odd)
         assert file_checksum(uri).startswith("sha256:ba7816bf")
     assert file_checksum(f"file:{tmp_path}/nowhere") is None
+
+
+def test_unknown_stores_raise():
+    assert SCHEMES["s3a"] == SCHEMES["s3n"] == "s3" and SCHEMES["wasbs"] == "abfss"
+    with pytest.raises(ValueError):
+        file_checksum("nosuch://bucket/key.pdf")
+
+
+def test_a_flat_folder_is_hashed_by_all_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.pdf").write_text(str(i))
+    hashed = with_file_checksum(list_files(spark, f"file:{tmp_path}"))
+    sizes = [len(p) for p in hashed.select("path").rdd.glom().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 2 * 400 / len(sizes) and min(sizes) > 0
+    (one,) = list_files(spark, f"file:{tmp_path}/7.pdf").collect()
+    assert one.path.endswith("/7.pdf") and one.size_bytes == 1 and one.modified

@@ -40,7 +40,7 @@ def test_shortfall_only(spark):
         [(1, 3), (3, 3), (4, 3), (1, None), (0, 3)], "recovered bigint, expected bigint"
     )
     got = [r.page_error for r in status.flag_shortfall(df).collect()]
-    assert got[0] == "Recovered 1 page(s) but the document has 3 (pages dropped or not split)"
+    assert got[0] == "pages incomplete: 1 of 3 came back"
     assert got[1:] == [None] * 4
 
 
@@ -68,8 +68,8 @@ def test_documents_are_judged(spark):
         (pages(" "), None, 1, [lost]),
         (pages("", " "), None, 3, []),
     )
-    short = "Recovered {} page(s) but the document has {} (pages dropped or not split)"
-    unsaved = "failed to save 1 figure(s): '_page_0_F_0'"
+    short = "pages incomplete: {} of {} came back"
+    unsaved = "figures without an image (1): '_page_0_F_0'"
     assert [(r.status, r.recovered, r.error) for r in got] == [
         ("completed", 2, None),
         ("partial", 1, short.format(1, 3)),

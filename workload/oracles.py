@@ -21,8 +21,7 @@ from workload.fixtures import (
 WS = f"'{WHITESPACE}'"
 NL2 = "chr(10)||chr(10)"
 SHORT = (
-    "'Recovered '||recovered||' page(s) but the document has '||expected||"
-    "' (pages dropped or not split)'"
+    "'pages incomplete: '||recovered||' of '||expected||' came back'"
 )
 
 
@@ -137,7 +136,7 @@ s as (
   from f
   left join (select rel_key, count(*) as recovered, bool_or(text <> '') as has_content
              from p group by rel_key) r using (rel_key)
-  left join (select rel_key, 'failed to save ' || count(*) || ' figure(s): '
+  left join (select rel_key, 'figures without an image (' || count(*) || '): '
                || string_agg('''' || img_key || '''', ', ' order by page_no, block_id) as detail
              from g where not saved group by rel_key) x using (rel_key)
   where cls <> 9),
@@ -159,7 +158,7 @@ dr as (
   select rel_key, conv_id, checksum, output_path, recovered, status, error from s4
   union all
   select rel_key, conv_id, checksum, output_path, 0, 'failed',
-    'File size (' || printf('%.2f', size_bytes / 1048576.0) || ' MB) exceeds maximum allowed size (500.0 MB)'
+    'too large: ' || printf('%.2f', size_bytes / 1048576.0) || ' MB, limit 500.0 MB'
   from f where size_bytes / 1048576.0 > 500),
 md as (
   select rel_key as key, status, coalesce(checksum, '{UNREADABLE_CHECKSUM}') as checksum,
@@ -271,9 +270,9 @@ ORACLES: dict[str, str] = {
         "select path, size_bytes, path[5:] as rel_key from v", VARIED),
     "with_checksum": "select doc_id, 'sha256:' || sha256(text) as checksum from documents",
     "size_gate": q(
-        "select rel_key, size_bytes, case when size_bytes / 1048576.0 > 500 then 'File size (' "
+        "select rel_key, size_bytes, case when size_bytes / 1048576.0 > 500 then 'too large: ' "
         "|| printf('%.2f', size_bytes / 1048576.0) "
-        "|| ' MB) exceeds maximum allowed size (500.0 MB)' end as size_error from f"),
+        "|| ' MB, limit 500.0 MB' end as size_error from f"),
     "read_index": q(f"select {META} from old", PRIOR, OLD),
     "inventory": q(
         f"select rel_key, regexp_extract(rel_key, '[^/]*$') as name, {size_text('size_bytes')} as size, "
@@ -321,14 +320,14 @@ ORACLES: dict[str, str] = {
         "select rel_key, count(*) as page_count, bool_or(text <> '') as has_content, "
         "min(page_no) as first_page, max(page_no) as last_page from p group by rel_key", PAGES),
     "page_numbers": q(
-        "select rel_key, pos // 2000 as part, string_agg(page_no::varchar, ',' order by pos) "
+        "select rel_key, string_agg(page_no::varchar, ',' order by pos) "
         "as page_numbers from p group by all", PAGES),
     "flat_text": q(
-        f"select rel_key, pos // 2000 as part, string_agg(text, {NL2} order by pos) as text "
+        f"select rel_key, string_agg(text, {NL2} order by pos) as text "
         "from p where text <> '' group by all", PAGES),
     "assemble_body": q(
-        f"""select f.rel_key, coalesce(part, 0) as part, coalesce(body, '*[OCR Failed]*' || chr(10)) as body
-        from f left join (select rel_key, pos // 2000 as part,
+        f"""select f.rel_key, coalesce(body, '*[OCR Failed]*' || chr(10)) as body
+        from f left join (select rel_key,
           string_agg('## Page ' || page_no || {NL2} || text || {NL2}, '' order by pos) as body
           from p group by all) x using (rel_key) where cls <> 9""", PAGES),
     "parse_body": q("select rel_key, pos, page_no, text from p", PAGES),
@@ -345,8 +344,8 @@ ORACLES: dict[str, str] = {
         "select rel_key, img_key, saved, figure_no::bigint as figure_no from g", *FG),
     "figure_links": q("select rel_key, img_key, link from gl", *FG),
     "figure_failures": q(
-        "select rel_key, (no - 1) // 2000 as part, count(*) as failed, 'failed to save ' || count(*) "
-        "|| ' figure(s): ' || string_agg('''' || img_key || '''', ', ' order by no) as detail from "
+        "select rel_key, count(*) as failed, 'figures without an image (' || count(*) "
+        "|| '): ' || string_agg('''' || img_key || '''', ', ' order by no) as detail from "
         "(select *, row_number() over (partition by rel_key order by page_no, block_id, img_key) as no "
         "from g where not saved) group by all", *FG),
     "rewrite_links": q(
