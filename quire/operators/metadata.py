@@ -64,17 +64,14 @@ def doc_metadata(docs: DataFrame, model: str, backend: str, fingerprint: str) ->
 
 
 def upsert_index(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Newest record per key; keys not in ``new`` stay as they are.
+    """The records of ``new`` and those of ``old`` whose keys it doesn't have.
 
-    An aggregate rather than a window: it combines before the shuffle, so many
-    records of one key cost no more than one.
+    Both have one record per key, so an anti-join is all it takes: the records
+    of a run are few beside the index, which isn't grouped or sorted for them.
     """
     columns = list(METADATA_COLUMNS)
-    both = old.selectExpr(*columns, "0 as _gen").unionByName(new.selectExpr(*columns, "1 as _gen"))
-    # The rest of the record breaks ties, so the outcome never depends on order.
-    rest = ", ".join(c for c in columns if c not in ("key", "timestamp"))
-    latest = F.expr(f"max(struct(_gen, timestamp, {rest})) as _r")
-    return both.groupBy("key").agg(latest).select("key", "_r.*").select(*columns)
+    kept = old.select(*columns).join(new.select("key"), "key", "left_anti")
+    return kept.select(*columns).unionByName(new.select(*columns))
 
 
 def run_outcome(results: DataFrame) -> DataFrame:

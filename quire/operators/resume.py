@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quire.functions.text import literal
 
 
+def matching_records(files: DataFrame, index: DataFrame, fingerprint: str) -> DataFrame:
+    """``rel_key, checksum, output_path`` of the completed records that fit a file.
+
+    Only of these need the outputs be looked up. The index has a record per key.
+    """
+    completed = index.where(f"status = 'completed' and fingerprint = {literal(fingerprint)}")
+    records = completed.selectExpr("key as rel_key", "checksum", "output_path")
+    return records.join(files.select("rel_key", "checksum"), ["rel_key", "checksum"], "left_semi")
+
+
 def _done(index: DataFrame, fingerprint: str, existing_outputs: DataFrame) -> DataFrame:
     """Completed records of this fingerprint whose output still exists."""
     completed = index.where(f"status = 'completed' and fingerprint = {literal(fingerprint)}")
-    records = completed.selectExpr("key as rel_key", "checksum", "output_path")
-    return records.join(existing_outputs.select("output_path"), "output_path", "left_semi")
+    records = completed.selectExpr("key as rel_key", "checksum", "output_path as cached_path")
+    there = existing_outputs.selectExpr("output_path as cached_path")
+    return records.join(there, "cached_path", "left_semi")
 
 
 def plan_run(
@@ -30,11 +40,7 @@ def plan_run(
     """
     if reprocess:
         return files.selectExpr("*", "'convert' as action", "cast(null as string) as cached_path")
-    done = (
-        _done(index, fingerprint, existing_outputs)
-        .groupBy("rel_key", "checksum")
-        .agg(F.expr("max(output_path) as cached_path"))
-    )
+    done = _done(index, fingerprint, existing_outputs)
     return files.join(done, ["rel_key", "checksum"], "left").selectExpr(
         *files.columns, "if(cached_path is null, 'convert', 'skip') as action", "cached_path"
     )

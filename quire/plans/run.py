@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators.convert import RunOptions, convert
 from quire.operators.metadata import doc_metadata, run_outcome, written_outputs
-from quire.operators.resume import cached_outcomes, plan_run
+from quire.operators.resume import cached_outcomes, matching_records, plan_run
 from quire.operators.selection import run_fingerprint
 from quire.plans.documents import documents
 from quire.sources.files import (
@@ -100,8 +100,10 @@ def run(
     found = found.selectExpr("rel_key", "path", "size_bytes", counted)
     files = with_file_checksum(size_gate(found, options.max_file_mb))
     index = read_index(spark, root)
-    mine = index.where(f"status = 'completed' and fingerprint = '{fingerprint}'")
-    existing = mine.select("output_path")
+    # Hashed once: the plan and the look for outputs both read what is written here.
+    files.write.mode("overwrite").parquet(f"{run_dir}/files")
+    files = spark.read.parquet(f"{run_dir}/files")
+    existing = matching_records(files, index, fingerprint).select("output_path")
     if export:  # without files a record in the index stands for the tables of its run
         existing = with_existence(existing, root)
     planned = plan_run(files, index, fingerprint, existing, reprocess)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 INDEX_SCHEMA = (
@@ -11,24 +14,58 @@ INDEX_SCHEMA = (
 )
 
 
-def _generations(spark: SparkSession, root: str) -> list[int]:
-    """Finished snapshots; one folder name each, not their contents."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_index/gen-*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(int(s.getPath().getParent().getName()[4:]) for s in found or [])
+class IndexMoved(RuntimeError):
+    """Another run has written the next snapshot first."""
+
+
+def _store(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _commits(spark: SparkSession, root: str) -> list[str]:
+    """Names of the committed snapshots, 'gen-<number>.<run>', the oldest first."""
+    store, pattern = _store(spark, f"{root}/_index/commits/gen-*")
+    marks = sorted(s.getPath().toString() for s in store.globStatus(pattern) or [])
+    names = []
+    for mark in marks[-1:]:  # the newest alone is read
+        stream = store.open(spark._jvm.org.apache.hadoop.fs.Path(mark))
+        names.append(bytes(stream.readAllBytes()).decode())
+        stream.close()
+    return names
+
+
+def generation(spark: SparkSession, root: str) -> int:
+    """Number of the newest snapshot; 0 if there is none."""
+    done = _commits(spark, root)
+    return int(done[-1][4:12]) if done else 0
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """Newest finished snapshot; an empty index where there is none."""
-    done = _generations(spark, root)
+    """Newest committed snapshot; an empty index where there is none."""
+    done = _commits(spark, root)
     if not done:
         return spark.createDataFrame([], INDEX_SCHEMA)
-    return spark.read.schema(INDEX_SCHEMA).parquet(f"{root}/_index/gen-{done[-1]:08d}")
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{root}/_index/{done[-1]}")
+
 
+def write_index(spark: SparkSession, index: DataFrame, root: str, after: int | None = None) -> str:
+    """Write the snapshot that follows number ``after`` (default: the newest) and commit it.
 
-def write_index(spark: SparkSession, index: DataFrame, root: str) -> str:
-    """Write the next snapshot. The one being read stays, so a failed run loses nothing."""
-    done = _generations(spark, root)
-    path = f"{root}/_index/gen-{(done[-1] if done else 0) + 1:08d}"
-    index.write.mode("overwrite").parquet(path)
-    return path
+    A snapshot has a folder of its own and counts from the moment its mark is
+    made, which fails if the number is taken: of two runs that began with the
+    same index the second raises ``IndexMoved`` and has to merge once more.
+    """
+    number = (generation(spark, root) if after is None else after) + 1
+    name = f"gen-{number:08d}.{uuid.uuid4().hex[:8]}"
+    index.write.parquet(f"{root}/_index/{name}")
+    store, mark = _store(spark, f"{root}/_index/commits/gen-{number:08d}")
+    try:
+        stream = store.create(mark, False)
+    except Py4JJavaError as e:
+        if not store.exists(mark):
+            raise
+        raise IndexMoved(f"snapshot {number} of {root} is taken") from e
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    return f"{root}/_index/{name}"

@@ -8,9 +8,11 @@ from quire.functions.page_text import FAILED_BODY, section
 from quire.functions.text import literal
 from quire.operators.metadata import body_path, output_folder, upsert_index
 from quire.plans.documents import document_figures, document_pages
-from quire.sources.index import read_index, write_index
+from quire.sources.index import IndexMoved, generation, read_index, write_index
 from quire.sources.remote import write_files
 
+COMMIT_TRIES = 20
+
 
 def write_tables(docs: DataFrame, metadata: DataFrame, run_dir: str) -> None:
     """Write pages, figures and metadata of ``documents`` below ``run_dir``."""
@@ -33,7 +35,14 @@ def write_run(
     fresh = spark.read.schema(metadata.schema).parquet(f"{run_dir}/metadata")
     if export:
         export_tree(docs, fresh, root)
-    return write_index(spark, upsert_index(read_index(spark, root), fresh), root)
+    for _ in range(COMMIT_TRIES):
+        after = generation(spark, root)
+        try:
+            merged = upsert_index(read_index(spark, root), fresh)
+            return write_index(spark, merged, root, after)
+        except IndexMoved:  # another run came first: its records belong in as well
+            continue
+    raise IndexMoved(f"no snapshot of {root} in {COMMIT_TRIES} tries")
 
 
 def document_bodies(docs: DataFrame) -> DataFrame:

@@ -263,6 +263,9 @@ refs as (
 META = "key, status, checksum, model, backend, output_path, pages, error, fingerprint"
 
 ORACLES: dict[str, str] = {
+    "discover_files": q(
+        "select path[5:] as rel_key, size_bytes from v where conv_id % 4 in (0, 1) "
+        "and conv_id % 3 <> 0", VARIED),
     "filter_supported": q(
         "select path, size_bytes from v where conv_id % 4 in (0, 1)", VARIED),
     "exclude_output_subtree": q("select path, size_bytes from v where conv_id % 3 <> 0", VARIED),
@@ -373,10 +376,16 @@ ORACLES: dict[str, str] = {
         f"select {META} from md union all select {META} from old "
         "where key not in (select key from md)", *MD, PRIOR, OLD),
     "write_run": q(
-        """select 'documents' as name, count(*) as n_rows from s4
-        union all select 'pages', count(*) from p union all select 'figures', count(*) from g
-        union all select 'metadata', count(*) from s4 union all select 'index', count(*) from s4""",
-        *JD),
+        """select 'pages' as name, rel_key as key, sha256(string_agg(
+            pos || '|' || page_no || '|' || text, chr(10) order by pos)) as digest from lp group by rel_key
+        union all
+        select 'figures', rel_key, sha256(string_agg(img_key || '|' || coalesce(figure_no::varchar, '-')
+            || '|' || coalesce(link, '-'), chr(10) order by img_key)) from gl group by rel_key
+        union all
+        select name, rel_key, sha256(concat_ws('|', status, checksum, output_path, recovered,
+            coalesce(case when status <> 'completed' then error end, '-')))
+        from s4, (values ('metadata'), ('index')) as n(name)""",
+        *JD, relinked(True, True)),
     "export_tree": q(
         f"""select output_path as path, strlen(body)::bigint as size_bytes,
           'sha256:' || sha256(body) as checksum

@@ -84,11 +84,6 @@ def old_records(spark: SparkSession, d: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------
 
 
-def discover_files(spark, d):
-    found = file_ops.discover_files(spark, d, exts={".parquet"})
-    return found.select("rel_key", "size_bytes")
-
-
 def _varied_paths(spark, d):
     ext = "case conv_id % 4 when 0 then '.pdf' when 1 then '.PDF' when 2 then '.jpg' else '' end"
     folder = "case conv_id % 3 when 0 then 'ocr' when 1 then 'ocr-notes' else 'sub/ocr' end"
@@ -98,6 +93,12 @@ def _varied_paths(spark, d):
     )
 
 
+def discover_files(spark, d):
+    """A listing of nested folders, mixed case and an output folder, as a run selects from it."""
+    found = file_ops.select_inputs(_varied_paths(spark, d), "/in", "/in/ocr")
+    return found.select("rel_key", "size_bytes")
+
+
 def filter_supported(spark, d):
     return file_ops.filter_supported(_varied_paths(spark, d))
 
@@ -361,16 +362,33 @@ def _written(spark, d, folder):
 
 
 def write_run_(spark, d):
-    """Writes all tables of a run and reads their row counts back."""
+    """Writes all tables of a run and reads them back: a digest per table and document."""
     root = scratch_dir(spark, "run")
     run_dir = f"{root}/_runs/0"
     docs = _written(spark, d, run_dir)
     write_run(docs, metadata.doc_metadata(docs, MODEL, BACKEND, FINGERPRINT), root, run_dir)
-    tables = {t: spark.read.parquet(f"{run_dir}/{t}")
-              for t in ("documents", "pages", "figures", "metadata")}
-    tables["index"] = read_index(spark, root)
-    counts = [df.selectExpr(f"'{t}' as name", "count(*) as n_rows") for t, df in tables.items()]
-    return reduce(DataFrame.unionByName, counts)
+
+    def of_rows(table, name, order, line):
+        """Rows of a document in order, one line each; as many as one document has."""
+        rows = spark.read.parquet(f"{run_dir}/{table}").selectExpr(
+            "rel_key", f"struct({order}, concat_ws('|', {line}) as _line) as _r"
+        )
+        return rows.groupBy("rel_key").agg(
+            F.expr("sha2(array_join(sort_array(collect_list(_r))._line, '\n'), 256) as digest")
+        ).selectExpr(f"'{name}' as name", "rel_key as key", "digest")
+
+    record = "sha2(concat_ws('|', status, checksum, output_path, pages, coalesce(error, '-')), 256)"
+    of_record = lambda df, name: df.selectExpr(
+        f"'{name}' as name", "key", f"{record} as digest"
+    )
+    parts = [
+        of_rows("pages", "pages", "pos", "pos, page_no, text"),
+        of_rows("figures", "figures", "img_key",
+                "img_key, coalesce(cast(figure_no as string), '-'), coalesce(link, '-')"),
+        of_record(spark.read.parquet(f"{run_dir}/metadata"), "metadata"),
+        of_record(read_index(spark, root), "index"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def export_tree_(spark, d):
