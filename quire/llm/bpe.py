@@ -70,8 +70,9 @@ class Encoding:
             before.extend(range(at - 1, at + n - 1))
             after.extend(range(at + 1, at + n + 1))
             before[at] = after[-1] = -1
-            for i in range(at, at + n - 1):
-                rank = union.get((token[i], token[i + 1]))
+            ids = token[at:]
+            for i, pair in enumerate(zip(ids, ids[1:]), at):
+                rank = union.get(pair)
                 if rank is not None:
                     places.setdefault(rank, []).append(i)
         order = list(places)
@@ -113,16 +114,23 @@ class Encoding:
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)] if first else [" " + x for x in rest]
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of all these chunks, with one replay for those that are new."""
+    def learn(self, chunks: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+        """The ids of all these chunks, as numbers and printed; one replay for the new ones."""
         self.known.make_room()
-        cut = {c: self.split(c) for c in self.known.missing(chunks)}
+        # Letters after a blank are one word of any pattern that takes the blank along.
+        cut = {
+            c: [c] if c[0] == " " and c[1:].isalpha() else self.split(c)
+            for c in self.known.missing(chunks)
+            if c
+        }
         words = list({w for ws in cut.values() for w in ws})
         raw = [w.encode() for w in words]
         ids = dict(zip(words, self._whole_or_replayed(raw), strict=True))
         known = self.known.young
+        known[""] = (), ""
         for c, ws in cut.items():
-            known[c] = ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w])
+            own = ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w])
+            known[c] = own, " ".join(map(str, own))
         return known
 
     def _whole_or_replayed(self, raw: list[bytes]) -> list[tuple[int, ...]]:
@@ -130,12 +138,13 @@ class Encoding:
         replayed = iter(self.replay(left))
         return [(self.whole[w],) if w in self.whole else tuple(next(replayed)) for w in raw]
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of every text; the texts are one corpus."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """Ids of every text, and the same in decimal with blanks; the texts are one corpus."""
         cut = [self.chunks(t) for t in texts]
         known = self.learn(set().union(*cut))
         for chunks in cut:
-            yield [i for c in chunks for i in known[c]]
+            found = [known[c] for c in chunks if c]
+            yield [i for ids, _ in found for i in ids], " ".join([p for _, p in found])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -172,7 +181,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         made = _loaded((name, pattern), sent.value, pattern)
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = pa.array(list(made.encode(texts)), pa.list_(pa.int32()))
+            ids = pa.array([ids for ids, _ in made.encode(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return text_rows(docs).mapInArrow(batches_of, "doc_id bigint, ids array<int>")
@@ -212,10 +221,10 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             raw = encoded(batch.column(1))
             counts, of_ids, of_bytes, exact = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for text, ids in zip(raw, made.encode(texts), strict=True):
+            for text, (ids, printed) in zip(raw, made.encode(texts), strict=True):
                 back = made.decode(ids)
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(printed.encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == text)
             yield pa.RecordBatch.from_arrays(
