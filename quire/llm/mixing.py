@@ -39,10 +39,9 @@ class Target:
 def shares(rows: DataFrame) -> DataFrame:
     """``source, tokens, docs, share``: a row per source; sources without tokens share 0."""
     by = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    total = by.agg(F.sum("tokens").alias("_all"))
-    return by.join(F.broadcast(total)).selectExpr(  # one row
-        "source", "tokens", "docs", "if(_all > 0, tokens / _all, 0D) as share"
-    )
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    share = f"tokens / {total}L" if total else "0D"
+    return by.selectExpr("source", "tokens", "docs", f"{share} as share")
 
 
 def exponent(by_source: DataFrame, target: Target) -> float:
@@ -106,14 +105,12 @@ def weights(rows: DataFrame, target: Target) -> DataFrame:
     by = written(shares(rows), "mixing-shares")
     alpha = exponent(by, target)
     raw = by.selectExpr("*", f"if(share > 0, pow(share, {alpha!r}D), 0D) as _p")
-    total = raw.agg(
-        F.sum("_p").alias("_z"), F.expr("max(if(_p > 0, tokens / _p, 0D))").alias("_most")
+    z, most = raw.selectExpr("sum(_p)", "max(if(_p > 0, tokens / _p, 0D))").first()
+    weight = f"_p / {z!r}D" if z else "0D"
+    quota = f"_p / {z!r}D * {target.budget}D" if z and target.budget else f"_p * {most or 0.0!r}D"
+    return raw.selectExpr(
+        "source", "tokens", "docs", "share", f"{weight} as weight", f"{quota} as quota"
     )
-    budget = f"{target.budget}D" if target.budget else "_most * _z"
-    return raw.join(F.broadcast(total)).selectExpr(  # one row
-        "source", "tokens", "docs", "share", "if(_z > 0, _p / _z, 0D) as weight",
-        f"if(_z > 0, _p / _z, 0D) * {budget} as quota",
-    )
 
 
 def mixed(

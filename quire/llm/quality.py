@@ -108,10 +108,10 @@ def thresholds(rows: DataFrame, min_group_rows: int = MIN_GROUP_ROWS) -> DataFra
     own = written(own, "quality-sketches")
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
     by_lang = own.groupBy("lang").agg(*merged)
-    overall = own.groupBy().agg(*merged).where("n > 0")
-    groups = rows.select("lang", "source").distinct()
+    overall = own.groupBy(F.lit(1).alias("_all")).agg(*merged)  # one row, or none
+    groups = rows.select("lang", "source").distinct().withColumn("_all", F.lit(1))
     packed = lambda df, name: df.select(
-        *(c for c in ("lang", "source") if c in df.columns),
+        *(c for c in ("lang", "source", "_all") if c in df.columns),
         F.struct("n", *MEASURES).alias(name),
     )
     found = (
@@ -119,7 +119,7 @@ def thresholds(rows: DataFrame, min_group_rows: int = MIN_GROUP_ROWS) -> DataFra
         .join(packed(own, "own").alias("o"),
               F.expr("g.lang <=> o.lang and g.source <=> o.source"), "left")
         .join(packed(by_lang, "mid").alias("m"), F.expr("g.lang <=> m.lang"), "left")
-        .join(F.broadcast(packed(overall, "top")), F.lit(True), "left")  # one row
+        .join(F.broadcast(packed(overall, "top").alias("t")), F.expr("g._all = t._all"), "left")
         .selectExpr(
             "g.lang", "g.source",
             f"""case when own.n >= {min_group_rows} then own
