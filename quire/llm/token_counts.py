@@ -24,8 +24,14 @@ _GLUED = re.compile(r"\s (?:\s|$)")
 _LOADED: dict[str, tuple] = {}
 
 
-def safe_pieces(text: str) -> list[str]:
-    """The text cut at every safe boundary."""
+def safe_pieces(text: str, specials: tuple[str, ...] = ()) -> list[str]:
+    """The text cut at every safe boundary; whole if a special string is in it.
+
+    White space ahead of a special string ends there as it does at a text's end,
+    so blanks that are safe elsewhere are not beside it.
+    """
+    if any(s in text for s in specials):
+        return [text]
     if _GLUED.search(text):
         cuts = [m.start() for m in _SAFE.finditer(text) if m.start()]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
@@ -40,14 +46,16 @@ def _json_lengths(data: bytes):
     made = Tokenizer.from_str(data.decode())
     made.no_truncation()
     made.no_padding()
-    return lambda texts: [len(e) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+    specials = tuple(t.content for t in made.get_added_tokens_decoder().values())
+    encode = made.encode_batch_fast
+    return (lambda texts: [len(e) for e in encode(texts, add_special_tokens=False)]), specials
 
 
 def _piece_lengths(data: bytes):
     from sentencepiece import SentencePieceProcessor
 
     made = SentencePieceProcessor(model_proto=data)
-    return lambda texts: [len(ids) for ids in made.encode(texts, num_threads=1)]
+    return (lambda texts: [len(ids) for ids in made.encode(texts, num_threads=1)]), ()
 
 
 def count_tokens(
@@ -81,11 +89,11 @@ def count_tokens(
         if name not in _LOADED:
             _LOADED.clear()
             load = _piece_lengths if whole else _json_lengths
-            _LOADED[name] = load(sent.value), Memory()
-        lengths, known = _LOADED[name]
+            _LOADED[name] = *load(sent.value), Memory()
+        lengths, specials, known = _LOADED[name]
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            cut = [[x] for x in texts] if whole else [safe_pieces(x) for x in texts]
+            cut = [[x] for x in texts] if whole else [safe_pieces(x, specials) for x in texts]
             known.make_room()
             for pieces in balanced(known.missing(set().union(*cut)), batch_bytes):
                 known.young.update(zip(pieces, lengths(pieces), strict=True))

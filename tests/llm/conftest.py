@@ -15,7 +15,7 @@ def odd_rows():
         None, "", " \t\n ", "one", "a b c d", "\n\n", " ".join(base), " ".join(base).upper(),
         " ".join(base[:57] + ["changed words"]), passage, f"before it {passage} after it",
         f"elsewhere\n{passage}\nand on", "same line\nown line é 1\nSAME LINE ", long, long + " end",
-        "x " * 400, "it's <|endoftext|> 12345  and more  spaces\x1c \n\n done ",
+        "x " * 400, "it's  <|endoftext|>  12345  and more  spaces\x1c \n\n done ",
         "token = \"0123456789abcdef0123456789abcdef01234567\" 10.20.30.40 a.b@mail.example.com1",
     ]
     rows = [
