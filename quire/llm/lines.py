@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.rows import computed_once
-from quire.llm.tables import GAPS
+from quire.llm.tables import GAPS, written
 
 #: A line found in at least so many documents goes.
 MIN_DOCS = 10
@@ -58,6 +58,9 @@ def deduplicated(
         .where(F.col("_docs") >= min_docs)
         .select("_h1", "_h2")
     )
+    # Written, it has a known size: it is broadcast if small, and a hot line of
+    # the other side of the join is split over tasks if not.
+    frequent = written(frequent, "frequent-lines")
     # At most the lines of one text to a group.
     dropped = (
         lines.join(frequent, ["_h1", "_h2"])
