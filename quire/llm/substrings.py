@@ -113,14 +113,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR_WORDS) -> Dat
     """
     rows = text_rows(docs.withColumnsRenamed({"_id": "doc_id", "_text": "text"}), "_text_hash")
     found = rows.mapInArrow(partial(_anchor_rows, length=length, k=k), _ANCHORS)
+    # Tables that rows are filtered by are written first: small ones are broadcast then,
+    # and beside large ones the rows of a hot key are split over tasks.
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = written(often, "substring-anchors")
     seeds = written(found.join(often, "anchor", "left_semi"), "substring-seeds")
 
     of_span = seeds.groupBy("anchor", "span").agg(
         F.count("*").alias("n"), F.min(F.struct("_id", "_text_hash", "first", "last")).alias("one")
     )
     of_span = written(of_span, "substring-spans")
-    whole = of_span.where("n > 1").select("anchor", "span")
+    whole = written(of_span.where("n > 1").select("anchor", "span"), "substring-whole")
     whole = seeds.join(whole, ["anchor", "span"], "left_semi").select(
         "_id", "_text_hash", "first", "last"
     )
@@ -138,6 +141,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR_WORDS) -> Dat
     )
     windows = written(windows.distinct(), "substring-windows")
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    twice = written(twice, "substring-twice")
     partly = windows.join(twice, "window", "left_semi").selectExpr(
         "_id", "_text_hash", "first", "first as last"
     )
