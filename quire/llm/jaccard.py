@@ -258,6 +258,13 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
     )
 
 
+def _whole(batches, made) -> Iterator[pa.RecordBatch]:
+    """What ``made`` gives for all batches of a partition."""
+    held = list(batches)
+    if held := [b for b in held if b.num_rows]:
+        yield from made(pa.Table.from_batches(held)).to_batches()
+
+
 def candidates(rows: DataFrame, n_docs: int, n_shingles: int, k: int, percent: int) -> DataFrame:
     """``set_id, size, prefix, shingles``: the sets that may have links (steps 2 and 3)."""
     spark = rows.sparkSession
@@ -265,9 +272,12 @@ def candidates(rows: DataFrame, n_docs: int, n_shingles: int, k: int, percent: i
     heavy = spark.sparkContext.broadcast(_heavy(rows, ranges, n_docs, k))
     asked = rows.mapInArrow(partial(_asked, k=k, ranges=ranges, heavy=heavy), _PACKED)
     own = rows.mapInArrow(partial(_own, k=k, ranges=ranges, parts=ranges, heavy=heavy), _PACKED)
-    shared = asked.groupBy("part").applyInArrow(lambda t: _shared(t, ranges), _PACKED)
-    made = shared.unionByName(own).groupBy("part").applyInArrow(
-        lambda t: _candidates(t, percent),
+    # Parts and partitions are the same: one range, or one part of the sets, to a task.
+    shared = asked.repartitionById(ranges, F.col("part")).mapInArrow(
+        partial(_whole, made=partial(_shared, parts=ranges)), _PACKED
+    )
+    made = shared.unionByName(own).repartitionById(ranges, F.col("part")).mapInArrow(
+        partial(_whole, made=partial(_candidates, percent=percent)),
         "set_id bigint, size bigint, prefix int, shingles binary",
     )
     return written(made, "jaccard-candidates")
