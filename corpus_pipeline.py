@@ -43,7 +43,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
+    # The workers have run the stages before this one and have less room than fresh ones.
+    return bpe.round_trip(
+        docs, vocabulary, public_tokenizers.PATTERN, corpus_bytes=2 << 20, remembered=150_000
+    )
 
 
 STAGES = [

@@ -22,6 +22,10 @@ from quire.llm.arrow import encoded, slices, text_rows
 from quire.llm.memory import Memory
 
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Bytes of text in one corpus, whose words and places are Python objects many times as
+#: large, and the chunks that a worker remembers: less of both is slower and smaller.
+CORPUS_BYTES = 8 << 20
+REMEMBERED = 300_000
 _LOADED: dict[tuple, Encoding] = {}
 
 # Places where a blank neither ends a word nor begins one, so that the text
@@ -38,7 +42,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Encoding:
     """Encoder and decoder of one vocabulary; the pattern cuts a text into words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         # Of the library for rank files, white space is the Unicode property;
         # here it would hold four more control characters.
         unicode = pattern.replace(r"[^\s", r"[^\p{White_Space}")
@@ -53,7 +57,7 @@ class Encoding:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.union[left, right] = rank
-        self.known = Memory()
+        self.known = Memory(remembered)
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word: all merges in rank order over all words together."""
@@ -150,10 +154,10 @@ class Encoding:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _loaded(key: tuple, data: bytes, pattern: str) -> Encoding:
+def _loaded(key: tuple, data: bytes, pattern: str, remembered: int = REMEMBERED) -> Encoding:
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoding(read_ranks(data), pattern)
+        _LOADED[key] = Encoding(read_ranks(data), pattern, remembered)
     return _LOADED[key]
 
 
@@ -179,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _loaded((name, pattern), sent.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, CORPUS_BYTES):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = pa.array([ids for ids, _ in made.encode(texts)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -204,7 +208,13 @@ def decode(encodings: DataFrame, vocabulary: str) -> DataFrame:
     return chosen.mapInArrow(batches_of, "doc_id bigint, decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def round_trip(
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    corpus_bytes: int = CORPUS_BYTES,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, exact``: encode, decode and digest.
 
     ``ids_sha256`` is of the decimal ids joined by a blank, ``decoded_sha256`` of
@@ -216,8 +226,8 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     name = hashlib.sha256(data).hexdigest()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _loaded((name, pattern), sent.value, pattern)
-        for batch in slices(batches):
+        made = _loaded((name, pattern, remembered), sent.value, pattern, remembered)
+        for batch in slices(batches, corpus_bytes):
             raw = encoded(batch.column(1))
             counts, of_ids, of_bytes, exact = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
