@@ -108,9 +108,13 @@ def weights(rows: DataFrame, target: Target) -> DataFrame:
     z, most = raw.selectExpr("sum(_p)", "max(if(_p > 0, tokens / _p, 0D))").first()
     weight = f"_p / {z!r}D" if z else "0D"
     quota = f"_p / {z!r}D * {target.budget}D" if z and target.budget else f"_p * {most or 0.0!r}D"
+    # Tokens are whole: a quota that only rounding takes off a whole number is that number.
     return raw.selectExpr(
-        "source", "tokens", "docs", "share", f"{weight} as weight", f"{quota} as quota"
-    )
+        "source", "tokens", "docs", "share", f"{weight} as weight", f"{quota} as _q"
+    ).selectExpr(
+        "source", "tokens", "docs", "share", "weight",
+        "if(abs(_q - round(_q)) <= 1e-12D * _q, round(_q), _q) as quota",
+    )
 
 
 def mixed(
@@ -130,8 +134,9 @@ def mixed(
     Rows that agree in ``doc_id``, ``source`` and text are one document, whose
     tokens count as often. Null ids and null sources are values like others. A
     null text has no words. Documents without tokens cost nothing and come
-    along with those before them; those of a source without tokens come once,
-    in block 0. An empty table gives an empty one.
+    along, also into the block, with the last one before them that has tokens;
+    those of a source without tokens come once, in block 0. An empty table gives
+    an empty one.
 
     No text is shuffled. A source's order is summed up in pieces, by the range
     of a hash, so that no task holds more than a piece of it.
@@ -160,10 +165,16 @@ def mixed(
         )
         .selectExpr("*", "cast(pmod(shiftrightunsigned(_order, 1), _pieces) as bigint) as _piece")
     )
-    ahead = dealt.groupBy("source", "epoch", "_piece").agg(F.sum("n_tokens").alias("_sum"))
+    ahead = dealt.groupBy("source", "epoch", "_piece").agg(
+        F.sum("n_tokens").alias("_sum"),
+        F.expr("max(struct(_order, doc_id, text_hash, n_tokens)) filter (where n_tokens > 0)")
+        .getField("n_tokens").alias("_end"),
+    )
     ahead = ahead.selectExpr(
         "source as _s", "epoch as _e", "_piece as _p",
         "sum(_sum) over (partition by source, epoch order by _piece) - _sum as _ahead",
+        """last_value(_end) ignore nulls over (partition by source, epoch order by _piece
+               rows between unbounded preceding and 1 preceding) as _earlier""",
     )
     placed = (
         dealt.selectExpr(
@@ -171,9 +182,15 @@ def mixed(
             """sum(n_tokens) over (partition by source, epoch, _piece
                    order by _order, doc_id, text_hash rows unbounded preceding)
                - n_tokens as _inside""",
+            """last_value(nullif(n_tokens, 0L)) ignore nulls over (partition by source, epoch, _piece
+                   order by _order, doc_id, text_hash rows unbounded preceding) as _latest""",
         )
         .join(ahead, F.expr("source <=> _s and epoch = _e and _piece = _p"))
-        .selectExpr("*", "epoch * tokens + _ahead + _inside as _begin")
+        .selectExpr("*", "epoch * tokens + _ahead + _inside as _end")
+        # Where the document begins, or without tokens the last one before it that has some.
+        .selectExpr(
+            "*", "if(n_tokens > 0, _end, _end - coalesce(_latest, _earlier, 0L)) as _begin"
+        )
         .where("_begin < quota or quota = 0")
         .selectExpr(
             "doc_id", "source", "text_hash", "n_tokens", "epoch",

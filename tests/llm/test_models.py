@@ -117,6 +117,45 @@ def test_mixture(spark, monkeypatch, odd, none):
     assert ids == {r[0] for r in odd_rows()}
 
 
+@pytest.mark.parametrize("piece", [20_000, 7])
+def test_mixture_keeps_documents_without_tokens(spark, monkeypatch, piece):
+    monkeypatch.setattr(mixing, "PIECE_DOCS", piece)
+    schema = "doc_id long, text string, source string"
+    rows = [(i, "w " * (3 + i), "one") for i in range(20)] + [(100 + i, " ", "one") for i in range(300)]
+    for more in ([], [(1000 + i, "w", "two") for i in range(5)], [(1000 + i, None, "two") for i in range(5)]):
+        docs = spark.createDataFrame(rows + more, schema)
+        copies = Counter(r.doc_id for r in mixing.mixed(docs, block_tokens=50).collect())
+        assert set(copies) == {r[0] for r in rows + more}
+        assert all(copies[r[0]] == 1 for r in rows)
+    # With a budget those without tokens go as far as the last one with tokens.
+    for budget in (1, 100, sum(len(t.split()) for _, t, _ in rows)):
+        target = mixing.Target(max_repeats=None, budget=budget)
+        docs = spark.createDataFrame(rows, schema)
+        whole = mixing.mixed(docs, block_tokens=10**6).collect()
+        got = {r.doc_id for r in mixing.mixed(docs, target, block_tokens=10**6).collect()}
+        order = in_order(spark, docs, piece)
+        assert {r.doc_id for r in whole} == set(order) and got == expected(order, dict((i, t) for i, t, _ in rows), budget)
+
+
+def in_order(spark, docs, piece):
+    """Ids as the source deals them out in its first epoch, with the default seed."""
+    order = docs.selectExpr("doc_id", "xxhash64(17L, 0L, doc_id, xxhash64(coalesce(text, ''))) as o")
+    pieces = -(-docs.count() // piece)
+    at = order.selectExpr("doc_id", "o", f"pmod(shiftrightunsigned(o, 1), {pieces}) as p").collect()
+    return [r.doc_id for r in sorted(at, key=lambda r: (r.p, r.o))]
+
+
+def expected(order, texts, budget):
+    begin, kept, inside = 0, set(), True
+    for i in order:
+        if n := len(texts[i].split()):
+            inside = begin < budget
+            begin += n
+        if inside:
+            kept.add(i)
+    return kept
+
+
 def test_secrets(odd, none, spark):
     key = "9f8e7d6c5b4a39281706f5e4d3c2b1a098765432"
     rows = [(i, f"some words token = \"{key[:-3]}{i:03d}\" and so on") for i in range(40)]
