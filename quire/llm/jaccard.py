@@ -50,6 +50,11 @@ BLOCK_SETS = 256
 #: A shingle counts as heavy from this part of all documents on.
 HEAVY_PART = 2_000
 HEAVY_LEAST = 64
+#: 128 bits for a text as it stands; a null is like an empty one.
+TEXT_KEY = {
+    "h1": "xxhash64(coalesce(cast(text as string), ''))",
+    "h2": "xxhash64(7L, coalesce(cast(text as string), ''))",
+}
 _LOW = np.uint64(0xFFFFFFFF)
 _HEAVY_CLASS = 255
 
@@ -70,8 +75,11 @@ def _set_id(s: np.ndarray) -> int:
     return int(mixed(size).view(np.int64)[0])
 
 
-def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, set_id``; equal sets have equal ids; no id for an empty set."""
+def shingle_sets(docs: DataFrame, k: int = WORDS, keyed: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, set_id``; equal sets have equal ids; no id for an empty set.
+
+    If ``keyed``, also ``h1, h2``, 128 bits of the text's hash.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -79,11 +87,13 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
             ids = [_set_id(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(ids, pa.int64())],
-                ["doc_id", "n_shingles", "set_id"],
+                 pa.array(ids, pa.int64()), *batch.columns[2:]],
+                ["doc_id", "n_shingles", "set_id", *batch.schema.names[2:]],
             )
 
-    return text_rows(docs).mapInArrow(each, "doc_id bigint, n_shingles bigint, set_id bigint")
+    more = [F.expr(f"{h} as {name}") for name, h in TEXT_KEY.items()] if keyed else []
+    schema = "doc_id bigint, n_shingles bigint, set_id bigint"
+    return text_rows(docs, *more).mapInArrow(each, ", ".join([schema, *(f"{h} bigint" for h in TEXT_KEY if keyed)]))
 
 
 # --- packed counts ------------------------------------------------------------
@@ -447,13 +457,42 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` stands for its component, all their columns.
+def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each component of near duplicates, with all its columns.
 
-    Rows without an id, and rows without words, stay.
+    The row with the smallest ``doc_id`` stays, and of equal ones that with the
+    smallest text hash; a row without an id only where none of its component has
+    one. Of repeated rows, which agree in both, the one whose other columns have
+    the smallest hash stays. Rows without words link with nothing and all stay.
     """
-    kept = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))
-    named = rows.join(kept, F.expr("_id = _kept"), "left").where("_id is null or _kept is not null")
-    return named.select("_row.*")
+    sets = written(shingle_sets(docs, k, keyed=True), "jaccard-sets")
+    n_docs, n_shingles = sets.selectExpr("count(*)", "coalesce(sum(n_shingles), 0)").first()
+    if not n_shingles:
+        return docs
+    classes = set_classes(candidates(text_rows(docs), n_docs, n_shingles, k, percent), percent)
+    # Counted per key first, which combines ahead of the shuffle.
+    keys = sets.groupBy("set_id", "doc_id", *TEXT_KEY).agg(F.count("*").alias("n"))
+    key = "struct(doc_id is null as no_id, doc_id, h1, h2, n)"
+    lowest = keys.where("set_id is not null").groupBy("set_id").agg(F.expr(f"min({key}) as low"))
+    named = lowest.join(classes, F.expr("set_id = node"), "left").selectExpr(
+        "coalesce(label, set_id) as label", "low"
+    )
+    first = named.groupBy("label").agg(F.min("low").alias("low"))
+    kept = first.selectExpr("low.doc_id as _id", "low.h1 as _h1", "low.h2 as _h2", "low.n > 1 as _several")
+    wordless = keys.where("set_id is null").selectExpr("doc_id", "h1", "h2", "false")
+    kept = written(kept.union(wordless), "jaccard-kept")
+
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_d"),
+        *(F.expr(h).alias(name) for name, h in TEXT_KEY.items()),
+    )
+    same = F.expr("_d <=> _id and h1 = _h1 and h2 = _h2")
+    single = rows.join(kept.where("not _several"), same, "left_semi").select("_row")
+    several = kept.where("_several")
+    if not several.isEmpty():
+        repeated = rows.join(several, same, "left_semi")
+        repeated = repeated.groupBy("_d", "h1", "h2").agg(
+            F.expr("min_by(_row, struct(xxhash64(to_json(_row)), to_json(_row))) as _row")
+        )
+        single = single.union(repeated.select("_row"))
+    return single.select("_row.*")

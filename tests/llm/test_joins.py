@@ -86,6 +86,41 @@ def test_one_of_each(odd):
     assert unordered((k,) for k in kept) == unordered((k,) for k in want)
 
 
+def kept_of_each(rows):
+    """For every component the ids and texts of the rows that may stand for it; rows without words."""
+    classes = defaultdict(list)
+    numbered = [(i, r[1]) for i, r in enumerate(rows)]
+    for row, (i, n, c) in zip(rows, jaccard_classes(numbered), strict=True):
+        classes[c if n else (i, "wordless")].append(row)
+    out = []
+    for of in classes.values():
+        low = min((r[0] is None, r[0] or 0) for r in of)
+        out.append({(r[0], r[1]) for r in of if (r[0] is None, r[0] or 0) == low})
+    return out
+
+
+def test_one_row_of_each(spark, odd):
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    lone = " ".join(f"lone{i}" for i in range(40))
+    rows = [(5, text, "s"), (5, text, "s"), (5, text, "t"), (None, text, "s"), (7, text + " end", "s")]
+    rows += [(2, other, "s"), (5, other, "s"), (9, other + " end", "s")]  # 5 is in both components
+    rows += [(None, lone, "s")] * 30 + [(None, lone + " end", "u")] * 3
+    rows += [(11, None, "s"), (11, None, "s"), (None, " ", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for given_rows, table in ((rows, docs), (odd_rows(), odd)):
+        got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(table).collect())
+        want = kept_of_each(given_rows)
+        assert sum(got.values()) == len(want)
+        rest = Counter(got)
+        for of in sorted(want, key=len):
+            chosen = next(x for x in of if rest[x])
+            rest[chosen] -= 1
+    again = [unordered(jaccard.one_of_each(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert again[0] == again[1]
+    assert [r[0] for r in again[0] if (r[1] or "").startswith("other")] == [2]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=14),
        st.integers(0, 13))
