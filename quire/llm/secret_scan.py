@@ -1,6 +1,7 @@
 """Secret scans whose false findings a random forest takes away.
 
-Candidates are long words with a digit. A forest, trained on labelled findings,
+Candidates are values given to a name, quoted strings, keys with a known prefix
+and long runs of characters, several to a word where it has several. A forest, trained on labelled findings,
 scores each by the candidate's length and make-up, its changes between kinds of
 characters, how much of it dictionary words cover, whether it is built like a
 path, an address or a number, and the words beside it. DataFrame functions and
@@ -34,34 +35,96 @@ DICTIONARY = (
 _KEYWORD = "token|secret|passw|pwd|api_?key|access|auth|bearer|credential|private"
 _PLAIN = "version|license|commit|sha|uuid|issue|page|phone|card|mail|address|serial|number"
 
+# Below are patterns of SQL literals: backslashes are doubled, quotes are \\x22 and \\x27.
+_Q = r"[\\x22\\x27]"
+#: Names whose values are secrets whatever they look like.
+_SECRET_NAME = "token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential"
+_SHORT_NAME = "pw|pass"
+_NAMED = rf"(?i)((?:{_SECRET_NAME})[\\w.-]*|(?<![\\w.-])(?:{_SHORT_NAME})){_Q}?[ \\t]*[=:]"
+_PREFIX = (
+    r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
+    r"|(?:gh[pousr]_|xox[abp]-|sk_live_)[0-9A-Za-z-]{16,})"
+)
+#: A word, or from a word with such a name on to the end of the value behind it.
+_TOKEN = (
+    rf"\\S*?(?:(?i:{_SECRET_NAME})[\\w.-]*|(?<![\\w.-])(?i:{_SHORT_NAME})){_Q}?[ \\t]*[=:]+[ \\t]*"
+    r"(?:\\x22[^\\x22\\n]*\\x22|\\x27[^\\x27\\n]*\\x27|(?=[^\\s]))\\S*|\\S+"
+)
+_NAME = r"[A-Za-z_][\\w.-]{0,39}"
+#: Name (1) and value (2: in double quotes, 3: in single ones, 4: in none); a quoted string (5); a run (6).
+_PIECE = (
+    r"(?:(?<=[=:\\s])" rf"(?<=(?<![\\w.-])({_NAME}){_Q}?[ \\t]{{0,3}}[=:]{{1,2}}[ \\t]{{0,3}})(?!//|[=:\\s])"
+    r"(?:\\x22([^\\x22\\n]*)\\x22|\\x27([^\\x27\\n]*)\\x27|([^\\s\\x22\\x27&;,<>(){}\\[\\]|]+)))"
+    rf"|(?<![^\\s=:,(\\[{{])\\x22([^\\x22]{{{MIN_CHARS},}})\\x22"
+    rf"|(?!{_NAME}{_Q}?[ \\t]*[=:](?!//))([^\\s\\x22\\x27&;,=<>(){{}}\\[\\]|?]{{{MIN_CHARS},}}={{0,2}})"
+)
+
 
 def candidates(docs: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
     """``doc_id, word_no, value`` and the features of every candidate in every text.
 
-    ``word_no`` is the place of its word, from 0. A null text has none. Each of
-    repeated rows has its own candidates; null ids stay. Other columns are not
-    looked at; an empty table gives an empty one.
+    A candidate is a value of any length given to a name like 'password', or has
+    ``MIN_CHARS`` characters and is a value given to another name, a quoted
+    string or a run of characters; keys with a known prefix are found within
+    others as well. ``word_no`` is the place of its first word, from 0; several
+    candidates may share one. A null text has none. Each of repeated rows has
+    its own candidates; null ids stay. Other columns are not looked at; an empty
+    table gives an empty one.
     """
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    rows = rows.where("text rlike '[0-9]'")
-    cut = computed_once(rows.selectExpr("doc_id", f"{words_of('text')} as _words"))
+    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(cast(text as string), '') as text")
+    cut = computed_once(
+        rows.selectExpr(
+            "doc_id",
+            f"if(text rlike '{_NAMED}', regexp_extract_all(text, '{_TOKEN}', 0), {words_of('text')}) as _words",
+        )
+    )
+    # Words that a value shares with its name count as well for the place.
+    cut = computed_once(
+        cut.selectExpr(
+            "doc_id", "_words",
+            r"""filter(transform(_words, (w, i) -> struct(i, regexp_count(w, '\\s+') as n)),
+                       x -> x.n > 0) as _wide""",
+        )
+    )
     found = cut.selectExpr(
         "doc_id",
         f"""transform(
-            filter(sequence(0, size(_words) - 1), i -> length(_words[i]) >= {MIN_CHARS}
-                   and _words[i] rlike '[0-9]'),
-            i -> struct(i as word_no, _words[i] as word,
+            filter(sequence(0, size(_words) - 1), i -> size(_words) > 0
+                   and (length(_words[i]) >= {MIN_CHARS} or _words[i] rlike '{_NAMED}')),
+            i -> struct(i + aggregate(filter(_wide, x -> x.i < i), 0, (a, x) -> a + x.n) as word_no,
+                        _words[i] as word,
                         concat_ws(' ', get(_words, i - 2), get(_words, i - 1)) as ahead,
                         coalesce(get(_words, i + 1), '') as behind)) as _found""",
     )
     each = found.selectExpr("doc_id", "inline(_found)")
+    groups = ", ".join(f"regexp_extract_all(word, '{_PIECE}', {g})" for g in range(1, 7))
+    pieces = computed_once(each.selectExpr(
+        "*",
+        f"arrays_zip({groups}) as _pieces",
+        f"regexp_extract_all(word, '{_PREFIX}', 0) as _keys",
+    ))
     # A name and a sign ahead of the value belong to the words beside it.
-    parts = each.selectExpr(
-        "doc_id", "cast(word_no as bigint) as word_no", "behind",
-        r"""regexp_extract(word, '^(?:([A-Za-z_.-]{2,40})[=:]+)?["\'(<\\[]*(.*?)["\')>\\],;.!?#*$%&|]*$', 2)
-            as value""",
-        r"lower(concat_ws(' ', ahead, regexp_extract(word, '^([A-Za-z_.-]{2,40})[=:]', 1))) as ahead",
-    ).where(f"length(value) >= {MIN_CHARS} and value rlike '[0-9]'")
+    valued = computed_once(pieces.selectExpr(
+        "doc_id", "word_no", "word", "ahead", "behind", "_keys",
+        r"""transform(_pieces, p -> struct(p.`0` as name, if(p.`1` <> '', p.`1`, if(p.`2` <> '', p.`2`,
+            if(p.`3` <> '', regexp_replace(p.`3`, '[.:*`]+$', ''), if(p.`4` <> '', p.`4`,
+            regexp_replace(p.`5`, '[.;:,?!#*$%&|`]+$', ''))))) as value)) as _values""",
+    ))
+    single = valued.selectExpr(
+        "doc_id", "word_no", "word", "ahead", "behind",
+        """inline(concat(_values, transform(array_except(_keys, transform(_values, v -> v.value)),
+                  k -> struct('' as name, k as value))))""",
+    )
+    secret_name = f"lower(name) rlike '{_SECRET_NAME}|^({_SHORT_NAME})$'"
+    parts = single.where(
+        f"value <> '' and (length(value) >= {MIN_CHARS} or {secret_name})"
+    ).selectExpr(
+        "doc_id",
+        r"cast(word_no + regexp_count(left(word, instr(word, value) - 1), '\\s+') as bigint) as word_no",
+        "behind", "value", "lower(concat_ws(' ', ahead, name)) as ahead", "name <> '' as _named",
+        f"cast({secret_name} as double) as named",
+        f"cast(value rlike '^{_PREFIX}$' as double) as prefix",
+    )
     share = lambda rx: f"regexp_count(value, '{rx}') / length(value)"
     changes = " + ".join(
         f"regexp_count(value, '[{a}](?=[{b}])')"
@@ -82,14 +145,15 @@ def candidates(docs: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> Dat
         "cast(value rlike '@|://|^[./~]' as double) as place",
         f"cast(ahead rlike '{_KEYWORD}' as double) as keyword",
         f"cast(ahead rlike '{_PLAIN}' as double) as plain",
-        "cast(ahead rlike '[=:]\"?$' as double) as assigned",
+        "cast(_named or ahead rlike '[=:]\"?$' as double) as assigned",
         f"cast(lower(behind) rlike '{_KEYWORD}|{_PLAIN}' as double) as behind",
+        "named", "prefix",
     )
 
 
 FEATURES = (
     "length", "changes", "digits", "upper", "lower", "hex", "signs", "variety", "dictionary",
-    "parts", "number", "place", "keyword", "plain", "assigned", "behind",
+    "parts", "number", "place", "keyword", "plain", "assigned", "behind", "named", "prefix",
 )
 
 
@@ -97,14 +161,16 @@ def told_by_rule(found: DataFrame) -> DataFrame:
     """``found`` with ``label`` where a rule is certain: 1 for a secret, 0 for none, else null.
 
     Labelled findings where nobody has labelled any: keys with a known prefix
-    and values given to a name like 'password' are secrets; addresses, plain
-    numbers and versions are not.
+    and values given to a name like 'password' are secrets, also if they look
+    like an address or a number; other addresses, plain numbers and versions are
+    not.
     """
     return found.withColumn(
         "label",
         F.expr(
-            r"""case when value rlike '^(AKIA|ASIA)[0-9A-Z]{16}$' then 1
-                     when value rlike '^(gh[pousr]_|xox[abp]-|sk_live_)[0-9A-Za-z-]{16,}$' then 1
+            r"""case when prefix = 1 then 1
+                     when named = 1 and not value rlike '://|^[./~]'
+                          and (digits > 0 or changes > 0.1 or signs > 0.1) then 1
                      when place = 1 or number = 1 then 0
                      when keyword = 1 and hex + upper + lower > 0.9 and digits > 0.1 then 1
                      when digits < 0.1 and changes < 0.1 then 0 end"""
