@@ -58,7 +58,7 @@ STAGES = [
 ]
 
 # The first stage's thresholds come from quantile sketches, the last stage is no SQL:
-# tests/llm/test_pipeline.py holds every stage against plain Python instead.
+# tests/llm/test_models.py runs every stage instead, line dedup and BPE against plain Python.
 ORACLE_SQL = None
 
 
