@@ -14,6 +14,7 @@ from quire.llm import (
     lines,
     mixing,
     quality,
+    runs,
     secret_scan,
     substrings,
     token_counts,
@@ -85,6 +86,10 @@ def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return made.selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) as kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(documents(spark, d))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -96,4 +101,5 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
