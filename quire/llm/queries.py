@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import (
     bpe,
+    conversations,
     fingerprints,
     jaccard,
     lines,
@@ -16,6 +17,7 @@ from quire.llm import (
     quality,
     runs,
     secret_scan,
+    sharding,
     substrings,
     token_counts,
     toxicity,
@@ -90,6 +92,18 @@ def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.planted(documents(spark, d))))
 
 
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    return conversations.repairs(conversations.turns(conversations.damaged(rows)))
+
+
+def op13_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.sharded(documents(spark, d), shards=24).selectExpr(
+        "doc_id", "size", "text_crc32", "'bytes' as law", "shard", "slot",
+        "cast(null as int) as grown_shard",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -102,4 +116,6 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
 }
