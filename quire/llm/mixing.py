@@ -139,7 +139,7 @@ def mixed(
     an empty one.
 
     No text is shuffled. A source's order is summed up in pieces, by the range
-    of a hash, so that no task holds more than a piece of it.
+    of a hash, and so is a block's, so that no task holds more than a piece.
     """
     target = target or Target()
     counted = tokens or f"size({words_of('text')})"
@@ -197,11 +197,27 @@ def mixed(
             "if(_room > 0, cast(floor(_begin / _room) as bigint), 0L) as block",
         )
     )
-    return placed.selectExpr(
-        "*",
-        f"""cast(row_number() over (partition by block order by
-            xxhash64({seed}L, block, epoch, doc_id, text_hash, source), doc_id, epoch,
-            text_hash, source) - 1 as bigint) as position""",
+    return _numbered(written(placed, "mixing-places"), seed)
+
+
+def _numbered(placed: DataFrame, seed: int) -> DataFrame:
+    """``position`` in each block, by a hash; a block of many documents is counted in pieces."""
+    sizes = placed.groupBy("block").agg(F.count("*").alias("_n")).selectExpr(
+        "block as _b", f"cast(ceil(_n / {PIECE_DOCS}) as bigint) as _cuts"
+    )
+    hashed = f"xxhash64({seed}L, block, epoch, doc_id, text_hash, source)"
+    cut = placed.join(sizes, F.expr("block = _b")).selectExpr(
+        *placed.columns, f"{hashed} as _order",
+        f"cast(pmod(shiftrightunsigned({hashed}, 1), _cuts) as bigint) as _piece",
+    )
+    ahead = cut.groupBy("block", "_piece").agg(F.count("*").alias("_n")).selectExpr(
+        "block as _b", "_piece as _p",
+        "sum(_n) over (partition by block order by _piece) - _n as _ahead",
+    )
+    place = """row_number() over (partition by block, _piece
+        order by _order, doc_id, epoch, text_hash, source)"""
+    return cut.join(ahead, F.expr("block = _b and _piece = _p")).selectExpr(
+        *placed.columns, f"cast(_ahead + {place} - 1 as bigint) as position"
     )
 
 

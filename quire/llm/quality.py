@@ -1,13 +1,17 @@
 """Quality rules with thresholds that follow each language and source.
 
-Per (lang, source) a mergeable quantile sketch of every measure is kept, of the
-rows that pass the base rules. A row fails where a measure lies far outside of
-what is usual in its group: further above the median than ``REACH`` times the
-distance from the 5th percentile to the median, plus a slack that stands for the
-measure's own resolution (below the median likewise, from the 95th). So junk
-moves a threshold only where it is the greater half of a group. Groups of few
-rows take the merged sketch of their language, and languages of few rows that of
-all rows.
+Mergeable quantile sketches are kept per (lang, source), of rows that pass the
+base rules. First of the mean word length: its fence lies ``REACH_IQR`` times the
+distance between the quartiles outside of them, so that junk moves it only where
+it is a quarter of a group. Then, of the rows inside that fence, of the rates of
+symbols, repeated lines, repeated windows and echoed words, and of the sizes that
+these are rates of. A rate's limit is its 95th percentile, ``REACH`` times the
+distance from the median to it, and its resolution, which is what ``EVENTS`` more
+occurrences make in a document of the group's median size. Nothing in a limit is
+a rate given by hand.
+
+Groups of few rows take the merged sketch of their language, and languages of few
+rows that of all rows.
 """
 
 from __future__ import annotations
@@ -23,17 +27,20 @@ WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 #: Fewer rows than this have no threshold of their own.
 MIN_GROUP_ROWS = 200
+REACH_IQR = 3.0
 REACH = 6.0
+EVENTS = 3
 SKETCH_K = 400
 
-# name: (expression, slack, tested below the median as well)
-MEASURES = {
-    "symbol_rate": ("n_symbols / greatest(word_chars, 1)", 0.06, False),
-    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.5, False),
-    "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.2, False),
-    "echo_rate": ("n_echoes / greatest(n_words, 1)", 0.3, False),
-    "word_length": ("word_chars / greatest(n_words, 1)", 2.0, True),
+LENGTH = "word_chars / greatest(n_words, 1)"
+# name: (count, what one event adds to it, size that the rate refers to)
+RATES = {
+    "symbol_rate": ("n_symbols", 1, "word_chars"),
+    "dup_line_rate": ("n_dup_lines", 1, "n_lines"),
+    "repeat_rate": ("n_repeat_words", 2 * WINDOW, "n_words"),
+    "echo_rate": ("n_echoes", 1, "n_words"),
 }
+SIZES = ("word_chars", "n_lines", "n_words")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,56 +103,89 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     ))
 
 
-def thresholds(rows: DataFrame, min_group_rows: int = MIN_GROUP_ROWS) -> DataFrame:
-    """``lang, source`` and the lowest and highest value of each measure that passes."""
-    own = rows.where("not base_failed").groupBy("lang", "source").agg(
+def _rate(name: str) -> str:
+    count, _, size = RATES[name]
+    return f"{count} / greatest({size}, 1)"
+
+
+def _sketches(
+    rows: DataFrame, groups: DataFrame, measures: dict[str, str], min_group_rows: int, name: str
+) -> DataFrame:
+    """``lang, source`` of ``groups`` with sketches of the measures over ``rows``.
+
+    ``own`` are those of the group, or of its language where the group has few
+    rows, or of all; ``wide`` those of the language, or of all.
+    """
+    own = rows.groupBy("lang", "source").agg(
         F.count("*").alias("n"),
         *(
             F.kll_sketch_agg_double(F.expr(f"cast({e} as double)"), F.lit(SKETCH_K)).alias(m)
-            for m, (e, _, _) in MEASURES.items()
+            for m, e in measures.items()
         ),
     )
-    own = written(own, "quality-sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
-    by_lang = own.groupBy("lang").agg(*merged)
-    overall = own.groupBy(F.lit(1).alias("_all")).agg(*merged)  # one row, or none
-    groups = rows.select("lang", "source").distinct().withColumn("_all", F.lit(1))
-    packed = lambda df, name: df.select(
-        *(c for c in ("lang", "source", "_all") if c in df.columns),
-        F.struct("n", *MEASURES).alias(name),
+    own = written(own, name)
+    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in measures)]
+    packed = F.struct("n", *measures)
+    by_lang = written(own.groupBy("lang").agg(*merged), f"{name}-by-language")
+    overall = by_lang.agg(*merged).select(packed.alias("top")).scalar()
+    own = own.select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), packed.alias("g")
     )
+    by_lang = by_lang.select(F.col("lang").alias("_l"), packed.alias("m"))
     found = (
-        groups.alias("g")
-        .join(packed(own, "own").alias("o"),
-              F.expr("g.lang <=> o.lang and g.source <=> o.source"), "left")
-        .join(packed(by_lang, "mid").alias("m"), F.expr("g.lang <=> m.lang"), "left")
-        .join(F.broadcast(packed(overall, "top").alias("t")), F.expr("g._all = t._all"), "left")
-        .selectExpr(
-            "g.lang", "g.source",
-            f"""case when own.n >= {min_group_rows} then own
-                     when mid.n >= {min_group_rows} then mid else top end as s""",
-        )
+        groups.join(own, F.expr("lang <=> _lang and source <=> _source"), "left")
+        .join(by_lang, F.expr("lang <=> _l"), "left")
+        .select("lang", "source", "g", "m", overall.alias("t"))
+    )
+    wide = f"if(m.n >= {min_group_rows}, m, t)"
+    return found.selectExpr(
+        "lang", "source", f"if(g.n >= {min_group_rows}, g, {wide}) as own", f"{wide} as wide"
+    )
+
+
+def _at(sketch: str, q: float) -> str:
+    return f"kll_sketch_get_quantile_double({sketch}, {q}D)"
+
+
+def thresholds(rows: DataFrame, min_group_rows: int = MIN_GROUP_ROWS) -> DataFrame:
+    """``lang, source``, the fence of the word length and the limit of each rate."""
+    groups = written(rows.select("lang", "source").distinct(), "quality-groups")
+    sound = rows.where("not base_failed")
+    lengths = _sketches(sound, groups, {"length": LENGTH}, min_group_rows, "quality-lengths")
+    low, high = _at("own.length", 0.25), _at("own.length", 0.75)
+    wide = f"{_at('wide.length', 0.75)} - {_at('wide.length', 0.25)}"
+    spread = f"{REACH_IQR} * greatest({high} - {low}, {wide})"
+    fences = lengths.selectExpr(
+        "lang", "source", f"{low} - {spread} as min_word_length",
+        f"{high} + {spread} as max_word_length",
     )
-    bounds = []
-    for m, (_, slack, both) in MEASURES.items():
-        low, mid, high = (f"kll_sketch_get_quantile_double(s.{m}, {q}D)" for q in (0.05, 0.5, 0.95))
-        bounds.append(f"{mid} + {REACH} * ({mid} - {low}) + {slack}D as max_{m}")
-        if both:
-            bounds.append(f"{mid} - {REACH} * ({high} - {mid}) - {slack}D as min_{m}")
-    return found.selectExpr("lang", "source", *bounds)
+    fences = written(fences, "quality-fences")
+    inside = _beside(sound, fences).where(_inside_fence())
+    measures = {m: _rate(m) for m in RATES} | {size: size for size in SIZES}
+    rates = _sketches(inside, groups, measures, min_group_rows, "quality-rates")
+    limits = []
+    for m, (_, event, size) in RATES.items():
+        middle, upper = _at(f"own.{m}", 0.5), _at(f"own.{m}", 0.95)
+        step = f"{EVENTS * event} / greatest({_at(f'own.{size}', 0.5)}, 1D)"
+        limits.append(f"{upper} + {REACH} * ({upper} - {middle}) + {step} as max_{m}")
+    return _beside(rates.selectExpr("lang", "source", *limits), fences).drop("_lang", "_source")
+
+
+def _beside(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` with the limits of their group."""
+    named = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return rows.join(named, F.expr("lang <=> _lang and source <=> _source"), "left")
+
+
+def _inside_fence() -> str:
+    return f"coalesce({LENGTH} between min_word_length and max_word_length, true)"
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """``rows`` with ``kept``: base rules passed and every measure within its group's limits."""
-    tests = []
-    for m, (e, _, both) in MEASURES.items():
-        tests.append(f"coalesce({e} <= max_{m}, true)")
-        if both:
-            tests.append(f"coalesce({e} >= min_{m}, true)")
-    named = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = rows.join(named, F.expr("lang <=> _lang and source <=> _source"), "left")
+    tests = [_inside_fence(), *(f"coalesce({_rate(m)} <= max_{m}, true)" for m in RATES)]
     kept = f"not base_failed and {' and '.join(tests)}"
-    return joined.selectExpr(*(f"`{c}`" for c in rows.columns), f"{kept} as kept")
+    return _beside(rows, limits).selectExpr(*(f"`{c}`" for c in rows.columns), f"{kept} as kept")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -80,12 +80,6 @@ def test_chains_over_many_blocks(spark, monkeypatch):
     assert unordered(got.collect()) == unordered(jaccard_classes(rows))
 
 
-def test_one_of_each(odd):
-    kept = [r.doc_id for r in jaccard.one_of_each(odd).collect()]
-    want = [a for a, _, c in jaccard_classes(odd_rows()) if a == c or a is None]
-    assert unordered((k,) for k in kept) == unordered((k,) for k in want)
-
-
 def kept_of_each(rows):
     """For every component the ids and texts of the rows that may stand for it; rows without words."""
     classes = defaultdict(list)
@@ -99,6 +93,17 @@ def kept_of_each(rows):
     return out
 
 
+def assert_one_of_each(got, rows):
+    """``got`` has exactly one of the rows that may stand for each component, and all without words."""
+    want = kept_of_each(rows)
+    rest = Counter((r[0], r[1]) for r in got)
+    assert sum(rest.values()) == len(want)
+    for of in sorted(want, key=len):
+        chosen = next((x for x in of if rest[x]), None)
+        assert chosen is not None, of
+        rest[chosen] -= 1
+
+
 def test_one_row_of_each(spark, odd):
     text = " ".join(f"word{i}" for i in range(40))
     other = " ".join(f"other{i}" for i in range(40))
@@ -109,13 +114,7 @@ def test_one_row_of_each(spark, odd):
     rows += [(11, None, "s"), (11, None, "s"), (None, " ", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     for given_rows, table in ((rows, docs), (odd_rows(), odd)):
-        got = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(table).collect())
-        want = kept_of_each(given_rows)
-        assert sum(got.values()) == len(want)
-        rest = Counter(got)
-        for of in sorted(want, key=len):
-            chosen = next(x for x in of if rest[x])
-            rest[chosen] -= 1
+        assert_one_of_each(jaccard.one_of_each(table).collect(), given_rows)
     again = [unordered(jaccard.one_of_each(docs.repartition(n)).collect()) for n in (1, 7)]
     assert again[0] == again[1]
     assert [r[0] for r in again[0] if (r[1] or "").startswith("other")] == [2]
