@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,8 +27,13 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: large, and the chunks that a worker remembers: less of both is slower and smaller.
 CORPUS_BYTES = 8 << 20
 REMEMBERED = 300_000
+#: The rank of a pair that has no union.
+NONE = 1 << 62
 _LOADED: dict[tuple, Encoding] = {}
 
+# What is kept of a chunk: its ids, the same in decimal, and the bytes that they decode to.
+Entry = tuple[tuple[int, ...], str, bytes]
+
 # Places where a blank neither ends a word nor begins one, so that the text
 # can't be cut ahead of it: white space, or the end, on both sides.
 _GLUED = regex.compile(r"\p{White_Space} (?:\p{White_Space}|$)")
@@ -49,68 +55,99 @@ class Encoding:
         unicode = unicode.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(unicode).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.printed = {rank: str(rank) for rank in self.bytes_of}
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.whole = ranks
-        self.union: dict[tuple[int, int], int] = {}
+        self.n_ranks = max(self.bytes_of) + 1
+        union: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.union[left, right] = rank
+                    union[left << 32 | right] = rank
+        self.pairs = np.array([-1, *sorted(union)], np.int64)
+        self.unions = np.array([NONE, *map(union.__getitem__, sorted(union))], np.int64)
         self.known = Memory(remembered)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens; ``NONE`` where they have no union."""
+        keys = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.unions[at], NONE)
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of every word: all merges in rank order over all words together."""
-        token: list[int] = []
-        after: list[int] = []  # next place of the same word, or -1
-        before: list[int] = []
-        firsts: list[int] = []
-        byte_ids, union = self.byte_ids, self.union
-        places: dict[int, list[int]] = {}
-        for word in words:
-            at, n = len(token), len(word)
-            firsts.append(at)
-            token.extend([byte_ids[b] for b in word])
-            before.extend(range(at - 1, at + n - 1))
-            after.extend(range(at + 1, at + n + 1))
-            before[at] = after[-1] = -1
-            ids = token[at:]
-            for i, pair in enumerate(zip(ids, ids[1:]), at):
-                rank = union.get(pair)
-                if rank is not None:
-                    places.setdefault(rank, []).append(i)
-        order = list(places)
-        heapq.heapify(order)
-        while order:
-            rank = heapq.heappop(order)
-            # Places of a word in its order: of overlapping pairs the first one merges.
-            for i in sorted(places.pop(rank)):
-                j = after[i]
-                if token[i] < 0 or j < 0 or union.get((token[i], token[j])) != rank:
-                    continue  # a neighbour has merged meanwhile
-                token[i], token[j] = rank, -1
-                k = after[i] = after[j]
-                h = before[i]
-                if k >= 0:
-                    before[k] = i
-                for left, right in ((h, i), (i, k)):
-                    if left >= 0 and right >= 0:
-                        found = union.get((token[left], token[right]))
-                        if found is not None:
-                            if found in places:
-                                places[found].append(left)
-                            else:
-                                places[found] = [left]
-                                heapq.heappush(order, found)
-        out = []
-        for i, word in zip(firsts, words, strict=True):
-            ids = []
-            while i >= 0 and word:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
+        """Token ids of every word: all merges in rank order over all words together.
+
+        A merge may bring up a pair of a lower rank, if the vocabulary has such;
+        words where it does are merged again by themselves, pair by pair.
+        """
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n = len(data)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        token = np.append(self.byte_ids[data], -1)
+        after = np.append(np.arange(1, n + 1), n)  # next place of the same word, or n
+        after[ends[sizes > 0] - 1] = n
+        before = np.append(np.arange(-1, n - 1), n)
+        before[(ends - sizes)[sizes > 0]] = n
+        pair = np.full(n + 1, NONE)  # rank of the pair that begins at a place
+        pair[:n] = self._ranks(token[:n], token[after[:n]])
+        # The index: for each rank its first places in order, then those that came later.
+        order = np.argsort(pair[:n], kind="stable")
+        first = np.searchsorted(pair[order], np.arange(self.n_ranks + 1))
+        later: dict[int, list[int]] = {}
+        lower = [np.zeros(0, np.int64)]
+        for rank in range(self.n_ranks):
+            places = order[first[rank] : first[rank + 1]]
+            if rank in later:
+                places = np.unique(np.append(places, later.pop(rank)))
+            places = places[pair[places] == rank]  # a neighbour may have merged meanwhile
+            if not len(places):
+                continue
+            # Of overlapping pairs every other one merges, from the first on.
+            lap = np.append(False, after[places[:-1]] == places[1:])
+            if lap.any():
+                count = np.arange(len(places))
+                places = places[(count - np.maximum.accumulate(np.where(lap, 0, count))) % 2 == 0]
+            gone = after[places]
+            then = after[gone]
+            token[places], token[gone] = rank, -1
+            pair[gone] = NONE
+            after[places] = then
+            before[then] = places
+            ahead = before[places]
+            touched = np.append(places, ahead[ahead < n])
+            found = self._ranks(token[touched], token[after[touched]])
+            pair[touched] = found
+            known = found < NONE
+            touched, found = touched[known], found[known]
+            if len(found) and found.min() <= rank:
+                lower.append(touched[found <= rank])
+            for f, place in zip(found.tolist(), touched.tolist(), strict=True):
+                if f in later:
+                    later[f].append(place)
+                else:
+                    later[f] = [place]
+        alive = token[:n] >= 0
+        ids = token[:n][alive].tolist()
+        upto = np.append(0, np.cumsum(alive))[np.append(0, ends)].tolist()
+        out = [ids[a:b] for a, b in pairwise(upto)]
+        for i in np.unique(np.searchsorted(ends, np.concatenate(lower), "right")).tolist():
+            out[i] = self.one_by_one(words[i])
         return out
 
+    def one_by_one(self, word: bytes) -> list[int]:
+        """Token ids of a word, merging the first pair of the lowest rank again and again."""
+        parts = [bytes([b]) for b in word]
+        while len(parts) > 1:
+            ranks = [self.whole.get(a + b, NONE) for a, b in pairwise(parts)]
+            low = min(ranks)
+            if low == NONE:
+                break
+            i = ranks.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [self.whole[p] for p in parts]
+
     def chunks(self, text: str) -> list[str]:
         """The text in parts that are encoded each for itself, mostly a blank and a word."""
         if _GLUED.search(text):
@@ -118,23 +155,19 @@ class Encoding:
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)] if first else [" " + x for x in rest]
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        """The ids of all these chunks, as numbers and printed; one replay for the new ones."""
+    def learn(self, chunks: set[str]) -> dict[str, Entry]:
+        """The entries of all these chunks; one replay for the new ones."""
         self.known.make_room()
-        # Letters after a blank are one word of any pattern that takes the blank along.
-        cut = {
-            c: [c] if c[0] == " " and c[1:].isalpha() else self.split(c)
-            for c in self.known.missing(chunks)
-            if c
-        }
+        cut = {c: self.split(c) for c in self.known.missing(chunks)}
         words = list({w for ws in cut.values() for w in ws})
-        raw = [w.encode() for w in words]
-        ids = dict(zip(words, self._whole_or_replayed(raw), strict=True))
+        ids = dict(zip(words, self._whole_or_replayed([w.encode() for w in words]), strict=True))
         known = self.known.young
-        known[""] = (), ""
         for c, ws in cut.items():
             own = ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w])
-            known[c] = own, " ".join(map(str, own))
+            known[c] = (
+                own, " ".join([self.printed[i] for i in own]),
+                b"".join([self.bytes_of[i] for i in own]),
+            )
         return known
 
     def _whole_or_replayed(self, raw: list[bytes]) -> list[tuple[int, ...]]:
@@ -142,13 +175,17 @@ class Encoding:
         replayed = iter(self.replay(left))
         return [(self.whole[w],) if w in self.whole else tuple(next(replayed)) for w in raw]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """Ids of every text, and the same in decimal with blanks; the texts are one corpus."""
+    def entries(self, texts: list[str]) -> Iterator[list[Entry]]:
+        """The entries of every text's chunks, in order; the texts are one corpus."""
         cut = [self.chunks(t) for t in texts]
         known = self.learn(set().union(*cut))
         for chunks in cut:
-            found = [known[c] for c in chunks if c]
-            yield [i for ids, _ in found for i in ids], " ".join([p for _, p in found])
+            yield [known[c] for c in chunks]
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of every text."""
+        for found in self.entries(texts):
+            yield [i for ids, _, _ in found for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -185,7 +222,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         made = _loaded((name, pattern), sent.value, pattern)
         for batch in slices(batches, CORPUS_BYTES):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = pa.array([ids for ids, _ in made.encode(texts)], pa.list_(pa.int32()))
+            ids = pa.array(list(made.encode(texts)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return text_rows(docs).mapInArrow(batches_of, "doc_id bigint, ids array<int>")
@@ -231,10 +268,11 @@ def round_trip(
             raw = encoded(batch.column(1))
             counts, of_ids, of_bytes, exact = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for text, (ids, printed) in zip(raw, made.encode(texts), strict=True):
-                back = made.decode(ids)
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(printed.encode()).hexdigest())
+            for text, found in zip(raw, made.entries(texts), strict=True):
+                ids, printed, parts = zip(*found, strict=True) if found else ((), (), ())
+                back = b"".join(parts)
+                counts.append(sum(map(len, ids)))
+                of_ids.append(hashlib.sha256(" ".join(printed).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == text)
             yield pa.RecordBatch.from_arrays(
