@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quire.llm.arrow import encoded, slices, text_rows
-from quire.llm.memory import Memory
+from quire.llm.memory import Memory, uncollected
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bytes of text in one corpus, whose words and places are Python objects many times as
@@ -28,11 +29,11 @@ MAX_VOCABULARY_BYTES = 64 << 20
 CORPUS_BYTES = 8 << 20
 REMEMBERED = 300_000
 #: The rank of a pair that has no union.
-NONE = 1 << 62
+NONE = (1 << 31) - 1
 _LOADED: dict[tuple, Encoding] = {}
 
-# What is kept of a chunk: its ids, the same in decimal, and the bytes that they decode to.
-Entry = tuple[tuple[int, ...], str, bytes]
+# What is kept of a chunk: its ids in decimal, the bytes that they decode to, and their number.
+Entry = tuple[str, bytes, int]
 
 # Places where a blank neither ends a word nor begins one, so that the text
 # can't be cut ahead of it: white space, or the end, on both sides.
@@ -56,7 +57,7 @@ class Encoding:
         self.split = regex.compile(unicode).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.printed = {rank: str(rank) for rank in self.bytes_of}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.whole = ranks
         self.n_ranks = max(self.bytes_of) + 1
         union: dict[int, int] = {}
@@ -66,31 +67,34 @@ class Encoding:
                 if left is not None and right is not None:
                     union[left << 32 | right] = rank
         self.pairs = np.array([-1, *sorted(union)], np.int64)
-        self.unions = np.array([NONE, *map(union.__getitem__, sorted(union))], np.int64)
+        # Tokens that have a union of a lower rank than their own with some other one.
+        self.risky = {t for pair, u in union.items() for t in (pair >> 32, pair & 0xFFFFFFFF) if u < t}
+        self.unions = np.array([NONE, *map(union.__getitem__, sorted(union))], np.int32)
         self.known = Memory(remembered)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens; ``NONE`` where they have no union."""
         keys = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.unions[at], NONE)
+        return np.where(self.pairs[at] == keys, self.unions[at], np.int32(NONE))
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of every word: all merges in rank order over all words together.
+    def replay(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Token ids of all words in a row, and where each word's begin (one more at the end).
 
-        A merge may bring up a pair of a lower rank, if the vocabulary has such;
-        words where it does are merged again by themselves, pair by pair.
+        All merges are applied in rank order over all words together. A merge
+        may bring up a pair of a lower rank, if the vocabulary has such; words
+        where it does are merged again by themselves, pair by pair.
         """
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        token = np.append(self.byte_ids[data], -1)
-        after = np.append(np.arange(1, n + 1), n)  # next place of the same word, or n
+        token = np.append(self.byte_ids[data], np.int32(-1))
+        after = np.append(np.arange(1, n + 1), n).astype(np.int32)  # next of the same word, or n
         after[ends[sizes > 0] - 1] = n
-        before = np.append(np.arange(-1, n - 1), n)
+        before = np.append(np.arange(-1, n - 1), n).astype(np.int32)  # the last one, or n
         before[(ends - sizes)[sizes > 0]] = n
-        pair = np.full(n + 1, NONE)  # rank of the pair that begins at a place
+        pair = np.full(n + 1, NONE, np.int32)  # rank of the pair that begins at a place
         pair[:n] = self._ranks(token[:n], token[after[:n]])
         # The index: for each rank its first places in order, then those that came later.
         order = np.argsort(pair[:n], kind="stable")
@@ -111,6 +115,10 @@ class Encoding:
                 places = places[(count - np.maximum.accumulate(np.where(lap, 0, count))) % 2 == 0]
             gone = after[places]
             then = after[gone]
+            if rank in self.risky:  # would one of these merges bring up a lower pair by itself?
+                own = np.full(len(places), rank)
+                low = self._ranks(token[before[places]], own) < rank
+                lower.append(places[low | (self._ranks(own, token[then]) < rank)])
             token[places], token[gone] = rank, -1
             pair[gone] = NONE
             after[places] = then
@@ -131,22 +139,33 @@ class Encoding:
         alive = token[:n] >= 0
         ids = token[:n][alive].tolist()
         upto = np.append(0, np.cumsum(alive))[np.append(0, ends)].tolist()
-        out = [ids[a:b] for a, b in pairwise(upto)]
-        for i in np.unique(np.searchsorted(ends, np.concatenate(lower), "right")).tolist():
-            out[i] = self.one_by_one(words[i])
-        return out
+        for i in np.unique(np.searchsorted(ends, np.concatenate(lower), "right"))[::-1].tolist():
+            own = self.one_by_one(words[i])
+            longer = len(own) - (upto[i + 1] - upto[i])
+            ids[upto[i] : upto[i + 1]] = own
+            upto[i + 1 :] = [x + longer for x in upto[i + 1 :]]
+        return ids, upto
 
     def one_by_one(self, word: bytes) -> list[int]:
         """Token ids of a word, merging the first pair of the lowest rank again and again."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            ranks = [self.whole.get(a + b, NONE) for a, b in pairwise(parts)]
-            low = min(ranks)
-            if low == NONE:
-                break
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.whole[p] for p in parts]
+        n = len(word)
+        end = list(range(1, n + 1))  # of the part that begins at a place; 0 if none does
+        begin = list(range(-1, n))  # of the part that ends at a place
+        queue = [(self.whole[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in self.whole]
+        heapq.heapify(queue)
+        while queue:
+            _, i, stop = heapq.heappop(queue)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of the two has merged meanwhile
+            end[i], end[middle] = stop, 0
+            begin[stop] = i
+            for left, right in ((begin[i], stop), (i, end[stop] if stop < n else 0)):
+                if left >= 0 and right:
+                    rank = self.whole.get(word[left:right])
+                    if rank is not None:
+                        heapq.heappush(queue, (rank, left, right))
+        return [self.whole[word[i : end[i]]] for i in range(n) if end[i]]
 
     def chunks(self, text: str) -> list[str]:
         """The text in parts that are encoded each for itself, mostly a blank and a word."""
@@ -159,33 +178,42 @@ class Encoding:
         """The entries of all these chunks; one replay for the new ones."""
         self.known.make_room()
         cut = {c: self.split(c) for c in self.known.missing(chunks)}
-        words = list({w for ws in cut.values() for w in ws})
-        ids = dict(zip(words, self._whole_or_replayed([w.encode() for w in words]), strict=True))
+        of = self.of_words(list({w for ws in cut.values() for w in ws}))
         known = self.known.young
         for c, ws in cut.items():
-            own = ids[ws[0]] if len(ws) == 1 else tuple(i for w in ws for i in ids[w])
-            known[c] = (
-                own, " ".join([self.printed[i] for i in own]),
-                b"".join([self.bytes_of[i] for i in own]),
-            )
+            if len(ws) == 1:
+                known[c] = of[ws[0]]
+            else:
+                printed, back, n = zip(*[of[w] for w in ws], strict=True)
+                known[c] = " ".join(printed), b"".join(back), sum(n)
         return known
 
-    def _whole_or_replayed(self, raw: list[bytes]) -> list[tuple[int, ...]]:
-        left = [w for w in raw if w not in self.whole]
-        replayed = iter(self.replay(left))
-        return [(self.whole[w],) if w in self.whole else tuple(next(replayed)) for w in raw]
-
-    def entries(self, texts: list[str]) -> Iterator[list[Entry]]:
+    def of_words(self, words: list[str]) -> dict[str, Entry]:
+        raw = [w.encode() for w in words]
+        new = [(w, r) for w, r in zip(words, raw, strict=True) if r not in self.whole]
+        ids, upto = self.replay([r for _, r in new])
+        printed = list(map(self.printed.__getitem__, ids))
+        back = list(map(self.bytes_of.__getitem__, ids))
+        of = {
+            w: (" ".join(printed[a:b]), b"".join(back[a:b]), b - a)
+            for (w, _), (a, b) in zip(new, pairwise(upto), strict=True)
+        }
+        for w, r in zip(words, raw, strict=True):
+            if (rank := self.whole.get(r)) is not None:
+                of[w] = self.printed[rank], self.bytes_of[rank], 1
+        return of
+
+    def entries(self, texts: list[str]) -> list[list[Entry]]:
         """The entries of every text's chunks, in order; the texts are one corpus."""
-        cut = [self.chunks(t) for t in texts]
-        known = self.learn(set().union(*cut))
-        for chunks in cut:
-            yield [known[c] for c in chunks]
+        with uncollected():
+            cut = [self.chunks(t) for t in texts]
+            known = self.learn(set().union(*cut))
+            return [[known[c] for c in chunks] for chunks in cut]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of every text."""
         for found in self.entries(texts):
-            yield [i for ids, _, _ in found for i in ids]
+            yield list(map(int, " ".join([printed for printed, _, _ in found]).split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -269,9 +297,9 @@ def round_trip(
             counts, of_ids, of_bytes, exact = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for text, found in zip(raw, made.entries(texts), strict=True):
-                ids, printed, parts = zip(*found, strict=True) if found else ((), (), ())
+                printed, parts, n = zip(*found, strict=True) if found else ((), (), ())
                 back = b"".join(parts)
-                counts.append(sum(map(len, ids)))
+                counts.append(sum(n))
                 of_ids.append(hashlib.sha256(" ".join(printed).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == text)

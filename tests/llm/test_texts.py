@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +35,22 @@ def test_replayed_merges_are_the_library_s(texts):
     assert [OWN.decode(ids) for ids in found] == [t.encode() for t in texts]
 
 
+def test_merges_that_bring_up_lower_ranks():
+    """A vocabulary in which 'abc' ranks below 'ab', and 'ca' between them."""
+    tokens = [bytes([b]) for b in range(256)] + [b"bc", b"abc", b"ca", b"ab", b"aba", b"cab", b"bcab"]
+    for order in itertools.permutations(range(256, 263), 7):
+        ranks = dict(zip(tokens[:256], range(256), strict=True))
+        ranks |= dict(zip(tokens[256:], order, strict=True))
+        if order[0] > 258:  # enough of them
+            continue
+        own = bpe.Encoding(ranks, public_tokenizers.PATTERN)
+        library = tiktoken.Encoding(
+            "some", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+        texts = ["abcab", "cabcabca", "abababc", "bcabca abcabcabc", "aab"]
+        assert list(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_long_runs_of_one_letter():
     for n in (2, 3, 17, 5000):
         assert next(OWN.encode(["a" * n])) == LIBRARY.encode_ordinary("a" * n)
