@@ -2,6 +2,6 @@
 
 from quire.operators.convert import Render, RunOptions, convert
 from quire.plans.documents import documents
-from quire.plans.run import RunReport, run
+from quire.plans.run import RunReport, preview, run
 
-__all__ = ["Render", "RunOptions", "RunReport", "convert", "documents", "run"]
+__all__ = ["Render", "RunOptions", "RunReport", "convert", "documents", "preview", "run"]

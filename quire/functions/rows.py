@@ -1,4 +1,4 @@
-"""Arrays to rows."""
+"""Arrays to rows, and searches in sorted arrays."""
 
 from __future__ import annotations
 
@@ -28,3 +28,15 @@ def computed_once(df: DataFrame) -> DataFrame:
     """
     columns = ", ".join(f"`{c}`" for c in df.columns)
     return df.selectExpr(f"inline_outer(array(struct({columns})))")
+
+
+def lower_bound(items: str, field: str, value: str) -> str:
+    """Index of the first of ``items``, sorted by ``field``, that isn't below ``value``."""
+    middle = "shiftright(s.low + s.high, 1)"
+    return (
+        f"aggregate(sequence(0, cast(log2(size({items}) + 1) as int)), "
+        f"named_struct('low', 0, 'high', size({items})), (s, i) -> case when s.low >= s.high then s "
+        f"when {items}[{middle}].{field} < {value} "
+        f"then named_struct('low', {middle} + 1, 'high', s.high) "
+        f"else named_struct('low', s.low, 'high', {middle}) end, s -> s.low)"
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from quire.functions.page_specs import parse_literal
 from quire.sources.files import MAX_FILE_MB
 from quire.sources.ship import ship
-from quire.sources.spread import dealt
+from quire.sources.spread import dealt, dealt_by_weight
 
 RENDERS = (
     "rel_key string, markdown string, error string, page_count bigint, "
@@ -63,6 +63,7 @@ def convert(
     converter_factory: Callable[[RunOptions], Callable[[dict[str, Any]], Render]],
     options: RunOptions | None = None,
     tasks: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Apply a converter to every file; one render row per file, failed ones included.
 
@@ -71,7 +72,8 @@ def convert(
     run. What the converter raises becomes the ``error`` of its row. The
     converter gets the columns of its file as a dict, reads ``path`` by itself,
     and marks where pages begin. Files are few and costly: they are dealt evenly
-    over ``tasks`` partitions.
+    over ``tasks`` partitions, by number or by ``weight``, SQL for what a file
+    costs.
     """
     told = options or RunOptions()
     spark = files.sparkSession
@@ -106,7 +108,11 @@ def convert(
         if rows:
             yield _frame(rows)
 
-    return dealt(files, "rel_key", tasks).mapInPandas(run, RENDERS)
+    if weight is None:
+        spread = dealt(files, "rel_key", tasks)
+    else:
+        spread = dealt_by_weight(files, "rel_key", weight, lambda n, total: tasks)
+    return spread.mapInPandas(run, RENDERS)
 
 
 def _untouched(doc: dict[str, Any]) -> dict[str, Any]:

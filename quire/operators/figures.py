@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import (
+    by_key,
     failure_text,
     figure_link,
-    hit,
+    has_odd_keys,
     key_block,
     key_page,
-    key_token,
+    linked_text,
     png_mode,
-    relink_text,
     text_tokens,
 )
 from quire.functions.rows import rows_of
@@ -75,25 +75,26 @@ def relink(pages: DataFrame, figures: DataFrame) -> DataFrame:
 
     Pages and figures meet on (document, token), never document by document:
     the work follows the parentheses in the texts, and what is gathered for a
-    page is bounded by that page's own text.
+    page is bounded by that page's own text. Pages without a parenthesis stay
+    where they are.
     """
-    tokens = pages.selectExpr("rel_key", "pos", f"explode({text_tokens('text')}) as _token")
+    open_ = pages.where("instr(text, '(') > 0")
+    tokens = open_.selectExpr("rel_key", "pos", f"explode({text_tokens('text')}) as _token")
     keys = figures.selectExpr(
-        "rel_key",
-        f"{key_token('img_key')} as _token",
-        "struct(figure_no, page_no, block_id, img_key, link) as _f",
-    ).selectExpr("rel_key", "_token", f"{hit('_f')} as _hit")
+        "rel_key", "struct(figure_no, page_no, block_id, img_key, link) as _f"
+    ).selectExpr("rel_key", f"{by_key('_f')} as _k").selectExpr("rel_key", "_k.token as _token", "_k")
     hits = (
         tokens.join(keys, ["rel_key", "_token"])
         .groupBy("rel_key", "pos")
-        .agg(F.expr("sort_array(collect_list(_hit)) as _hits"))
+        .agg(F.expr("sort_array(collect_list(_k)) as _keys"))
     )
-    text = f"if(_hits is null, text, {relink_text('text', '_hits')})"
-    return (
-        pages.join(hits, ["rel_key", "pos"], "left")
-        .withColumn("text", F.expr(text))
+    linked = linked_text("text", "_keys", has_odd_keys("_keys"))
+    moved = (
+        open_.join(hits, ["rel_key", "pos"], "left")
+        .withColumn("text", F.expr(f"if(_keys is null, text, {linked})"))
         .select(*pages.columns)
     )
+    return moved.unionByName(pages.where("not coalesce(instr(text, '(') > 0, false)"))
 
 
 def rewrite_links(pages: DataFrame, figures: DataFrame) -> DataFrame:

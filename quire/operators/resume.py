@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.functions.text import literal
+from quire.operators.metadata import body_path
 
 
 def matching_records(files: DataFrame, index: DataFrame, fingerprint: str) -> DataFrame:
@@ -65,3 +67,23 @@ def cached_outcomes(plan: DataFrame) -> DataFrame:
     return plan.where("action = 'skip'").selectExpr(
         "rel_key", "'completed' as status", "cached_path as output_path"
     )
+
+
+def planned_collisions(plan: DataFrame, collation: str | None = None) -> DataFrame:
+    """Add ``path_error``: a message where another key's output has the same path.
+
+    Of the keys that share a path a skipped one keeps it, else the first in
+    order; the others must not be converted. ``collation`` tells which paths a
+    store holds for the same, for instance UNICODE_CI where letter case and
+    Unicode forms don't count. Without ``action`` all keys are to be converted.
+    """
+    path = body_path("rel_key") + (f" collate {collation}" if collation else "")
+    skipped = "action = 'skip'" if "action" in plan.columns else "false"
+    ranked = plan.select("*", F.expr(path).alias("_path"))
+    first = ranked.groupBy(F.col("_path").alias("_same")).agg(
+        F.expr(f"min(struct({skipped} = false as _new, rel_key))").getField("rel_key").alias("_first"),
+        F.count("*").alias("_keys"),
+    ).where("_keys > 1")
+    error = f"if(_first <> rel_key and not {skipped}, concat('output path belongs to ', _first), null)"
+    joined = ranked.join(first, F.col("_path") == F.col("_same"), "left")
+    return joined.selectExpr(*(f"`{c}`" for c in plan.columns), f"{error} as path_error")

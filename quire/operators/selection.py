@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.page_specs import (
     in_ranges,
+    in_sorted_ranges,
     merge_pieces,
     parse_literal,
     parsed_pieces,
@@ -74,8 +75,17 @@ def expand_page_specs(docs: DataFrame, spec: str | None = None) -> DataFrame:
 def select_pages(pages: DataFrame, spec: str | DataFrame | None) -> DataFrame:
     """Pages with a requested id, under their own numbers.
 
-    ``spec`` is a selection for every document, or rows (rel_key, page_id).
+    ``spec`` is a selection for every document, or rows (rel_key, page_id), or
+    rows (rel_key, spec) with the selection of each document: null for all pages,
+    an unreadable one for none. Selections meet their documents' pages as ranges,
+    whatever their length; no id is unfolded. Pages of a document without a row
+    are not selected.
     """
+    if isinstance(spec, DataFrame) and "spec" in spec.columns:
+        ranged = parse_page_specs(spec.select("rel_key", "spec")).where("spec_error is null")
+        ranged = ranged.selectExpr("rel_key as _key", "ranges as _ranges")
+        inside = in_sorted_ranges("page_no - 1", "_ranges")
+        return pages.join(ranged, F.expr(f"rel_key = _key and {inside}"), "left_semi")
     if isinstance(spec, DataFrame):
         wanted = spec.selectExpr("rel_key", "page_id + 1 as page_no")
         return pages.join(wanted, ["rel_key", "page_no"], "left_semi").select(*pages.columns)

@@ -15,15 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.figure_keys import (
+    by_key,
     failure_text,
     figure_link,
-    hit,
+    has_odd_keys,
     key_block,
     key_page,
-    key_token,
+    linked_text,
     png_mode,
-    relink_text,
-    text_tokens,
 )
 from quire.functions.page_text import with_page_array
 from quire.functions.rows import computed_once, rows_of
@@ -82,27 +81,15 @@ def _with_figures(docs: DataFrame) -> DataFrame:
 
 
 def _with_links(docs: DataFrame) -> DataFrame:
-    """Set the links in ``pages``.
-
-    A page's parenthesised strings meet the keys' tokens by hash; only pages
-    with a hit look at the keys one by one.
-    """
-    keys = f"""
-        sort_array(transform(figures, f ->
-          named_struct('hit', {hit("f")}, 'token', {key_token("f.img_key")})))"""
-    marked = f"""
-        if(size(_keys) > 0, transform(pages, p -> named_struct(
-          'page_no', p.page_no, 'text', p.text,
-          'hits', array_intersect({text_tokens("p.text")}, _keys.token))), null)"""
-    own = "transform(filter(_keys, k -> array_contains(p.hits, k.token)), k -> k.hit)"
+    """Set the links in ``pages``: each page's text is cut once, its pieces looked up in all keys."""
     linked = f"""
-        transform(_marked, p -> named_struct('page_no', p.page_no, 'text',
-          if(size(p.hits) = 0, p.text, {relink_text("p.text", own)})))"""
+        transform(pages, p -> named_struct(
+          'page_no', p.page_no, 'text', {linked_text("p.text", "_keys", "_odd")}))"""
     return (
-        docs.withColumn("_keys", F.expr(keys))
-        .withColumn("_marked", F.expr(marked))
-        .withColumn("pages", F.expr(f"coalesce({linked}, pages)"))
-        .drop("_keys", "_marked")
+        docs.withColumn("_keys", F.expr(f"sort_array(transform(figures, f -> {by_key('f')}))"))
+        .withColumn("_odd", F.expr(has_odd_keys("_keys")))
+        .withColumn("pages", F.expr(f"if(size(_keys) > 0, {linked}, pages)"))
+        .drop("_keys", "_odd")
     )
 
 

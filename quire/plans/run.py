@@ -8,10 +8,17 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.operators.convert import RunOptions, convert
 from quire.operators.metadata import doc_metadata, run_outcome, written_outputs
-from quire.operators.resume import cached_outcomes, matching_records, plan_run
+from quire.operators.inventory import inventory, inventory_totals
+from quire.operators.resume import (
+    cached_outcomes,
+    matching_records,
+    plan_run,
+    planned_collisions,
+)
 from quire.operators.selection import run_fingerprint
 from quire.plans.documents import documents
 from quire.sources.files import (
@@ -29,19 +36,26 @@ from quire.sources.remote import with_existence, with_file_checksum
 from quire.sources.sinks import write_run
 
 
-# Documents one conversion task takes on; what a lost executor has to do again.
+# Documents and bytes one conversion task takes on; what a lost executor has to do again.
 DOCUMENTS_PER_TASK = 200
+BYTES_PER_TASK = 2 << 30
+#: What converting a document costs: its pages where they are known, else its bytes.
+COST = "coalesce(page_count * 1e5D, size_bytes, 0) + 1e5D"
 
 
-def _tasks(spark: SparkSession, documents_to_do: int) -> int:
+def _tasks(spark: SparkSession, documents_to_do: int, size: int) -> int:
     """Enough tasks to use every core, and no task too long."""
     cores = spark.sparkContext.defaultParallelism
-    return max(min(documents_to_do, cores), -(-documents_to_do // DOCUMENTS_PER_TASK), 1)
+    many = max(-(-documents_to_do // DOCUMENTS_PER_TASK), -(-size // BYTES_PER_TASK))
+    return max(min(documents_to_do, cores), min(documents_to_do, many), 1)
 
 
 @dataclass(frozen=True)
 class RunReport:
-    """What a run did. ``outcome`` is one row; ``outputs`` one row per usable body."""
+    """What a run did. ``outcome`` is one row; ``outputs`` one row per usable body.
+
+    ``outputs`` has ``output_path`` below the root and ``path`` in full.
+    """
 
     outcome: DataFrame
     outputs: DataFrame
@@ -65,12 +79,17 @@ def run(
     reprocess: bool = False,
     export: bool = True,
     listing: DataFrame | None = None,
+    collation: str | None = None,
 ) -> RunReport:
     """Convert what is new or changed below ``input_path`` (a folder or one file).
 
     Folders are listed by tasks. A table of paths and sizes may take the place of
     that: ``listing`` with columns path and size_bytes (absolute URIs below
-    ``input_path``), and page_count where it is known.
+    ``input_path``), and page_count where it is known. Repeated paths count once.
+
+    Of documents whose outputs would have one path (under ``collation``, if the
+    store has such) one is converted; the others fail, with a message, and have
+    no output.
 
     The plan and the converted documents are written before anything reads
     them again: neither is a file hashed twice nor a document converted twice,
@@ -80,24 +99,11 @@ def run(
     completed record in the index is all that a document needs to be skipped.
     """
     options = options or RunOptions()
-    if not path_exists(spark, input_path):
-        raise ValueError(f"Input path does not exist: {input_path}")
-    top = qualified(spark, input_path)
-    single = is_file(spark, input_path)
-    if single and listing is None and not top.lower().endswith(SUPPORTED):
-        raise ValueError(f"Not a supported file: {input_path}")
-    base = top.rsplit("/", 1)[0] if single else top
-    root = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
+    found, root = _inputs(spark, input_path, output_root, listing)
     stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     run_dir = f"{root}/_runs/{stamp}-{uuid.uuid4().hex[:8]}"
 
     fingerprint = fingerprint_options(spark, options)
-    if listing is None:
-        found = discover_files(spark, input_path, root)
-    else:
-        found = select_inputs(listing, base, root)
-    counted = "page_count" if "page_count" in found.columns else "cast(null as bigint) as page_count"
-    found = found.selectExpr("rel_key", "path", "size_bytes", counted)
     files = with_file_checksum(size_gate(found, options.max_file_mb))
     index = read_index(spark, root)
     # Hashed once: the plan and the look for outputs both read what is written here.
@@ -107,17 +113,59 @@ def run(
     if export:  # without files a record in the index stands for the tables of its run
         existing = with_existence(existing, root)
     planned = plan_run(files, index, fingerprint, existing, reprocess)
+    planned = planned_collisions(planned, collation)
     planned.write.mode("overwrite").parquet(f"{run_dir}/plan")
     plan = spark.read.parquet(f"{run_dir}/plan")
 
-    todo = plan.where("action = 'convert'")
-    renders = convert(todo, converter_factory, options, _tasks(spark, todo.count()))
+    todo = plan.where("action = 'convert' and path_error is null")
+    n, size = todo.selectExpr("count(*)", "coalesce(sum(size_bytes), 0)").first()
+    renders = convert(todo, converter_factory, options, _tasks(spark, n, size), COST)
     documents(renders, options.pages).write.mode("overwrite").parquet(f"{run_dir}/documents")
     docs = spark.read.parquet(f"{run_dir}/documents")
-    records = doc_metadata(docs, options.model, options.backend, fingerprint)
+    of_run = (options.model, options.backend, fingerprint)
+    refused = plan.where("path_error is not null").selectExpr(
+        "rel_key", "'failed' as status", "checksum", "0D as processing_time", "0L as recovered",
+        "path_error as error",
+    )
+    none = F.lit(None).cast("string")
+    records = doc_metadata(docs, *of_run).unionByName(
+        doc_metadata(refused, *of_run).withColumn("output_path", none)
+    )
     write_run(docs, records, root, run_dir, export)
     metadata = spark.read.parquet(f"{run_dir}/metadata")
 
     fresh = metadata.selectExpr("key as rel_key", "status", "output_path")
     results = fresh.unionByName(cached_outcomes(plan))
-    return RunReport(run_outcome(results), written_outputs(results), metadata, root, run_dir)
+    outputs = written_outputs(results).withColumn("path", F.concat(F.lit(f"{root}/"), "output_path"))
+    return RunReport(run_outcome(results), outputs, metadata, root, run_dir)
+
+
+def preview(
+    spark: SparkSession,
+    input_path: str,
+    output_root: str | None = None,
+    listing: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """What a run would look at: a row per file, and their number and size. Converts nothing."""
+    found, _ = _inputs(spark, input_path, output_root, listing)
+    return inventory(found), inventory_totals(found)
+
+
+def _inputs(
+    spark: SparkSession, input_path: str, output_root: str | None, listing: DataFrame | None
+) -> tuple[DataFrame, str]:
+    """The inputs (``rel_key, path, size_bytes, page_count``) and the output root of a run."""
+    if not path_exists(spark, input_path):
+        raise ValueError(f"Input path does not exist: {input_path}")
+    top = qualified(spark, input_path)
+    single = is_file(spark, input_path)
+    if single and listing is None and not top.lower().endswith(SUPPORTED):
+        raise ValueError(f"Not a supported file: {input_path}")
+    base = top.rsplit("/", 1)[0] if single else top
+    root = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
+    if listing is None:
+        found = discover_files(spark, input_path, root)
+    else:
+        found = select_inputs(listing, base, root).dropDuplicates(["rel_key"])
+    counted = "page_count" if "page_count" in found.columns else "cast(null as bigint) as page_count"
+    return found.selectExpr("rel_key", "path", "size_bytes", counted), root

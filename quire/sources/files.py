@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime, timezone
 from functools import reduce
@@ -17,6 +18,7 @@ SUPPORTED = (".pdf",)
 EXTENSION = r"[^/](\.[^./]+)$"
 MAX_FILE_MB = 500.0
 OUTPUT_FOLDER = "ocr"
+EMPTY_AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.\-]*):///"
 # ---------------------------------------------------------------------------
 
 
@@ -41,6 +43,16 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path) and fs.getFileStatus(jvm_path).isFile()
 
 
+def plain_uri(path: str) -> str:
+    """``file:///a`` as ``file:/a``, the form in which Spark lists it."""
+    return re.sub(EMPTY_AUTHORITY, r"\1:/", path)
+
+
+def _plain(path: str) -> str:
+    """The same for a column."""
+    return f"regexp_replace({path}, {literal(EMPTY_AUTHORITY)}, '$1:/')"
+
+
 def filter_supported(files: DataFrame, exts: Iterable[str] = SUPPORTED) -> DataFrame:
     """Files whose extension is supported, in any letter case.
 
@@ -53,13 +65,21 @@ def filter_supported(files: DataFrame, exts: Iterable[str] = SUPPORTED) -> DataF
 
 def exclude_output_subtree(files: DataFrame, output_root: str) -> DataFrame:
     """Files outside the output root, so that a run never reads its own output."""
-    return files.where(f"not startswith(path, {literal(output_root.rstrip('/') + '/')})")
+    below = literal(plain_uri(output_root).rstrip("/") + "/")
+    return files.where(f"not startswith({_plain('path')}, {below})")
 
 
 def with_relative_key(files: DataFrame, root: str) -> DataFrame:
-    """Add ``rel_key``: the path below the scan root, the identity of a document."""
-    below = len(root.rstrip("/")) + 2
-    return files.selectExpr("*", f"substring(path, {below}) as rel_key")
+    """Add ``rel_key``: the path below the scan root, the identity of a document.
+
+    A path that isn't below the root has no key and ends the job, naming the path.
+    """
+    top = plain_uri(root).rstrip("/") + "/"
+    key = f"substring({_plain('path')}, {len(top) + 1})"
+    foreign = f"raise_error(concat('not below ', {literal(top)}, ': ', path))"
+    return files.selectExpr(
+        "*", f"if(startswith({_plain('path')}, {literal(top)}), {key}, {foreign}) as rel_key"
+    )
 
 
 def with_checksum(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -12,9 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.sources.ship import ship
-from quire.sources.spread import dealt
+from quire.sources.spread import dealt_by_weight
 
 CHUNK = 1 << 20
+#: Bytes that one task reads, and what opening a file costs in bytes.
+TASK_BYTES = 256 << 20
+OPEN_BYTES = 1 << 16
 OBJECT_STORES = ("s3", "gcs", "abfs")
 #: Names that Hadoop has for stores, and those that the file systems here go by.
 SCHEMES = {
@@ -57,19 +61,22 @@ def with_file_checksum(files: DataFrame) -> DataFrame:
 
     Unlike the ``content`` of a file scan, no file is held in memory whole,
     and one that cannot be read gives null instead of failing the job. Files
-    are dealt out by path first: a listing has a folder's entries in one task.
+    are dealt out by their bytes first, into as many tasks as these ask for: a
+    listing has a folder's entries in one task.
     """
     spark = files.sparkSession
     ship(spark)
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+    cores = spark.sparkContext.defaultParallelism
+
+    def tasks(n: int, total: float) -> int:
+        return max(min(n, cores), math.ceil(total / TASK_BYTES))
 
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
         return paths.map(file_checksum)
 
-    return dealt(files, "path", tasks).withColumn("checksum", digest("path"))
+    weight = f"coalesce(size_bytes, 0) + {OPEN_BYTES}"
+    return dealt_by_weight(files, "path", weight, tasks).withColumn("checksum", digest("path"))
 
 
 LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 
 from quire.functions.page_text import FAILED_BODY, section
 from quire.functions.text import literal
-from quire.operators.metadata import body_path, output_folder, upsert_index
+from quire.operators.metadata import body_path, output_folder
 from quire.plans.documents import document_figures, document_pages
-from quire.sources.index import IndexMoved, generation, read_index, write_index
+from quire.sources.index import append_index, compact_index
 from quire.sources.remote import write_files
 
-COMMIT_TRIES = 20
-
 
 def write_tables(docs: DataFrame, metadata: DataFrame, run_dir: str) -> None:
     """Write pages, figures and metadata of ``documents`` below ``run_dir``."""
@@ -23,26 +21,21 @@ def write_tables(docs: DataFrame, metadata: DataFrame, run_dir: str) -> None:
 
 def write_run(
     docs: DataFrame, metadata: DataFrame, root: str, run_dir: str, export: bool = False
-) -> str:
-    """All tables of a run, its files if ``export``, then the index snapshot.
+) -> int:
+    """All tables of a run, its files if ``export``, then its records in the index.
 
-    The snapshot alone makes the run count: whatever an interrupted run has left
+    The index alone makes the run count: whatever an interrupted run has left
     out, its documents are not in the index and are converted again. Failed
-    documents are written like any other. Returns the snapshot's path.
+    documents are written like any other. Returns the number of the manifest.
     """
     spark = docs.sparkSession
     write_tables(docs, metadata, run_dir)
     fresh = spark.read.schema(metadata.schema).parquet(f"{run_dir}/metadata")
     if export:
         export_tree(docs, fresh, root)
-    for _ in range(COMMIT_TRIES):
-        after = generation(spark, root)
-        try:
-            merged = upsert_index(read_index(spark, root), fresh)
-            return write_index(spark, merged, root, after)
-        except IndexMoved:  # another run came first: its records belong in as well
-            continue
-    raise IndexMoved(f"no snapshot of {root} in {COMMIT_TRIES} tries")
+    version = append_index(spark, fresh, root, run_dir.rsplit("/", 1)[1])
+    compact_index(spark, root)
+    return version
 
 
 def document_bodies(docs: DataFrame) -> DataFrame:
@@ -57,8 +50,8 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
 
     Files are written by the tasks that hold their rows, each under its name
     only when complete; running again replaces them. Figures come first, then
-    the bodies that link to them, then the records. Returns how many files of
-    each kind were written.
+    the bodies that link to them, then the records; one without an output path
+    has no folder. Returns how many files of each kind were written.
     """
     bodies = document_bodies(docs).selectExpr(
         f"{body_path('rel_key')} as path", "body as data"
@@ -71,7 +64,7 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
     )
     columns = ", ".join(metadata.columns)
     options = "map('ignoreNullFields', 'false', 'pretty', 'true')"
-    records = metadata.selectExpr(
+    records = metadata.where("output_path is not null").selectExpr(
         f"concat({output_folder('key')}, '/metadata.json') as path",
         f"to_json(struct({columns}), {options}) as data",
     )

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 
@@ -140,3 +142,46 @@ def test_image_refs(spark):
     )
     refs = figures.extract_image_refs(pages).orderBy("ref_no").collect()
     assert [(r.page_no, r.ref_no, r.link) for r in refs] == [(4, 0, "x"), (4, 1, "z z"), (4, 2, "")]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_texts_cut_once_are_those_of_one_pass_for_each_key(spark, seed):
+    """Keys without parentheses, also twice and within alt texts, against a plain loop."""
+    rng = random.Random(seed)
+    saved, lost = ["a.png", "a b", ".*", "$1"], ["b.png", "\\E+", ""]
+    images = [image(k) for k in saved] + [image(k, saved=False) for k in [*lost, "a.png"]]
+    link = {k: f"./figures/figure_{i + 1}_page1.png" for i, k in enumerate(sorted(saved))}
+    parts = ["![", "![x]", "(", ")", "]", " ", "w\n", "()", *(f"({k})" for k in saved + lost),
+             *(f"![al](" + k + ")" for k in saved + lost)]
+    docs, want = {}, []
+    for d in range(60):
+        text = "x" + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) + "x"
+        made = text
+        for k in saved:
+            made = made.replace(f"({k})", f"({link[k]})")
+        for k in lost:
+            made = re.sub(r"!\[[^\]]*\]\(" + re.escape(k) + r"\)", "", made)
+        docs[f"d{d}"] = (f"\n\n{{0}}{RULE}\n\n{text}", images)
+        want.append((f"d{d}", 0, 1, made))
+    r = renders(spark, docs)
+    assert sorted(map(tuple, document_pages(documents(r)).collect())) == sorted(want)
+    by_join = figures.relink(split_pages(r), linked(spark, docs))
+    assert sorted(map(tuple, by_join.collect())) == sorted(want)
+
+
+def test_many_figures_on_a_page_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"see (k{i}) ![](k{i})" for i in range(n))
+        images = [image(f"k{i}", saved=i % 4 > 0) for i in range(n)]
+        df = documents(renders(spark, {"a": (text, images)}))
+        best = 1e9
+        for _ in range(2):
+            start = time.perf_counter()
+            (row,) = df.collect()
+            best = min(best, time.perf_counter() - start)
+        assert row.pages[0].text.count("./figures/") == 2 * (n - (n + 3) // 4)
+        assert row.pages[0].text.count("(k") == (n + 3) // 4
+        return best
+
+    seconds(100)
+    assert seconds(16_000) < 8 * seconds(4_000) + 1

@@ -4,7 +4,7 @@ import pytest
 
 from quire.operators import audit, inventory, metadata, resume, selection
 from quire.sources import files
-from quire.sources.index import INDEX_SCHEMA, IndexMoved, read_index, write_index
+from quire.sources.index import INDEX_SCHEMA
 
 
 def paths(spark, *names):
@@ -124,27 +124,6 @@ def test_upsert_keeps_the_newest_record(spark):
     assert [f.name for f in metadata.upsert_index(old, new).schema] == list(metadata.METADATA_COLUMNS)
 
 
-def test_index_snapshots(spark, tmp_path):
-    root = str(tmp_path)
-    assert read_index(spark, root).count() == 0
-    write_index(spark, spark.createDataFrame([record("a")], INDEX_SCHEMA), root)
-    merged = metadata.upsert_index(read_index(spark, root), spark.createDataFrame([record("b")], INDEX_SCHEMA))
-    write_index(spark, merged, root)
-    (tmp_path / "_index" / "gen-00000009.x").mkdir()  # begun, never committed
-    assert {r.key for r in read_index(spark, root).collect()} == {"a", "b"}
-
-
-def test_of_two_writers_the_second_merges_once_more(spark, tmp_path):
-    root = str(tmp_path)
-    one, two = (spark.createDataFrame([record(k)], INDEX_SCHEMA) for k in "ab")
-    write_index(spark, one, root, after=0)
-    with pytest.raises(IndexMoved):
-        write_index(spark, two, root, after=0)
-    assert {r.key for r in read_index(spark, root).collect()} == {"a"}
-    write_index(spark, metadata.upsert_index(read_index(spark, root), two), root)
-    assert {r.key for r in read_index(spark, root).collect()} == {"a", "b"}
-
-
 def test_planning_and_upserting_neither_group_nor_sort_the_index(spark):
     index = spark.createDataFrame([record("a")], INDEX_SCHEMA)
     files_ = spark.createDataFrame([("a", "sha256:1")], "rel_key string, checksum string")

@@ -7,8 +7,9 @@ from pathlib import Path
 
 import pytest
 
-from quire import Render, RunOptions, convert, run
+from quire import Render, RunOptions, convert, preview, run
 from quire.functions.page_text import FAILED_BODY
+from quire.operators.resume import planned_collisions
 from quire.plans.run import fingerprint_options
 from quire.sources import sinks
 from quire.sources.index import read_index
@@ -75,6 +76,7 @@ def test_run_and_rerun(spark, inputs):
     assert {r.output_path for r in first.outputs.collect()} == {
         "a/intro/intro.md", "b/intro/intro.md", "lossy/lossy.md", "with space/with space.md"
     }
+    assert all(r.path == f"file:{out}/{r.output_path}" for r in first.outputs.collect())
     body = (out / "a/intro/intro.md").read_text()
     assert body == "## Page 1\n\none\n\n## Page 2\n\n![](./figures/figure_1_page2.png)\n\n"
     assert (out / "a/intro/figures/figure_1_page2.png").read_bytes() == b"png:_page_1_Figure_0.jpeg"
@@ -195,7 +197,7 @@ def test_an_interrupted_run_is_repaired_by_the_next(spark, inputs, monkeypatch,
     """The run stops just ahead of the step; the next one leaves nothing out."""
     step = ["figures", "bodies", "records", "index"].index(kind)
     calls = []
-    write_files, write_index = sinks.write_files, sinks.write_index
+    write_files, append_index = sinks.write_files, sinks.append_index
 
     def stop(real, *args):
         if len(calls) == step:
@@ -204,7 +206,7 @@ def test_an_interrupted_run_is_repaired_by_the_next(spark, inputs, monkeypatch,
         return real(*args)
 
     monkeypatch.setattr(sinks, "write_files", lambda *a: stop(write_files, *a))
-    monkeypatch.setattr(sinks, "write_index", lambda *a: stop(write_index, *a))
+    monkeypatch.setattr(sinks, "append_index", lambda *a: stop(append_index, *a))
     with pytest.raises(RuntimeError):
         run(spark, str(inputs), factory)
     monkeypatch.undo()
@@ -229,3 +231,57 @@ def test_table_only_runs_skip_what_is_done(spark, inputs):
 def test_a_single_file_of_another_kind_is_an_error(spark, inputs):
     with pytest.raises(ValueError):
         run(spark, str(inputs / "note.txt"), factory)
+
+
+def test_outputs_with_one_path_are_not_overwritten(spark, inputs):
+    """One of the two documents is converted, the other one fails; what is done stays done."""
+    for name in ("a/intro.PDF", "b/intro.pdf"):
+        (inputs / name).write_text("the other one")
+    first = run(spark, str(inputs), factory)
+    assert outcome(first) == (3, 1, 6, 10, 1)
+    got = {r.key: r for r in first.metadata.collect()}
+    assert got["a/intro.PDF"].status == "completed"
+    assert got["a/intro.pdf"].status == "failed" and got["a/intro.pdf"].output_path is None
+    assert got["a/intro.pdf"].error == "output path belongs to a/intro.PDF"
+    out = inputs / "ocr"
+    assert "the other one" in (out / "a/intro/intro.md").read_text()
+    assert json.loads((out / "a/intro/metadata.json").read_text())["key"] == "a/intro.PDF"
+    # A document that is done keeps its path, whatever comes later.
+    (inputs / "with space.PDF").write_text("later")
+    again = run(spark, str(inputs), factory)
+    got = {r.key: r for r in again.metadata.collect()}
+    assert got["with space.PDF"].error == "output path belongs to with space.pdf"
+    assert "fine" in (out / "with space/with space.md").read_text()
+
+
+def test_paths_that_a_store_holds_for_one(spark):
+    plan = spark.createDataFrame(
+        [("A/x.pdf",), ("a/x.pdf",), ("e\u0301.pdf",), ("\u00e9.pdf",), ("z.pdf",)], "rel_key string"
+    )
+    got = {r.rel_key: r.path_error for r in planned_collisions(plan).collect()}
+    assert set(got.values()) == {None}
+    got = {r.rel_key: r.path_error for r in planned_collisions(plan, "UNICODE_CI").collect()}
+    assert got["a/x.pdf"] == "output path belongs to A/x.pdf" and got["A/x.pdf"] is None
+    assert got["\u00e9.pdf"] == "output path belongs to e\u0301.pdf" and got["z.pdf"] is None
+
+
+def test_uris_of_one_file(spark, inputs):
+    listing = spark.createDataFrame(
+        [(f"file://{inputs}/a/intro.pdf", 10), (f"file:{inputs}/with space.pdf", 4),
+         (f"file:{inputs}/with space.pdf", 4), (f"file://{inputs}/out/x.pdf", 4)],
+        "path string, size_bytes bigint",
+    )
+    report = run(spark, str(inputs), factory, str(inputs / "out"), listing=listing)
+    assert {r.key for r in report.metadata.collect()} == {"a/intro.pdf", "with space.pdf"}
+    foreign = spark.createDataFrame([("file:/elsewhere/x.pdf", 1)], "path string, size_bytes bigint")
+    with pytest.raises(Exception, match="not below"):
+        run(spark, str(inputs), factory, str(inputs / "out2"), listing=foreign)
+
+
+def test_a_preview_converts_nothing(spark, inputs):
+    files, totals = preview(spark, str(inputs))
+    assert {r.rel_key for r in files.collect()} >= {"a/intro.pdf", "_draft/_x.pdf"}
+    assert {r.pages for r in files.collect()} == {"-"}
+    assert totals.first().files == 8 and not (inputs / "ocr").exists()
+    with pytest.raises(ValueError):
+        preview(spark, str(inputs / "nowhere"))

@@ -7,7 +7,9 @@ from quire.operators.pages import assemble_body
 from quire.plans.documents import document_pages, documents
 from quire.sources.files import list_files
 from quire.sources.remote import SCHEMES, file_checksum, locate, with_file_checksum
+from quire.sources.scratch import scratch_root
 from quire.sources.sinks import document_bodies, export_tree
+from quire.sources.spread import dealt_by_weight
 from tests.brute import RULE
 from tests.test_figures import image, renders
 
@@ -65,3 +67,28 @@ def test_a_flat_folder_is_hashed_by_all_tasks(spark, tmp_path):
     assert sum(sizes) == 400 and max(sizes) <= 2 * 400 / len(sizes) and min(sizes) > 0
     (one,) = list_files(spark, f"file:{tmp_path}/7.pdf").collect()
     assert one.path.endswith("/7.pdf") and one.size_bytes == 1 and one.modified
+
+
+def test_partitions_of_equal_weight(spark):
+    """One row of half the weight beside many small ones; as many partitions as asked for, about."""
+    rows = [("big", 400)] + [(f"k{i}", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, size int")
+    for n in (1, 4, 40, 200):
+        dealt = dealt_by_weight(df, "path", "size", lambda rows_, total, n=n: n)
+        parts = [sum(r.size for r in p) for p in dealt.rdd.glom().collect()]
+        assert sum(parts) == 800 and n / 2 <= len(parts) <= 2 * n + 8
+        assert max((p for p in parts if p < 400), default=0) <= 2 * 800 / n + 2
+        assert max(parts) <= 400 + 2 * 800 / n
+    assert dealt.columns == df.columns and dealt_by_weight(df.limit(0), "path", "size", lambda *_: 3).count() == 0
+    even = spark.createDataFrame([(f"k{i}", 1) for i in range(4000)], "path string, size int")
+    parts = [len(p) for p in dealt_by_weight(even, "path", "size", lambda *_: 64).rdd.glom().collect()]
+    assert max(parts) <= 2 * 4000 / 64 and min(parts) > 0
+
+
+def test_scratch_folders_of_a_cluster(spark, monkeypatch):
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "local-cluster[2,1,512]", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError):
+        scratch_root(Fake())

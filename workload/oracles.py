@@ -241,7 +241,7 @@ spoiled as (
     case when key like 'd0/%' then replace(checksum, 'sha256:', 'md5:')
          when key like 'd2/%' then 'sha256:' else checksum end as checksum,
     case when key like 'd3/%1.pdf' then 'partial' else status end as status)
-  from md where key not like 'd1/%')
+  from md)
 """
 
 RESULTS = """
@@ -285,8 +285,9 @@ ORACLES: dict[str, str] = {
         "(select count(*) as files, coalesce(sum(size_bytes), 0)::bigint as total_bytes from f)"),
     "expand_page_specs": q("select rel_key, page_id::bigint as page_id from ids", SPECS),
     "select_pages": q(
-        "select p.rel_key, pos, page_no, text from p semi join ids "
-        "on ids.rel_key = p.rel_key and ids.page_id + 1 = p.page_no", PAGES, SPECS),
+        "select p.rel_key, pos, page_no, text from p join sp using (rel_key) "
+        "where spec is null or exists (select 1 from ids "
+        "where ids.rel_key = p.rel_key and ids.page_id + 1 = p.page_no)", PAGES, SPECS),
     "run_fingerprint": q(
         """select rel_key, case when conv_id % 6 = 5 then 'not a page selection: a' end as spec_error,
         sha256('{"model":"converter","backend":"custom","force_ocr":'
@@ -305,7 +306,7 @@ ORACLES: dict[str, str] = {
         f"""select f.rel_key, case when f.rel_key not like '%7.pdf' then m.markdown end as markdown,
         case when f.rel_key like '%7.pdf' then 'cannot convert' end as error,
         case when f.rel_key not like '%7.pdf' then n end as page_count,
-        case when f.rel_key like '%7.pdf' then 0 else 1 end::bigint as n_images
+        case when f.rel_key like '%7.pdf' then 0 else 1 end::bigint as n_images, true as timed
         from f join (select rel_key, string_agg({NL2} || '{{' || (turn - first_turn) || '}}{RULE}'
           || {NL2} || text, '' order by turn) as markdown from t group by rel_key) m using (rel_key)"""),
     "flag_empty_renders": q(
@@ -375,6 +376,9 @@ ORACLES: dict[str, str] = {
     "upsert_index": q(
         f"select {META} from md union all select {META} from old "
         "where key not in (select key from md)", *MD, PRIOR, OLD),
+    "compact_index": q(
+        f"select {META} from md union all select {META.replace('error', chr(39) + 'stale' + chr(39) + ' as error')} "
+        "from old where key not in (select key from md)", *MD, PRIOR, OLD),
     "write_run": q(
         """select 'pages' as name, rel_key as key, sha256(string_agg(
             pos || '|' || page_no || '|' || text, chr(10) order by pos)) as digest from lp group by rel_key
@@ -420,15 +424,15 @@ ORACLES: dict[str, str] = {
               or e.status <> m.status then 'different' end as problem
         from (select rel_key, case when conv_id % 11 <> 0 then page_count end as pages,
                 case when conv_id % 10 = 3 then 'failed' else 'completed' end as status
-              from f where conv_id % 7 <> 0) e
-        full join (select key as rel_key, pages, status from md where key not like 'd4/%') m
+              from f where conv_id % 17 <> 3) e
+        full join (select key as rel_key, pages, status from md where key not like 'd4/%7.pdf') m
           using (rel_key)) where problem is not null""", *MD),
     "figure_diff": q(
         """select rel_key, figure_no::bigint as figure_no, expected_page::bigint as expected_page,
           actual_page::bigint as actual_page
         from (select rel_key, 2 * i + j as figure_no, turn + 1 as expected_page
               from (select *, row_number() over (partition by rel_key order by turn) - 1 as i
-                    from t where role = 'assistant' and cls in (0, 1, 5)), (values (1), (2)) v(j)) e
+                    from t where role = 'assistant' and cls not in (3, 6, 8, 9)), (values (1), (2)) v(j)) e
         full join (select rel_key, figure_no, page_no as actual_page from g where saved) a
           using (rel_key, figure_no)
         where expected_page is distinct from actual_page""", *FG),
@@ -438,8 +442,15 @@ ORACLES: dict[str, str] = {
         """select * from (select key, case when m.status is null then 'no metadata'
             when i.status is null then 'not in index'
             when i.status <> m.status or i.checksum <> m.checksum then 'different' end as problem
-          from spoiled i full join (select * from md where key not like 'd2/%0.pdf') m using (key))
+          from (select * from spoiled where key not like 'd1/%3.pdf') i full join (select * from md where key not like 'd2/%0.pdf') m using (key))
         where problem is not null""", *MD, SPOILED),
+    "planned_collisions": q(
+        """select rel_key, case when conv_id % 8 = 0 then 'skip' else 'convert' end as action,
+            case when conv_id % 8 = 4 then 'output path belongs to '
+              || regexp_replace(rel_key, 'pdf$', 'PDF') end as path_error from f
+        union all select regexp_replace(rel_key, 'pdf$', 'PDF'), 'convert',
+            case when conv_id % 8 = 0 then 'output path belongs to ' || rel_key end
+        from f where conv_id % 4 = 0"""),
     "path_collisions": q(
         """select output_path, 2::bigint as documents,
           regexp_replace(rel_key, 'pdf$', 'PDF') as first_key, rel_key as last_key
