@@ -1,10 +1,10 @@
 """Homomorphic multiset fingerprints: sums of wide vectors hashed from paragraphs.
 
 A paragraph is what stands between two line ends. Its vector has 16 lanes of 64
-bits, hashed from its bytes, and 256 lanes of 16 bits, into which each of its
+bits, hashed from its bytes, and 256 lanes of 32 bits, into which each of its
 words is hashed together with the word ahead of it, as +1 or -1. A text's
 fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**64 and
-2**16. So the order of paragraphs doesn't matter, and a paragraph is inserted or
+2**32, which no pair of words reaches in a text of less than 2**31 words. So the order of paragraphs doesn't matter, and a paragraph is inserted or
 deleted by adding or subtracting its vector.
 
 Texts with the same paragraphs have equal fingerprints; others differ but for
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def fingerprint(text: str) -> Fingerprint:
     digests = b"".join(hashlib.shake_128(p).digest(WIDE * 8) for p in data.split(b"\n"))
     wide = np.frombuffer(digests, "<u8").reshape(-1, WIDE).sum(axis=0, dtype=np.uint64)
     h, starts, _ = words(data)
-    small = np.zeros(SMALL, np.uint16)
+    small = np.zeros(SMALL, np.uint32)
     if len(h):
         line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
         ahead = np.zeros_like(h)
@@ -44,7 +45,7 @@ def fingerprint(text: str) -> Fingerprint:
         f = mixed(h * _PAIR + ahead)
         sign = 1 - 2 * ((f >> np.uint64(8)) & np.uint64(1)).astype(np.int64)
         lanes = np.bincount((f & np.uint64(SMALL - 1)).astype(np.int64), sign, SMALL)
-        small = lanes.astype(np.int64).astype(np.uint16)
+        small = lanes.astype(np.int64).astype(np.uint32)
     return wide, small
 
 
@@ -62,18 +63,18 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """1 for equal fingerprints, about the shared part of the words for others, 0 for none."""
     if np.array_equal(a[0], b[0]):
         return 1.0
-    square = lambda x: float((x.view(np.int16).astype(np.float64) ** 2).sum())
+    square = lambda x: float((x.view(np.int32).astype(np.float64) ** 2).sum())
     both = square(a[1]) + square(b[1])
     return min(1.0, max(0.0, 1.0 - square(a[1] - b[1]) / both)) if both else 0.0
 
 
 def printed(f: Fingerprint) -> str:
-    return base64.b64encode(f[0].astype("<u8").tobytes() + f[1].astype("<u2").tobytes()).decode()
+    return base64.b64encode(f[0].astype("<u8").tobytes() + f[1].astype("<u4").tobytes()).decode()
 
 
 def parsed(text: str) -> Fingerprint:
     data = base64.b64decode(text)
-    return (np.frombuffer(data[: WIDE * 8], "<u8"), np.frombuffer(data[WIDE * 8 :], "<u2"))
+    return (np.frombuffer(data[: WIDE * 8], "<u8"), np.frombuffer(data[WIDE * 8 :], "<u4"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -89,34 +90,72 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return text_rows(docs).mapInArrow(each, "doc_id bigint, fingerprint string")
 
 
+_LAST = -(1 << 63)
+_TOP = (1 << 63) - 1
+
+
+def _cuts(keys: DataFrame, n: int) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+    """Keys (id, hash) that end ``n`` ranges or so, the lowest first, and the highest key.
+
+    A hash of ``_TOP`` stands for all rows of its id. An id that fills several
+    ranges is cut at hashes of its texts, which are spread evenly.
+    """
+    steps = ", ".join(f"{i / n}D" for i in range(1, n))
+    bounds = f"percentile_approx(_id, array({steps}), {max(10_000, 20 * n)})" if n > 1 else "array()"
+    ids, top = keys.selectExpr(bounds, "max(_id)").first()
+    if top is None:
+        return [], None
+    times = Counter(ids or [])
+    heavy = sorted(c for c, k in times.items() if k > 1)
+    cuts = [(c, _TOP) for c in times if c not in heavy and c < top]
+    last = top, _TOP
+    # Cuts inside an id are keys of its rows: the highest one up to each step of the hash.
+    wanted = [
+        (c, -(1 << 63) + (j << 64) // (times[c] + 1) if j <= times[c] else _TOP)
+        for c in heavy for j in range(1, times[c] + 2)
+    ]
+    if wanted:
+        found = keys.selectExpr(
+            *(f"max(_hash) filter (where _id = {c}L and _hash <= {h}L) as c{i}"
+              .replace(f"{_LAST}L", "(-9223372036854775807L - 1L)")
+              for i, (c, h) in enumerate(wanted))
+        ).first()
+        inside = {(c, h) for (c, _), h in zip(wanted, found, strict=True) if h is not None}
+        if top in heavy:
+            last = max(x for x in inside if x[0] == top)
+            inside.discard(last)
+        cuts += inside
+    return sorted(cuts), last
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``part, guest, doc_id, text``: ranges of ids, one to a partition, from the highest id down.
+    """``part, guest, doc_id, text``: ranges of rows, one to a partition, from the highest id down.
 
     A range ends with a ``guest``: the first row of the range below it, or of
     all rows for the lowest range. So each row's successor, around the end, is
     the row after it in the same partition, and texts are shuffled once. Rows
-    with equal ids are in the order of their texts, nulls come last.
+    with equal ids are in the order of a hash of their texts, rows without an id
+    come last; either may fill many ranges, equal texts of one id stay in one.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = ", ".join(f"{i / n}D" for i in range(1, n))
-    bounds = f"percentile_approx(doc_id, array({steps}), {max(10_000, 20 * n)})" if n > 1 else "array()"
-    ids = docs.select(F.col("doc_id").cast("bigint"))
-    cuts, top = ids.selectExpr(bounds, "max(doc_id)").first()
-    cuts = sorted({c for c in cuts or [] if c is not None and c < top})
-    rows = text_rows(docs)
-    array = f"array({', '.join(f'{c}L' for c in cuts)})" if cuts else "array(0L)"
-    below = f"size(filter({array}, c -> c < doc_id))" if cuts else "0"
-    last = f"{top}L" if top is not None else "cast(null as bigint)"
+    long = lambda x: f"{x}L" if x > _LAST else "(-9223372036854775807L - 1L)"
+    keyed = text_rows(docs).selectExpr(
+        "doc_id", "text", f"coalesce(doc_id, {long(_LAST)}) as _id",
+        "xxhash64(coalesce(text, '')) as _hash",
+    )
+    cuts, last = _cuts(keyed.select("_id", "_hash"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pair = lambda c: f"struct({long(c[0])} as c, {long(c[1])} as h)"
+    array = f"filter(array({', '.join(map(pair, cuts or [(0, 0)]))}), x -> {bool(cuts)})"
+    below = f"size(filter({array}, x -> x.c < _id or (x.c = _id and x.h < _hash)))"
+    at = lambda x: f"({x}.c = _id and ({x}.h = {_TOP}L or {x}.h = _hash))"
     homes = f"""array_compact(array(
-        struct(coalesce({below}, 0) as part, false as guest),
-        if(array_contains({array}, doc_id) and {bool(cuts)},
-           struct(coalesce({below}, 0) + 1 as part, true as guest), null),
-        if(doc_id <=> {last}, struct(0 as part, true as guest), null)))"""
-    placed = rows.selectExpr(f"inline({homes})", "doc_id", "text")
+        struct({below} as part, false as guest),
+        if(exists({array}, x -> {at("x")}), struct({below} + 1 as part, true as guest), null),
+        if({at(pair(last)) if last else "false"}, struct(0 as part, true as guest), null)))"""
+    placed = keyed.selectExpr(f"inline({homes})", "doc_id", "text", "_id", "_hash")
     dealt = placed.repartitionById(len(cuts) + 1, F.col("part"))
     return dealt.sortWithinPartitions(
-        "guest", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")
+        "guest", F.desc("_id"), F.desc("_hash"), F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")
     )
 
 
@@ -129,8 +168,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.
 
-    A null text is empty. Rows with equal ids follow each other by text, rows
-    without an id come last; each row gets a row. A single row is its own next
+    A null text is empty. Rows with equal ids follow each other by a hash of
+    their text, rows without an id come last; each row gets a row. A single row is its own next
     document. Other columns are not looked at; an empty table gives an empty one.
     """
 

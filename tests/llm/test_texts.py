@@ -7,7 +7,9 @@ import itertools
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -108,25 +110,63 @@ def test_fingerprints_are_sums_of_paragraphs():
     assert fingerprints.likeness(f(""), f("")) == 1.0
 
 
-def test_edited_fingerprints(spark, odd, none):
-    got = fingerprints.edited_fingerprints(odd).collect()
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
-    rows = sorted(odd_rows(), key=key, reverse=True)
+def text_hash(text):
+    unsigned = xxhash.xxh64((text or "").encode(), seed=42).intdigest()
+    return unsigned - (1 << 64) if unsigned >> 63 else unsigned
+
+
+def edited(rows):
+    """The rows of ``edited_fingerprints`` in plain Python."""
+    low = -(1 << 63)
+    key = lambda r: (low if r[0] is None else r[0], text_hash(r[1]), r[0] is not None, r[1] is not None)
+    rows = sorted(rows, key=key, reverse=True)
     want = []
     for row, after in zip(rows, rows[1:] + rows[:1], strict=True):
         text, other = row[1] or "", after[1] or ""
         half = len(text) // 2
-        edited = text[: len(text) - half] + other[:half]
-        f, g, n = map(fingerprints.fingerprint, (text, edited, other))
-        want.append((row[0], len(text), sha(edited), fingerprints.printed(f),
+        changed = text[: len(text) - half] + other[:half]
+        f, g, n = map(fingerprints.fingerprint, (text, changed, other))
+        want.append((row[0], len(text), sha(changed), fingerprints.printed(f),
                      fingerprints.printed(g), fingerprints.likeness(f, g), fingerprints.likeness(f, n)))
-    assert unordered(got) == unordered(want)
+    return want
+
+
+def test_edited_fingerprints(spark, odd, none):
+    got = fingerprints.edited_fingerprints(odd).collect()
+    assert unordered(got) == unordered(edited(odd_rows()))
     assert fingerprints.edited_fingerprints(none).count() == 0
     for n in (1, 2):
         few = spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id long, text string")
         assert fingerprints.edited_fingerprints(few).count() == n
 
 
+@pytest.mark.parametrize("shared", [None, 0, 5000, -(1 << 63)])
+def test_an_id_of_many_rows_fills_many_ranges(spark, shared):
+    """A third of the rows share an id, or have none, and no task gets them all."""
+    rows = [(shared if i % 3 == 0 else i, f"text number {i} of them") for i in range(1500)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        sizes = [len(p) for p in fingerprints.with_next(docs).rdd.glom().collect()]
+        assert max(sizes) < 3 * 1500 / 12
+        assert unordered(fingerprints.edited_fingerprints(docs).collect()) == unordered(edited(rows + rows[:9]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_likeness_of_texts_with_a_pair_very_often():
+    f = fingerprints.fingerprint
+    assert fingerprints.likeness(f("alpha " * 65_537), f("alpha " * 65_540)) > 0.999
+    assert fingerprints.likeness(f("alpha " * 30_000), f("alpha " * 15_000)) > 0.5
+
+
+def test_fingerprints_of_every_row(odd, none):
+    want = [(r[0], fingerprints.printed(fingerprints.fingerprint(r[1] or ""))) for r in odd_rows()]
+    assert unordered(fingerprints.fingerprints(odd).collect()) == unordered(want)
+    assert fingerprints.fingerprints(none).count() == 0
+
+
 def test_words_of_long_texts_in_blocks(monkeypatch):
     text = ("word " * 20 + "x" * 300 + "\n\tÉnd ").encode() * 20
     whole = hashing.words(text)
