@@ -239,8 +239,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     ``vocabulary`` is a file of lines 'base64 rank' with all 256 bytes, of at
     most 64 MiB; ``pattern`` cuts texts into words. Special strings are text. A
-    null text is empty: no ids. A row for each row of ``docs``, null and
-    repeated ids included; other columns are not looked at.
+    null text is empty: no ids. No match of ``pattern`` may begin ahead of a blank
+    that stands between two other characters and end behind it. A row for each
+    row of ``docs``, null and repeated ids included; other columns are not looked
+    at.
     """
     data = _vocabulary(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(data)

@@ -463,7 +463,9 @@ def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     The row with the smallest ``doc_id`` stays, and of equal ones that with the
     smallest text hash; a row without an id only where none of its component has
     one. Of repeated rows, which agree in both, the one whose other columns have
-    the smallest hash stays. Rows without words link with nothing and all stay.
+    the smallest hash stays. Rows without words, a null text among them, link
+    with nothing and all stay. Other columns, whatever their names and types, go
+    along; an empty table gives an empty one.
     """
     sets = written(shingle_sets(docs, k, keyed=True), "jaccard-sets")
     n_docs, n_shingles = sets.selectExpr("count(*)", "coalesce(sum(n_shingles), 0)").first()

@@ -222,7 +222,13 @@ def _numbered(placed: DataFrame, seed: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, target: Target | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture has them, in its order."""
+    """The rows of ``docs`` as often as the mixture has them, in its order.
+
+    Rows that agree in ``doc_id``, ``source`` and text come as often each. Null
+    ids, sources and texts are values like others; rows without words come at
+    least once. Other columns go along, whatever their names; an empty table
+    gives an empty one.
+    """
     places = mixed(docs, target).selectExpr(
         "doc_id as _id", "source as _source", "text_hash as _hash", "block", "position"
     )

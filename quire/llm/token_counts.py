@@ -27,6 +27,8 @@ _LOADED: dict[str, tuple] = {}
 def safe_pieces(text: str, specials: tuple[str, ...] = ()) -> list[str]:
     """The text cut at every safe boundary; whole if a special string is in it.
 
+    A text without blanks has no safe boundary and stays whole as well.
+
     White space ahead of a special string ends there as it does at a text's end,
     so blanks that are safe elsewhere are not beside it.
     """
@@ -117,14 +119,15 @@ def count_tokens(
 
 
 def balanced(pieces: list[str], size: int) -> Iterator[list[str]]:
-    """The pieces in batches of about ``size`` characters, each of at least one piece."""
+    """The pieces in batches of about ``size`` bytes, each of at least one piece."""
     batch: list[str] = []
     weight = 0
     for piece in pieces:
-        if batch and weight + len(piece) > size:
+        own = len(piece) if piece.isascii() else len(piece.encode())
+        if batch and weight + own > size:
             yield batch
             batch, weight = [], 0
         batch.append(piece)
-        weight += len(piece)
+        weight += own
     if batch:
         yield batch
