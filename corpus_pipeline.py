@@ -43,10 +43,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    # The workers have run the stages before this one and have less room than fresh ones.
-    return bpe.round_trip(
-        docs, vocabulary, public_tokenizers.PATTERN, corpus_bytes=2 << 20, remembered=150_000
-    )
+    return bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -58,7 +55,7 @@ STAGES = [
 ]
 
 # The first stage's thresholds come from quantile sketches, the last stage is no SQL:
-# tests/llm/test_models.py runs every stage instead, line dedup and BPE against plain Python.
+# tests/llm/test_models.py holds every stage against plain Python instead.
 ORACLE_SQL = None
 
 
