@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 
 from quire.functions.page_specs import parse_literal
 from quire.sources.files import MAX_FILE_MB
+from quire.sources.remote import content_writer
 from quire.sources.ship import ship
 from quire.sources.spread import dealt, dealt_by_weight
 
-RENDERS = (
-    "rel_key string, markdown string, error string, page_count bigint, "
-    "images array<struct<key:string,mode:string,has_transparency:boolean,png:binary>>, "
-    "checksum string, processing_time double"
-)
+def renders_schema(png: str = "binary") -> str:
+    """Columns of renders; ``png`` is binary, or string for files that lie beside the rows."""
+    return (
+        "rel_key string, markdown string, error string, page_count bigint, "
+        f"images array<struct<key:string,mode:string,has_transparency:boolean,png:{png}>>, "
+        "checksum string, processing_time double"
+    )
+
+
+RENDERS = renders_schema()
 
 IMAGE_FIELDS = ("key", "mode", "has_transparency", "png")
 
@@ -51,10 +58,13 @@ class RunOptions:
 
 @dataclass
 class Render:
-    """What a converter returns. ``images``: (key, mode, has_transparency, png or None)."""
+    """What a converter returns. ``images``: (key, mode, has_transparency, png or None).
+
+    Images may come from a generator: they are taken one by one.
+    """
 
     markdown: str | None
-    images: list[tuple[str, str | None, bool, bytes | None]] | tuple = ()
+    images: Iterable[tuple[str, str | None, bool, bytes | None]] = ()
     page_count: int | None = None
 
 
@@ -64,6 +74,8 @@ def convert(
     options: RunOptions | None = None,
     tasks: int | None = None,
     weight: str | None = None,
+    profile: ResourceProfile | None = None,
+    image_root: str | None = None,
 ) -> DataFrame:
     """Apply a converter to every file; one render row per file, failed ones included.
 
@@ -73,7 +85,12 @@ def convert(
     converter gets the columns of its file as a dict, reads ``path`` by itself,
     and marks where pages begin. Files are few and costly: they are dealt evenly
     over ``tasks`` partitions, by number or by ``weight``, SQL for what a file
-    costs.
+    costs. ``profile`` says what a task of this stage needs (memory, GPUs, cores);
+    the other stages keep what the session has.
+
+    With ``image_root`` a PNG is written below it, under the hash of its bytes,
+    as soon as the converter hands it out, and the row has its path instead:
+    rows then stay small however many pictures a document has.
     """
     told = options or RunOptions()
     spark = files.sparkSession
@@ -86,6 +103,7 @@ def convert(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         converter = None
+        keep = content_writer(image_root) if image_root else None
         rows: list[dict[str, Any]] = []
         size = 0
         for batch in batches:
@@ -97,7 +115,7 @@ def convert(
                         converter = converter_factory(told)
                         start = time.perf_counter()
                     try:
-                        size += _fill(row, converter(doc))
+                        size += _fill(row, converter(doc), keep)
                     except Exception as e:
                         row["error"] = str(e) or type(e).__name__
                 row["processing_time"] = time.perf_counter() - start
@@ -112,7 +130,8 @@ def convert(
         spread = dealt(files, "rel_key", tasks)
     else:
         spread = dealt_by_weight(files, "rel_key", weight, lambda n, total: tasks)
-    return spread.mapInPandas(run, RENDERS)
+    schema = renders_schema("string" if image_root else "binary")
+    return spread.mapInPandas(run, schema, profile=profile)
 
 
 def _untouched(doc: dict[str, Any]) -> dict[str, Any]:
@@ -128,9 +147,14 @@ def _untouched(doc: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def _fill(row: dict[str, Any], made: Render) -> int:
+def _fill(row: dict[str, Any], made: Render, keep: Callable[[bytes], str] | None) -> int:
     """Take over what the converter returned; its size in bytes, roughly."""
-    images = [dict(zip(IMAGE_FIELDS, i, strict=True)) for i in made.images]
+    images = []
+    for given in made.images:
+        image = dict(zip(IMAGE_FIELDS, given, strict=True))
+        if keep is not None and image["png"] is not None:
+            image["png"] = keep(image["png"])
+        images.append(image)
     row["markdown"], row["images"] = made.markdown, images
     if made.page_count is not None:
         row["page_count"] = made.page_count

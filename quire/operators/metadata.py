@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import literal
@@ -82,6 +82,13 @@ def run_outcome(results: DataFrame) -> DataFrame:
     return counts.selectExpr("*", "if(failed + partial > 0, 1L, 0L) as exit_code")
 
 
+def outcome_of(spark: SparkSession, completed: int, partial: int, failed: int) -> DataFrame:
+    """The row of ``run_outcome`` from counts that are known."""
+    total, code = completed + partial + failed, int(failed + partial > 0)
+    names = "completed bigint, partial bigint, failed bigint, total bigint, exit_code bigint"
+    return spark.createDataFrame([(completed, partial, failed, total, code)], names)
+
+
 def written_outputs(results: DataFrame) -> DataFrame:
     """Body paths of all documents that did not fail, cached ones included."""
     return results.where("status <> 'failed'").select("rel_key", "output_path")

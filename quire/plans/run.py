@@ -7,11 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.convert import RunOptions, convert
-from quire.operators.metadata import doc_metadata, run_outcome, written_outputs
+from quire.operators.metadata import doc_metadata, outcome_of, written_outputs
 from quire.operators.inventory import inventory, inventory_totals
 from quire.operators.resume import (
     cached_outcomes,
@@ -43,6 +44,21 @@ BYTES_PER_TASK = 2 << 30
 COST = "coalesce(page_count * 1e5D, size_bytes, 0) + 1e5D"
 
 
+STATUSES = ("completed", "partial", "failed")
+#: What is counted while the plan is written, and while the documents are.
+PLANNED = {
+    "todo": "count_if(action = 'convert' and path_error is null)",
+    "todo_bytes": "sum(if(action = 'convert' and path_error is null, size_bytes, 0))",
+    "skipped": "count_if(action = 'skip')",
+    "refused": "count_if(path_error is not null)",
+}
+SPENT = {
+    "seconds": "sum(processing_time)",
+    "pages": "sum(cast(recovered as bigint))",
+    "figures": "sum(cast(size(pngs) as bigint))",
+}
+
+
 def _tasks(spark: SparkSession, documents_to_do: int, size: int) -> int:
     """Enough tasks to use every core, and no task too long."""
     cores = spark.sparkContext.defaultParallelism
@@ -54,7 +70,8 @@ def _tasks(spark: SparkSession, documents_to_do: int, size: int) -> int:
 class RunReport:
     """What a run did. ``outcome`` is one row; ``outputs`` one row per usable body.
 
-    ``outputs`` has ``output_path`` below the root and ``path`` in full.
+    ``outputs`` has ``output_path`` below the root and ``path`` in full; ``spent``
+    the seconds of conversion, the pages and the figures of the run's documents.
     """
 
     outcome: DataFrame
@@ -62,6 +79,7 @@ class RunReport:
     metadata: DataFrame
     output_root: str
     run_dir: str
+    spent: dict[str, float]
 
 
 def fingerprint_options(spark: SparkSession, options: RunOptions) -> str:
@@ -80,6 +98,7 @@ def run(
     export: bool = True,
     listing: DataFrame | None = None,
     collation: str | None = None,
+    profile: ResourceProfile | None = None,
 ) -> RunReport:
     """Convert what is new or changed below ``input_path`` (a folder or one file).
 
@@ -89,7 +108,9 @@ def run(
 
     Of documents whose outputs would have one path (under ``collation``, if the
     store has such) one is converted; the others fail, with a message, and have
-    no output.
+    no output. ``profile`` is for the converting stage alone.
+
+    Counts are observed while tables are written; nothing is read to count it.
 
     The plan and the converted documents are written before anything reads
     them again: neither is a file hashed twice nor a document converted twice,
@@ -114,13 +135,24 @@ def run(
         existing = with_existence(existing, root)
     planned = plan_run(files, index, fingerprint, existing, reprocess)
     planned = planned_collisions(planned, collation)
-    planned.write.mode("overwrite").parquet(f"{run_dir}/plan")
+    seen = Observation("plan")
+    observed = planned.observe(
+        seen, *(F.expr(f"{x} as {name}") for name, x in PLANNED.items())
+    )
+    observed.write.mode("overwrite").parquet(f"{run_dir}/plan")
     plan = spark.read.parquet(f"{run_dir}/plan")
 
     todo = plan.where("action = 'convert' and path_error is null")
-    n, size = todo.selectExpr("count(*)", "coalesce(sum(size_bytes), 0)").first()
-    renders = convert(todo, converter_factory, options, _tasks(spark, n, size), COST)
-    documents(renders, options.pages).write.mode("overwrite").parquet(f"{run_dir}/documents")
+    counts = seen.get
+    tasks = _tasks(spark, counts["todo"] or 0, counts["todo_bytes"] or 0)
+    images = f"{run_dir}/images"
+    renders = convert(todo, converter_factory, options, tasks, COST, profile, images)
+    made = Observation("documents")
+    of_status = {s: f"count_if(status = '{s}')" for s in STATUSES}
+    judged = documents(renders, options.pages).observe(
+        made, *(F.expr(f"{x} as {name}") for name, x in {**of_status, **SPENT}.items())
+    )
+    judged.write.mode("overwrite").parquet(f"{run_dir}/documents")
     docs = spark.read.parquet(f"{run_dir}/documents")
     of_run = (options.model, options.backend, fingerprint)
     refused = plan.where("path_error is not null").selectExpr(
@@ -137,7 +169,12 @@ def run(
     fresh = metadata.selectExpr("key as rel_key", "status", "output_path")
     results = fresh.unionByName(cached_outcomes(plan))
     outputs = written_outputs(results).withColumn("path", F.concat(F.lit(f"{root}/"), "output_path"))
-    return RunReport(run_outcome(results), outputs, metadata, root, run_dir)
+    done = {s: made.get[s] or 0 for s in STATUSES}
+    done["completed"] += counts["skipped"] or 0
+    done["failed"] += counts["refused"] or 0
+    spent = {name: made.get[name] or 0 for name in SPENT}
+    outcome = outcome_of(spark, **done)
+    return RunReport(outcome, outputs, metadata, root, run_dir, spent)
 
 
 def preview(

@@ -97,9 +97,13 @@ def size_gate(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+def list_files(
+    spark: SparkSession, root: str, skip: str | None = None, exts: Iterable[str] | None = None
+) -> DataFrame:
     """Every file below ``root`` (or the one file ``root``): path, size_bytes, modified.
 
+    With ``exts`` only files with one of these extensions.
+
     Unlike a file scan this sees empty files and names starting with '.' or
     '_', never enters the folder ``skip``, and keeps no listing on the driver:
     each level of folders is listed by tasks and written down.
@@ -113,7 +117,7 @@ def list_files(spark: SparkSession, root: str, skip: str | None = None) -> DataF
     folders = spark.createDataFrame([(root,)], "path string")
     levels = []
     while True:
-        level = checkpointed(list_folders(folders))
+        level = checkpointed(list_folders(folders, EXTENSION if exts else None, exts or ()))
         levels.append(level.where("not is_dir").drop("is_dir"))
         folders = level.where("is_dir")
         if skip is not None:
@@ -159,4 +163,4 @@ def discover_files(
     top = qualified(spark, root)
     base = top.rsplit("/", 1)[0] if single else top
     out = qualified(spark, output_root) if output_root else f"{base}/{OUTPUT_FOLDER}"
-    return select_inputs(list_files(spark, top, out), base, out, exts)
+    return select_inputs(list_files(spark, top, out, exts), base, out, exts)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,29 +82,78 @@ def with_file_checksum(files: DataFrame) -> DataFrame:
 
 
 LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"
+#: Entries of a folder that are held at a time.
+PAGE_ENTRIES = 10_000
 
+Entry = tuple[str, bool, int, int | None]
 
-def list_folders(folders: DataFrame) -> DataFrame:
-    """Entries of every folder (column ``path``), listed inside the tasks."""
+
+def entries(uri: str) -> Iterator[Entry]:
+    """Name, whether it is a folder, size and time of change (microseconds) of a folder's entries.
+
+    Entries of a local or mounted folder come one by one, as the system reads
+    them; other stores' clients give a folder at once.
+    """
+    from pyarrow import fs
+
+    store, base = locate(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        try:
+            with os.scandir(base or "/") as found:
+                for e in found:
+                    try:
+                        folder, seen = e.is_dir(), e.stat()
+                    except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                        continue
+                    yield e.name, folder, 0 if folder else seen.st_size, seen.st_mtime_ns // 1000
+        except FileNotFoundError:
+            return
+        return
+    for i in store.get_file_info(fs.FileSelector(base or "/", allow_not_found=True)):
+        seen = i.mtime_ns // 1000 if i.mtime_ns else None
+        yield i.base_name, i.type == fs.FileType.Directory, i.size or 0, seen
+
+
+def entry_pages(uri: str, extension: str | None, exts: Iterable[str]) -> Iterator[list[Entry]]:
+    """The folders and the files with one of the extensions (all without a pattern), page by page.
+
+    ``extension`` is the pattern whose first group is a path's extension.
+    """
+    known, page = {e.lower() for e in exts}, []
+    for entry in entries(uri):
+        if extension and not entry[1]:
+            found = re.search(extension, f"/{entry[0]}")
+            if found is None or found[1].lower() not in known:
+                continue
+        page.append(entry)
+        if len(page) == PAGE_ENTRIES:
+            yield page
+            page = []
+    if page:
+        yield page
+
+
+def list_folders(folders: DataFrame, extension: str | None = None, exts: Iterable[str] = ()) -> DataFrame:
+    """Entries of every folder (column ``path``), listed inside the tasks.
+
+    With ``extension`` files of other extensions than ``exts`` don't leave the task.
+    """
     ship(folders.sparkSession)
+    wanted = tuple(exts)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             for uri in batch["path"]:
-                store, base = locate(uri)
-                infos = store.get_file_info(fs.FileSelector(base or "/", allow_not_found=True))
-                for at in range(0, len(infos), 10_000):
-                    some = infos[at : at + 10_000]
+                for page in entry_pages(uri, extension, wanted):
+                    names, is_dir, sizes, seen = zip(*page, strict=True)
                     yield pd.DataFrame(
                         {
-                            "path": [f"{uri}/{i.base_name}" for i in some],
-                            "is_dir": [i.type == fs.FileType.Directory for i in some],
-                            "size_bytes": [i.size or 0 for i in some],
-                            "modified": [i.mtime for i in some],
+                            "path": [f"{uri}/{name}" for name in names],
+                            "is_dir": is_dir,
+                            "size_bytes": sizes,
+                            "modified": pd.Series(np.array(seen, "datetime64[us]")).dt.tz_localize("UTC"),
                         }
-                    ).astype({"modified": "datetime64[ns, UTC]"})
+                    )
 
     return folders.select("path").mapInPandas(listed, LISTING)
 
@@ -120,13 +171,38 @@ def with_existence(rows: DataFrame, root: str, path: str = "output_path") -> Dat
     return rows.where(there(path))
 
 
+def content_writer(root: str) -> Callable[[bytes], str]:
+    """A function that stores bytes below ``root`` under their hash and returns the file's URI."""
+    from pyarrow import fs
+
+    store, base = locate(root)
+    whole = store.type_name in OBJECT_STORES
+
+    def keep(data: bytes) -> str:
+        name = hashlib.sha256(data).hexdigest()
+        folder, path = f"{base}/{name[:2]}", f"{base}/{name[:2]}/{name}.png"
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            if not whole:
+                store.create_dir(folder, recursive=True)
+            draft = path if whole else f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as stream:
+                stream.write(data)
+            if not whole:
+                store.move(draft, path)
+        return f"{root}/{name[:2]}/{name}.png"
+
+    return keep
+
+
 def write_files(files: DataFrame, root: str) -> int:
-    """Write rows (path, data binary) below ``root`` from the tasks; returns their number.
+    """Write rows (path, data) below ``root`` from the tasks; returns their number.
 
-    Every file appears under its name only when complete, so a repeated task
-    replaces it by the same bytes.
+    ``data`` is the file's bytes, or in a column named ``source`` instead the URI
+    of a file of the same store to copy. Every file appears under its name only
+    when complete, so a repeated task replaces it by the same bytes.
     """
     ship(files.sparkSession)
+    copied = "source" in files.columns
 
     def store_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = locate(root)
@@ -134,18 +210,22 @@ def write_files(files: DataFrame, root: str) -> int:
         whole = store.type_name in OBJECT_STORES
         folder = None
         for batch in batches:
-            for path, data in zip(batch["path"], batch["data"], strict=True):
+            for path, data in zip(batch["path"], batch["source" if copied else "data"], strict=True):
                 target = f"{base}/{path}"
                 above, name = target.rsplit("/", 1)
                 if above != folder and not whole:
                     store.create_dir(above, recursive=True)
                     folder = above
                 draft = target if whole else f"{above}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(draft) as stream:
-                    stream.write(data)
+                if copied:
+                    store.copy_file(locate(data)[1], draft)
+                else:
+                    with store.open_output_stream(draft) as stream:
+                        stream.write(data)
                 if not whole:
                     store.move(draft, target)
             yield pd.DataFrame({"n": [len(batch)]})
 
-    rows = files.select("path", F.col("data").cast("binary").alias("data"))
+    data = F.col("source") if copied else F.col("data").cast("binary").alias("data")
+    rows = files.select("path", data)
     return rows.mapInPandas(store_batches, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType
 
 from quire.functions.page_text import FAILED_BODY, section
 from quire.functions.text import literal
@@ -58,9 +59,11 @@ def export_tree(docs: DataFrame, metadata: DataFrame, root: str) -> dict[str, in
     )
     # Saved figures stand first and in the order of their PNGs.
     links = "slice(figures.link, 1, size(pngs))"
-    pairs = f"zip_with({links}, pngs, (l, d) -> named_struct('link', l, 'data', d))"
+    beside = docs.schema["pngs"].dataType.elementType == StringType()  # paths instead of bytes
+    data = "source" if beside else "data"
+    pairs = f"zip_with({links}, pngs, (l, d) -> named_struct('link', l, '{data}', d))"
     images = docs.selectExpr("rel_key", f"inline({pairs})").selectExpr(
-        f"concat({output_folder('rel_key')}, '/', substring(link, 3)) as path", "data"
+        f"concat({output_folder('rel_key')}, '/', substring(link, 3)) as path", data
     )
     columns = ", ".join(metadata.columns)
     options = "map('ignoreNullFields', 'false', 'pretty', 'true')"

@@ -8,7 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as driver
-from quire.operators import audit, figures, pages, resume
+from quire.operators import audit, figures, pages, resume, selection
 from quire.operators.convert import convert
 from quire.plans.documents import document_figures, documents
 from tests.test_figures import RENDERS, image, renders
@@ -126,3 +126,28 @@ def test_done_documents_never_reach_the_converter(spark):
 def test_no_query_pairs_everything_with_everything(spark, name):
     plan = physical(driver.queries()[name](spark, SF_DIR))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_selections_meet_pages_as_ranges(spark, render_table):
+    """No id is unfolded, however many a selection names."""
+    specs = spark.createDataFrame(
+        [("a", "0-2000000000,5"), ("b", None), ("c", "x"), ("d", "1,3-4,8-9")], "rel_key string, spec string"
+    )
+    rows = [(k, n, n + 1, "t") for k in "abcde" for n in range(10)]
+    table = spark.createDataFrame(rows, "rel_key string, pos bigint, page_no bigint, text string")
+    made = selection.select_pages(table, specs)
+    assert "Generate" not in physical(made)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r.rel_key, []).append(r.page_no - 1)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a": list(range(10)), "b": list(range(10)), "d": [1, 3, 4, 8, 9]
+    }
+
+
+def test_pages_without_a_parenthesis_stay_where_they_are(spark, render_table):
+    figs = figures.figure_links(
+        figures.number_figures(figures.parse_figure_key(figures.explode_images(render_table)))
+    )
+    plan = figures.relink(pages.split_pages(render_table), figs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")

@@ -6,8 +6,13 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.resource import (
+    ExecutorResourceRequests,
+    ResourceProfileBuilder,
+    TaskResourceRequests,
+)
 
-from quire import Render, RunOptions, convert, preview, run
+from quire import Render, RunOptions, convert, documents, preview, run
 from quire.functions.page_text import FAILED_BODY
 from quire.operators.resume import planned_collisions
 from quire.plans.run import fingerprint_options
@@ -285,3 +290,61 @@ def test_a_preview_converts_nothing(spark, inputs):
     assert totals.first().files == 8 and not (inputs / "ocr").exists()
     with pytest.raises(ValueError):
         preview(spark, str(inputs / "nowhere"))
+
+
+def test_a_run_reads_nothing_to_count_it(spark, inputs):
+    """The outcome is known when the run returns: collecting it reads no table."""
+    report = run(spark, str(inputs), factory)
+    assert "Parquet" not in report.outcome._jdf.queryExecution().executedPlan().toString()
+    assert report.spent["pages"] == 7 and report.spent["figures"] == 3 and report.spent["seconds"] > 0
+    again = run(spark, str(inputs), factory)
+    assert outcome(again) == outcome(report) and again.spent["figures"] == 0
+    empty = inputs / "nothing"
+    empty.mkdir()
+    assert outcome(run(spark, str(empty), factory)) == (0, 0, 0, 0, 0)
+
+
+def test_the_converting_stage_has_a_profile_of_its_own(spark):
+    needs = ResourceProfileBuilder().require(
+        TaskResourceRequests().cpus(2).resource("gpu", 1)
+    ).require(ExecutorResourceRequests().cores(4).resource("gpu", 2)).build
+    files = spark.createDataFrame([("a", "a")], "rel_key string, path string")
+    made = documents(convert(files, factory, profile=needs))
+    nodes = [made._jdf.queryExecution().optimizedPlan()]
+    profiles = []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "MapInPandas":
+            profiles.append(node.profile().isDefined())
+    assert profiles == [True]
+    plain = documents(convert(files, factory))
+    assert "ResourceProfile" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pictures_lie_beside_the_rows(spark, inputs):
+    """No table holds a picture; they come from a generator and are copied when the tree is made."""
+
+    def drawing(told):
+        def converter(doc):
+            def pictures():
+                for i in range(30):
+                    yield f"_page_0_Figure_{i}.png", "RGB", False, bytes([i % 7]) * (1 << 20) if i != 5 else None
+                if doc["rel_key"] == "bad.pdf":
+                    raise RuntimeError("the last picture is broken")
+
+            return Render("![](_page_0_Figure_4.png)", pictures(), 1)
+
+        return converter
+
+    report = run(spark, str(inputs), drawing)
+    assert outcome(report) == (0, 7, 1, 8, 1)
+    made = spark.read.parquet(f"{report.run_dir}/documents")
+    assert "binary" not in made.schema.simpleString()
+    kept = list(Path(report.run_dir.removeprefix("file:")).glob("images/*/*.png"))
+    assert len(kept) == 7 and all(p.stat().st_size == 1 << 20 for p in kept)
+    for i, name in ((1, 0), (6, 6), (29, 1)):  # the sixth picture takes no number
+        png = inputs / f"ocr/lossy/figures/figure_{i}_page1.png"
+        assert png.read_bytes() == bytes([name]) * (1 << 20)
+    got = {r.key: r.error for r in report.metadata.collect()}
+    assert got["bad.pdf"] == "the last picture is broken" and "figure" in got["lossy.pdf"]

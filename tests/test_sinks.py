@@ -1,12 +1,20 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import pytest
 
 from quire.operators.metadata import doc_metadata
 from quire.operators.pages import assemble_body
 from quire.plans.documents import document_pages, documents
-from quire.sources.files import list_files
-from quire.sources.remote import SCHEMES, file_checksum, locate, with_file_checksum
+from quire.sources.files import EXTENSION, list_files
+from quire.sources.remote import (
+    SCHEMES,
+    entry_pages,
+    file_checksum,
+    locate,
+    with_file_checksum,
+)
 from quire.sources.scratch import scratch_root
 from quire.sources.sinks import document_bodies, export_tree
 from quire.sources.spread import dealt_by_weight
@@ -92,3 +100,32 @@ def test_scratch_folders_of_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scratch_root(Fake())
+
+
+def test_a_large_flat_folder_is_listed_page_by_page(tmp_path):
+    """No more than a page of entries is held, and names of other extensions don't count for one."""
+    for i in range(30_000):
+        (tmp_path / f"{'x' * 60}-{i}.{'PDF' if i % 3 else 'txt'}").touch()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".pdf").touch()
+    (tmp_path / "gone.pdf").symlink_to(tmp_path / "nowhere")
+    tracemalloc.start()
+    sizes, folders = [], 0
+    for page in entry_pages(f"file:{tmp_path}", EXTENSION, [".pdf"]):
+        sizes.append(len(page))
+        folders += sum(is_dir for _, is_dir, _, _ in page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [10_000, 10_000, 1] and folders == 1
+    assert peak < 10_000 * 1000
+    assert sum(map(len, entry_pages(f"file:{tmp_path}", None, ()))) == 30_002
+    assert list(entry_pages(f"file:{tmp_path}/nowhere", None, ())) == []
+
+
+def test_listing_leaves_other_extensions_in_the_task(spark, tmp_path):
+    for name in ("a.pdf", "b.txt", "s/c.PDF", "s/d", "s/.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = list_files(spark, f"file:{tmp_path}", exts=[".pdf"]).collect()
+    assert {r.path.rsplit("/", 1)[1] for r in found} == {"a.pdf", "c.PDF"}
+    assert all(r.size_bytes == 1 and r.modified.year >= 2024 for r in found)
