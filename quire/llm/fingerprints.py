@@ -4,8 +4,9 @@ A paragraph is what stands between two line ends. Its vector has 16 lanes of 64
 bits, hashed from its bytes, and 256 lanes of 32 bits, into which each of its
 words is hashed together with the word ahead of it, as +1 or -1. A text's
 fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**64 and
-2**32, which no pair of words reaches in a text of less than 2**31 words. So the order of paragraphs doesn't matter, and a paragraph is inserted or
-deleted by adding or subtracting its vector.
+2**32, which no pair of words reaches in a text of less than 2**31 words. So the
+order of paragraphs doesn't matter, and a paragraph is inserted or deleted by
+adding or subtracting its vector.
 
 Texts with the same paragraphs have equal fingerprints; others differ but for
 odds of 2**-64 or less. The small lanes keep the size of a difference: half the
