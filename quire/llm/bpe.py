@@ -26,8 +26,8 @@ from quire.llm.memory import Memory, uncollected
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bytes of text in one corpus, whose words and places are Python objects many times as
 #: large, and the chunks that a worker remembers: less of both is slower and smaller.
-CORPUS_BYTES = 8 << 20
-REMEMBERED = 300_000
+CORPUS_BYTES = 4 << 20
+REMEMBERED = 150_000
 #: The rank of a pair that has no union.
 NONE = (1 << 31) - 1
 _LOADED: dict[tuple, Encoding] = {}

@@ -43,8 +43,8 @@ from quire.llm.trie import linked, linked_across
 
 WORDS = 5
 PERCENT = 75
-#: Shingles of one counting task.
-RANGE_SHINGLES = 4_000_000
+#: Shingles of one counting task, which holds about a hundred bytes for each.
+RANGE_SHINGLES = 1_500_000
 #: Sets of one trie.
 BLOCK_SETS = 256
 #: A shingle counts as heavy from this part of all documents on.
