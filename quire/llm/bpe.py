@@ -2,9 +2,9 @@
 
 The distinct words of a batch form its corpus. An inverted index leads from each
 pair of neighbouring tokens, by the rank of their union, to the places where it
-stands; the ranks are taken in order, each one merges at its places, and only
-the pairs of the two neighbours of a merged place enter the index anew. A word
-that occurs a million times is merged once.
+stands; the ranks are taken in order, in waves in which each word merges at the
+places of its lowest rank, and only the pairs of the two neighbours of a merged
+place enter the index anew. A word that occurs a million times is merged once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,14 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: large, and the chunks that a worker remembers: less of both is slower and smaller.
 CORPUS_BYTES = 4 << 20
 REMEMBERED = 150_000
+#: Parts of the ranks in which merges are replayed, at most 256.
+WAVES = 64
 #: The rank of a pair that has no union.
 NONE = (1 << 31) - 1
 _LOADED: dict[tuple, Encoding] = {}
 
-# What is kept of a chunk: its ids in decimal, the bytes that they decode to, and their number.
-Entry = tuple[str, bytes, int]
+# What is kept of a chunk: its ids in decimal and the bytes that they decode to.
+Entry = tuple[str, bytes]
 
 # Places where a blank neither ends a word nor begins one, so that the text
 # can't be cut ahead of it: white space, or the end, on both sides.
@@ -46,6 +48,21 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
+def _filed(index: list[list[np.ndarray]], waves: np.ndarray, places: np.ndarray) -> None:
+    """Put each place into the index under its wave."""
+    order = np.argsort(waves, kind="stable")
+    waves, places = waves[order], places[order]
+    cuts = np.flatnonzero(np.append(True, waves[1:] != waves[:-1])) if len(waves) else []
+    for wave, part in zip(waves[cuts].tolist(), np.split(places, cuts[1:]), strict=False):
+        index[wave].append(part)
+
+
+def _ends(parts: list, more: int) -> np.ndarray:
+    """Where each part begins if all stand in a row with ``more`` characters between them, and the end."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + more
+    return np.append(0, np.cumsum(sizes))
+
+
 class Encoding:
     """Encoder and decoder of one vocabulary; the pattern cuts a text into words."""
 
@@ -68,7 +85,8 @@ class Encoding:
                     union[left << 32 | right] = rank
         self.pairs = np.array([-1, *sorted(union)], np.int64)
         # Tokens that have a union of a lower rank than their own with some other one.
-        self.risky = {t for pair, u in union.items() for t in (pair >> 32, pair & 0xFFFFFFFF) if u < t}
+        self.risky = np.zeros(self.n_ranks, bool)
+        self.risky[[t for pair, u in union.items() for t in (pair >> 32, pair & 0xFFFFFFFF) if u < t]] = True
         self.unions = np.array([NONE, *map(union.__getitem__, sorted(union))], np.int32)
         self.known = Memory(remembered)
 
@@ -81,14 +99,16 @@ class Encoding:
     def replay(self, words: list[bytes]) -> tuple[list[int], list[int]]:
         """Token ids of all words in a row, and where each word's begin (one more at the end).
 
-        All merges are applied in rank order over all words together. A merge
-        may bring up a pair of a lower rank, if the vocabulary has such; words
-        where it does are merged again by themselves, pair by pair.
+        All merges are applied in rank order over all words together: in waves of
+        neighbouring ranks, in which each word merges its lowest rank, then its
+        next one. A merge may bring up a pair of a lower rank, if the vocabulary
+        has such; words where it does are merged again by themselves, pair by pair.
         """
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         token = np.append(self.byte_ids[data], np.int32(-1))
         after = np.append(np.arange(1, n + 1), n).astype(np.int32)  # next of the same word, or n
         after[ends[sizes > 0] - 1] = n
@@ -96,56 +116,74 @@ class Encoding:
         before[(ends - sizes)[sizes > 0]] = n
         pair = np.full(n + 1, NONE, np.int32)  # rank of the pair that begins at a place
         pair[:n] = self._ranks(token[:n], token[after[:n]])
-        # The index: for each rank its first places in order, then those that came later.
-        order = np.argsort(pair[:n], kind="stable")
-        first = np.searchsorted(pair[order], np.arange(self.n_ranks + 1))
-        later: dict[int, list[int]] = {}
-        lower = [np.zeros(0, np.int64)]
-        for rank in range(self.n_ranks):
-            places = order[first[rank] : first[rank + 1]]
-            if rank in later:
-                places = np.unique(np.append(places, later.pop(rank)))
-            places = places[pair[places] == rank]  # a neighbour may have merged meanwhile
-            if not len(places):
-                continue
-            # Of overlapping pairs every other one merges, from the first on.
-            lap = np.append(False, after[places[:-1]] == places[1:])
-            if lap.any():
-                count = np.arange(len(places))
-                places = places[(count - np.maximum.accumulate(np.where(lap, 0, count))) % 2 == 0]
-            gone = after[places]
-            then = after[gone]
-            if rank in self.risky:  # would one of these merges bring up a lower pair by itself?
-                own = np.full(len(places), rank)
-                low = self._ranks(token[before[places]], own) < rank
-                lower.append(places[low | (self._ranks(own, token[then]) < rank)])
-            token[places], token[gone] = rank, -1
-            pair[gone] = NONE
-            after[places] = then
-            before[then] = places
-            ahead = before[places]
-            touched = np.append(places, ahead[ahead < n])
-            found = self._ranks(token[touched], token[after[touched]])
-            pair[touched] = found
-            known = found < NONE
-            touched, found = touched[known], found[known]
-            if len(found) and found.min() <= rank:
-                lower.append(touched[found <= rank])
-            for f, place in zip(found.tolist(), touched.tolist(), strict=True):
-                if f in later:
-                    later[f].append(place)
-                else:
-                    later[f] = [place]
+        lowest = np.full(len(words), NONE, np.int32)  # rank that a word merges next
+        # The index: for each wave its first places, then those that came later.
+        wave_of = self._waves(pair[:n])
+        index: list[list[np.ndarray]] = [[] for _ in range(int(wave_of[-1]) + 1)]
+        begun = np.flatnonzero(pair[:n] < NONE).astype(np.int32)
+        _filed(index, wave_of[pair[begun]], begun)
+        lower = [np.zeros(0, np.int32)]
+        for wave, found_places in enumerate(index):
+            while found_places:
+                places = np.sort(np.concatenate(found_places))
+                places = np.delete(places, np.flatnonzero(places[1:] == places[:-1]))
+                found_places.clear()
+                rank = pair[places]
+                due = rank < NONE  # a neighbour may have merged meanwhile
+                due[due] = wave_of[rank[due]] == wave
+                places, rank = places[due], rank[due]
+                if not len(places):
+                    continue
+                own = word[places]
+                np.minimum.at(lowest, own, rank)
+                now = rank == lowest[own]
+                lowest[own] = NONE
+                found_places.append(places[~now])
+                places, rank, own = places[now], rank[now], own[now]
+                # Of overlapping pairs every other one merges, from the first on.
+                lap = np.append(False, after[places[:-1]] == places[1:])
+                if lap.any():
+                    count = np.arange(len(places))
+                    odd = (count - np.maximum.accumulate(np.where(lap, 0, count))) % 2 == 0
+                    places, rank, own = places[odd], rank[odd], own[odd]
+                gone = after[places]
+                then = after[gone]
+                same = own[1:] == own[:-1]
+                if same.any():  # would one of a word's merges bring up a lower pair by itself?
+                    many = (np.append(False, same) | np.append(same, False)) & self.risky[rank]
+                    at, low = places[many], rank[many]
+                    up = self._ranks(token[before[at]], low) < low
+                    lower.append(at[up | (self._ranks(low, token[then[many]]) < low)])
+                token[places], token[gone] = rank, -1
+                pair[gone] = NONE
+                after[places] = then
+                before[then] = places
+                ahead = before[places]
+                inside = ahead < n
+                touched = np.append(places, ahead[inside])
+                found = self._ranks(token[touched], token[after[touched]])
+                pair[touched] = found
+                low = found <= np.append(rank, rank[inside])
+                if low.any():
+                    lower.append(touched[low])
+                known = (found < NONE) & ~low
+                _filed(index, wave_of[found[known]], touched[known])
         alive = token[:n] >= 0
         ids = token[:n][alive].tolist()
         upto = np.append(0, np.cumsum(alive))[np.append(0, ends)].tolist()
-        for i in np.unique(np.searchsorted(ends, np.concatenate(lower), "right"))[::-1].tolist():
-            own = self.one_by_one(words[i])
-            longer = len(own) - (upto[i + 1] - upto[i])
-            ids[upto[i] : upto[i + 1]] = own
+        for i in np.unique(word[np.concatenate(lower)])[::-1].tolist():
+            own_ids = self.one_by_one(words[i])
+            longer = len(own_ids) - (upto[i + 1] - upto[i])
+            ids[upto[i] : upto[i + 1]] = own_ids
             upto[i + 1 :] = [x + longer for x in upto[i + 1 :]]
         return ids, upto
 
+    def _waves(self, pair: np.ndarray) -> np.ndarray:
+        """For each rank its wave; all waves have about as many of the first places."""
+        counts = np.bincount(pair[pair < NONE], minlength=self.n_ranks) + 1
+        upto = np.cumsum(counts)
+        return ((upto - counts) * WAVES // upto[-1]).astype(np.uint8)
+
     def one_by_one(self, word: bytes) -> list[int]:
         """Token ids of a word, merging the first pair of the lowest rank again and again."""
         n = len(word)
@@ -175,45 +213,49 @@ class Encoding:
         return [first, *map(" ".__add__, rest)] if first else [" " + x for x in rest]
 
     def learn(self, chunks: set[str]) -> dict[str, Entry]:
-        """The entries of all these chunks; one replay for the new ones."""
+        """The entries of all these chunks; one replay for the words of new ones."""
         self.known.make_room()
-        cut = {c: self.split(c) for c in self.known.missing(chunks)}
-        of = self.of_words(list({w for ws in cut.values() for w in ws}))
+        new = self.known.missing(chunks)
+        cut = list(map(self.split, new))
+        of = self.of_words(list(set(chain.from_iterable(cut))))
         known = self.known.young
-        for c, ws in cut.items():
+        for c, ws in zip(new, cut, strict=True):
             if len(ws) == 1:
                 known[c] = of[ws[0]]
             else:
-                printed, back, n = zip(*[of[w] for w in ws], strict=True)
-                known[c] = " ".join(printed), b"".join(back), sum(n)
+                printed, back = zip(*[of[w] for w in ws], strict=True)
+                known[c] = " ".join(printed), b"".join(back)
         return known
 
     def of_words(self, words: list[str]) -> dict[str, Entry]:
         raw = [w.encode() for w in words]
-        new = [(w, r) for w, r in zip(words, raw, strict=True) if r not in self.whole]
-        ids, upto = self.replay([r for _, r in new])
-        printed = list(map(self.printed.__getitem__, ids))
-        back = list(map(self.bytes_of.__getitem__, ids))
-        of = {
-            w: (" ".join(printed[a:b]), b"".join(back[a:b]), b - a)
-            for (w, _), (a, b) in zip(new, pairwise(upto), strict=True)
-        }
-        for w, r in zip(words, raw, strict=True):
-            if (rank := self.whole.get(r)) is not None:
-                of[w] = self.printed[rank], self.bytes_of[rank], 1
+        whole = self.whole
+        of = {w: (self.printed[whole[r]], self.bytes_of[whole[r]]) for w, r in zip(words, raw, strict=True) if r in whole}
+        if len(of) < len(words):
+            words = [w for w in words if w not in of]
+            ids, upto = self.replay([r for r in raw if r not in whole])
+            # All ids are printed and decoded in a row, which is cut into the words.
+            printed = list(map(self.printed.__getitem__, ids))
+            back = list(map(self.bytes_of.__getitem__, ids))
+            said = _ends(printed, 1)[upto].tolist()
+            made = _ends(back, 0)[upto].tolist()
+            printed, back = " ".join(printed), b"".join(back)
+            for w, (a, b), (c, d) in zip(words, pairwise(said), pairwise(made), strict=True):
+                of[w] = printed[a : b - 1], back[c:d]
         return of
 
-    def entries(self, texts: list[str]) -> list[list[Entry]]:
-        """The entries of every text's chunks, in order; the texts are one corpus."""
+    def entries(self, texts: list[str]) -> Iterator[tuple[tuple[str, ...], tuple[bytes, ...]]]:
+        """For every text what its chunks' ids are printed as and decode to; the texts are one corpus."""
         with uncollected():
-            cut = [self.chunks(t) for t in texts]
-            known = self.learn(set().union(*cut))
-            return [[known[c] for c in chunks] for chunks in cut]
+            cut = [self.chunks(t) if t else [] for t in texts]
+            entry = self.learn(set().union(*cut)).__getitem__
+            for chunks in cut:
+                yield tuple(zip(*map(entry, chunks), strict=True)) if chunks else ((), ())
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of every text."""
-        for found in self.entries(texts):
-            yield list(map(int, " ".join([printed for printed, _, _ in found]).split()))
+        for printed, _ in self.entries(texts):
+            yield list(map(int, " ".join(printed).split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -298,11 +340,10 @@ def round_trip(
             raw = encoded(batch.column(1))
             counts, of_ids, of_bytes, exact = [], [], [], []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for text, found in zip(raw, made.entries(texts), strict=True):
-                printed, parts, n = zip(*found, strict=True) if found else ((), (), ())
-                back = b"".join(parts)
-                counts.append(sum(n))
-                of_ids.append(hashlib.sha256(" ".join(printed).encode()).hexdigest())
+            for text, (printed, parts) in zip(raw, made.entries(texts), strict=True):
+                ids, back = " ".join(printed).encode(), b"".join(parts)
+                counts.append(ids.count(b" ") + 1 if ids else 0)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_bytes.append(hashlib.sha256(back).hexdigest())
                 exact.append(back == text)
             yield pa.RecordBatch.from_arrays(

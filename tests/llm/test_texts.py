@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,20 @@ def test_merges_that_bring_up_lower_ranks():
         assert list(own.encode(texts)) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_many_words_are_replayed_in_few_steps(monkeypatch):
+    """Steps go by waves of ranks and by the merges of a word, not by the ranks in use (some 2,000 here)."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(0, 12))) for _ in range(5000)]
+    words += ["".join(rng.choices("etaoin", k=3000)), "ab" * 400, "é中" * 50]
+    steps = []
+    ranks_of = bpe.Encoding._ranks
+    monkeypatch.setattr(bpe.Encoding, "_ranks", lambda self, a, b: steps.append(len(a)) or ranks_of(self, a, b))
+    ids, upto = OWN.replay([w.encode() for w in words])
+    assert len(steps) < 1000
+    want = [LIBRARY.encode_ordinary(w) for w in words]
+    assert [ids[a:b] for a, b in itertools.pairwise(upto)] == want
+
+
 def test_long_runs_of_one_letter():
     for n in (2, 3, 17, 5000):
         assert next(OWN.encode(["a" * n])) == LIBRARY.encode_ordinary("a" * n)
