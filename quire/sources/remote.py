@@ -21,6 +21,8 @@ CHUNK = 1 << 20
 #: Bytes that one task reads, and what opening a file costs in bytes.
 TASK_BYTES = 256 << 20
 OPEN_BYTES = 1 << 16
+#: Bytes of whole files that are handed on together.
+CONTENT_BYTES = 16 << 20
 OBJECT_STORES = ("s3", "gcs", "abfs")
 #: Names that Hadoop has for stores, and those that the file systems here go by.
 SCHEMES = {
@@ -58,27 +60,58 @@ def file_checksum(uri: str) -> str | None:
     return "sha256:" + digest.hexdigest()
 
 
-def with_file_checksum(files: DataFrame) -> DataFrame:
-    """Add ``checksum`` by streaming each file inside the tasks.
+def dealt_files(files: DataFrame) -> DataFrame:
+    """The files dealt out by their bytes into as many tasks as these ask for.
 
-    Unlike the ``content`` of a file scan, no file is held in memory whole,
-    and one that cannot be read gives null instead of failing the job. Files
-    are dealt out by their bytes first, into as many tasks as these ask for: a
-    listing has a folder's entries in one task.
+    A listing has a folder's entries in one task.
     """
-    spark = files.sparkSession
-    ship(spark)
-    cores = spark.sparkContext.defaultParallelism
+    ship(files.sparkSession)
+    cores = files.sparkSession.sparkContext.defaultParallelism
 
     def tasks(n: int, total: float) -> int:
         return max(min(n, cores), math.ceil(total / TASK_BYTES))
 
+    weight = f"coalesce(size_bytes, 0) + {OPEN_BYTES}"
+    return dealt_by_weight(files, "path", weight, tasks)
+
+
+def with_file_checksum(files: DataFrame) -> DataFrame:
+    """Add ``checksum`` by streaming each file inside the tasks.
+
+    Unlike the ``content`` of a file scan, no file is held in memory whole,
+    and one that cannot be read gives null instead of failing the job.
+    """
+
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
         return paths.map(file_checksum)
 
-    weight = f"coalesce(size_bytes, 0) + {OPEN_BYTES}"
-    return dealt_by_weight(files, "path", weight, tasks).withColumn("checksum", digest("path"))
+    return dealt_files(files).withColumn("checksum", digest("path"))
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Add ``content``, each file's bytes, read inside the tasks by plans that select it.
+
+    A task holds about CONTENT_BYTES, or one file, at a time; a file that
+    cannot be read fails the job.
+    """
+
+    @F.pandas_udf("binary")
+    def content(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for paths in batches:
+            held, size = [], 0
+            for uri in paths:
+                store, path = locate(uri)
+                with store.open_input_stream(path) as stream:
+                    held.append(stream.read())
+                size += len(held[-1])
+                if size >= CONTENT_BYTES:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
+
+    return dealt_files(files).withColumn("content", content("path"))
 
 
 LISTING = "path string, is_dir boolean, size_bytes bigint, modified timestamp"
@@ -141,19 +174,22 @@ def list_folders(folders: DataFrame, extension: str | None = None, exts: Iterabl
     ship(folders.sparkSession)
     wanted = tuple(exts)
 
+    def frame(held: list[Entry]) -> pd.DataFrame:
+        paths, is_dir, sizes, seen = zip(*held, strict=True)
+        modified = pd.Series(np.array(seen, "datetime64[us]")).dt.tz_localize("UTC")
+        return pd.DataFrame({"path": paths, "is_dir": is_dir, "size_bytes": sizes, "modified": modified})
+
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[Entry] = []
         for batch in batches:
             for uri in batch["path"]:
                 for page in entry_pages(uri, extension, wanted):
-                    names, is_dir, sizes, seen = zip(*page, strict=True)
-                    yield pd.DataFrame(
-                        {
-                            "path": [f"{uri}/{name}" for name in names],
-                            "is_dir": is_dir,
-                            "size_bytes": sizes,
-                            "modified": pd.Series(np.array(seen, "datetime64[us]")).dt.tz_localize("UTC"),
-                        }
-                    )
+                    held += [(f"{uri}/{name}", *more) for name, *more in page]
+                    if len(held) >= PAGE_ENTRIES:
+                        yield frame(held)
+                        held = []
+        if held:
+            yield frame(held)
 
     return folders.select("path").mapInPandas(listed, LISTING)
 

@@ -7,7 +7,7 @@ import pytest
 from quire.operators.metadata import doc_metadata
 from quire.operators.pages import assemble_body
 from quire.plans.documents import document_pages, documents
-from quire.sources.files import EXTENSION, list_files
+from quire.sources.files import EXTENSION, list_files, scan_files
 from quire.sources.remote import (
     SCHEMES,
     entry_pages,
@@ -129,3 +129,31 @@ def test_listing_leaves_other_extensions_in_the_task(spark, tmp_path):
     found = list_files(spark, f"file:{tmp_path}", exts=[".pdf"]).collect()
     assert {r.path.rsplit("/", 1)[1] for r in found} == {"a.pdf", "c.PDF"}
     assert all(r.size_bytes == 1 and r.modified.year >= 2024 for r in found)
+
+
+def test_scanned_files_are_listed_and_dealt_by_tasks(spark, tmp_path):
+    """The rows of Spark's own scan, in tasks that go by bytes and not by files."""
+    for i in range(1500):
+        (tmp_path / f"{i % 40}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 40}/{i}.md").write_text(f"text {i}")
+    odd = ["a b%20#c.md", "é/[x]{y}/z.PNG", ".hid.md", "_hid.md", "_a=b.md", "_hid/x.md", ".h/x.md",
+           "_metadata.md", "_metadata_x/y.md", "x._COPYING_", "s/_x=1/y.md", "a._COPYING_b", "s/.d/e/f.md"]
+    for name in odd:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.md").touch()
+    for i in range(3):
+        (tmp_path / f"large{i}.md").write_bytes(bytes([i]) * (9 << 20))
+    top = f"file:{tmp_path}"
+    got = scan_files(spark, top)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
+    want = plain.selectExpr("path", "length as size_bytes", "modificationTime as modified", "content")
+    assert got.dtypes == want.dtypes
+    digest = ("path", "size_bytes", "modified", "sha2(content, 256)")
+    rows = got.selectExpr(*digest).collect()
+    assert sorted(rows) == sorted(want.selectExpr(*digest).collect()) and len(rows) == 1509
+    assert got.rdd.getNumPartitions() <= 16
+    assert "Python" not in got.select("path")._jdf.queryExecution().executedPlan().toString()
+    assert [r.size_bytes for r in scan_files(spark, f"{top}/7/7.md").collect()] == [6]
+    with pytest.raises(FileNotFoundError):
+        scan_files(spark, f"{top}/nowhere")
